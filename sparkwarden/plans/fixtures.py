@@ -152,9 +152,12 @@ def sec_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_events(spark: SparkSession, sf_dir: str, burst: bool = False) -> DataFrame:
-    """The same events read as a stream of the table's files."""
+    """The same events read as a stream of the table's files.
+
+    The path is a glob, as a stream takes a single file in no other way.
+    """
     schema = raw_events(spark, sf_dir).schema
-    raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
+    raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/{{events}}.parquet")
     return derive_events(raw, burst)
 
 
