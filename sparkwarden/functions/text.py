@@ -9,6 +9,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Every character that counts as white space: the ASCII separators and Unicode blanks.
+BLANKS = "".join(
+    chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680)
+) + "".join(chr(c) for c in (*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
+def strip(text: Column) -> Column:
+    """Text without white space at either end."""
+    return F.btrim(text, F.lit(BLANKS))
+
+
 def _accent_table() -> tuple[str, str]:
     """Accented Latin letters and their base letters, from the Unicode decompositions."""
     accented, plain = [], []

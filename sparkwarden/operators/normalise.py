@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.severity import severity_from_text
+from ..functions.text import strip
 from ..functions.timestamps import syslog_timestamp
 from ..schemas import EVENT_COLUMNS, SEVERITIES, SOURCES
 
@@ -51,7 +52,7 @@ def _auth_format(line: Column, kind: str, severity: str, pattern: str, has_port:
         return F.regexp_extract(line, pattern, i)
 
     if kind == "sudo_command":
-        command = F.regexp_replace(group(3), r"(?U)^\s+|\s+$", "")
+        command = strip(group(3))
         ip, port = F.lit(None), F.lit(None)
         metadata = F.create_map(F.lit("username"), group(2), F.lit("command"), command)
     else:
@@ -71,27 +72,40 @@ def _auth_format(line: Column, kind: str, severity: str, pattern: str, has_port:
     return parsed.cast(_PARSED)
 
 
-def _events(lines: DataFrame, source: str, parsed: Column, reference_ts, rollover) -> DataFrame:
-    """Event columns from a parsed struct, plus why a line gave no event."""
-    origin = F.col("file_path") if "file_path" in lines.columns else F.lit("")
-    df = lines.withColumn("_parsed", parsed)
-    ts = syslog_timestamp(F.col("_parsed.time_text"), reference_ts, rollover)
-    df = df.withColumn("timestamp", ts)
+def _events(
+    lines: DataFrame,
+    source: str,
+    parsed: Column,
+    severity: Column,
+    reference_ts: datetime,
+    rollover: bool,
+) -> DataFrame:
+    """Event columns from a parsed struct, plus why a line gave no event.
+
+    The struct goes through a generator, one row to one row. Unlike a projection
+    it is not merged into filters further up, so a line is matched once.
+    """
+
+    df = lines.select("*", F.inline_outer(F.array(parsed)))
+    df = df.withColumn(
+        "timestamp", syslog_timestamp(F.col("time_text"), reference_ts, rollover)
+    )
     if "event_id" not in lines.columns:
+        origin = F.col("file_path") if "file_path" in lines.columns else F.lit("")
         df = df.withColumn("event_id", F.xxhash64(origin, "timestamp", "value"))
     return df.select(
         "event_id",
         "timestamp",
         F.lit(source).alias("source"),
-        F.col("_parsed.event_type").alias("event_type"),
-        F.col("_parsed.severity").alias("severity"),
-        F.col("_parsed.source_ip").alias("source_ip"),
+        "event_type",
+        severity.alias("severity"),
+        "source_ip",
         F.lit(None).cast("string").alias("dest_ip"),
-        F.col("_parsed.dest_port").alias("dest_port"),
+        "dest_port",
         F.col("value").alias("raw_message"),
         F.lit(0.0).alias("anomaly_score"),
-        F.col("_parsed.metadata").alias("metadata"),
-        F.when(F.col("_parsed").isNull(), "no_match")
+        "metadata",
+        F.when(F.col("event_type").isNull(), "no_match")
         .when(F.col("timestamp").isNull(), "bad_timestamp")
         .alias("reject_reason"),
     )
@@ -111,7 +125,8 @@ def parse_auth(lines: DataFrame, reference_ts: datetime, rollover: bool = False)
         )
         for kind, severity, marker, pattern, has_port in AUTH_FORMATS
     ]
-    return _events(lines, "auth", F.coalesce(*tried), reference_ts, rollover)
+    parsed = F.coalesce(*tried)
+    return _events(lines, "auth", parsed, F.col("severity"), reference_ts, rollover)
 
 
 def parse_syslog(lines: DataFrame, reference_ts: datetime, rollover: bool = False) -> DataFrame:
@@ -124,14 +139,16 @@ def parse_syslog(lines: DataFrame, reference_ts: datetime, rollover: bool = Fals
     parsed = F.struct(
         group(1).alias("time_text"),
         F.concat(F.lit("syslog_"), group(3)).alias("event_type"),
-        severity_from_text(group(4)).alias("severity"),
-        F.lit(None).alias("source_ip"),
-        F.lit(None).alias("dest_port"),
+        F.lit(None).cast("string").alias("source_ip"),
+        F.lit(None).cast("int").alias("dest_port"),
+        group(4).alias("message"),
         F.create_map(
             F.lit("hostname"), group(2), F.lit("process"), group(3)
         ).alias("metadata"),
-    ).cast(_PARSED)
-    return _events(lines, "syslog", F.when(line.rlike(SYSLOG), parsed), reference_ts, rollover)
+    )
+    matched = F.when(line.rlike(SYSLOG), parsed)
+    severity = F.when(F.col("event_type").isNotNull(), severity_from_text(F.col("message")))
+    return _events(lines, "syslog", matched, severity, reference_ts, rollover)
 
 
 def split_parsed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:

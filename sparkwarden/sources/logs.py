@@ -7,21 +7,15 @@ from datetime import datetime
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# White space as a log reader strips it: Unicode blanks and the ASCII separators.
-_EDGE_BLANKS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
-
-
-def strip_line(value: Column) -> Column:
-    return F.regexp_replace(value, _EDGE_BLANKS, "")
-
+from ..functions.text import strip
 
 def _clean(lines: DataFrame) -> DataFrame:
     return (
         lines.select(
-            strip_line(F.col("value")).alias("value"),
+            strip(F.col("value")).alias("value"),
             F.col("_metadata.file_path").alias("file_path"),
             F.col("_metadata.file_modification_time").alias("file_time"),
         )
