@@ -119,7 +119,7 @@ def stream_live_feed(
 
 
 def events_processed(query: StreamingQuery) -> int:
-    """Rows read by the batches the query still remembers."""
+    """Rows read by the batches the query remembers, once per read of a source."""
     return sum(p["numInputRows"] for p in query.recentProgress)
 
 

@@ -42,7 +42,8 @@ def stream_rule_matches(
     folded in (time, id) order, so the arrival order does not matter. State per key
     is the rows younger than the watermark and fewer than ``threshold`` times; an
     idle key is dropped one window after its last row. Rows later than ``delay``
-    are not counted. Rules of threshold 1 need no state.
+    are not counted. Rules of threshold 1 need no state: they read the source a
+    second time instead of sending their rows through it.
     """
     active = check_rules(rules)
     limits = {r.rule_id: (r.window_seconds * MICROS, r.threshold) for r in active}
