@@ -21,30 +21,32 @@ def strip(text: Column) -> Column:
 
 
 def _accent_table() -> tuple[str, str]:
-    """Accented Latin letters and their base letters, from the Unicode decompositions."""
+    """Accented Latin letters and their base letters, from the Unicode decompositions.
+
+    Combining marks come last without a counterpart: ``translate`` removes them.
+    """
     accented, plain = [], []
     for code in (*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)):
         parts = unicodedata.normalize("NFD", chr(code))
         if len(parts) > 1 and all(unicodedata.combining(c) for c in parts[1:]):
             accented.append(chr(code))
             plain.append(parts[0])
-    return "".join(accented), "".join(plain)
+    marks = [chr(code) for code in range(0x0300, 0x0370)]
+    return "".join(accented + marks), "".join(plain)
 
 
 _ACCENTED, _PLAIN = _accent_table()
+_FOLD = {ord(c): (_PLAIN[i] if i < len(_PLAIN) else None) for i, c in enumerate(_ACCENTED)}
 
 
 def fold_accents(text: Column) -> Column:
     """Accented Latin letters without their marks, precomposed or combining."""
-    return F.regexp_replace(F.translate(text, _ACCENTED, _PLAIN), r"\p{Mn}+", "")
+    return F.translate(text, _ACCENTED, _PLAIN)
 
 
 def fold_term(term: str) -> list[str]:
     """Words of a search term, folded as :func:`word_text` folds the searched text."""
-    marks_off = "".join(
-        c for c in unicodedata.normalize("NFD", term.lower()) if not unicodedata.combining(c)
-    )
-    return [w for w in re.split(r"[\W_]+", marks_off) if w]
+    return [w for w in re.split(r"[\W_]+", term.lower().translate(_FOLD)) if w]
 
 
 def word_text(text: Column) -> Column:
@@ -53,7 +55,12 @@ def word_text(text: Column) -> Column:
     A word test is then ``contains(' word ')``, a phrase test
     ``contains(' two words ')`` and a prefix test ``contains(' pref')``.
     """
-    words = F.regexp_replace(fold_accents(F.lower(text)), r"[^\p{L}\p{N}]+", " ")
+    lowered = F.lower(text)
+    # Most log lines are ASCII, where folding has nothing to do.
+    is_ascii = F.octet_length(text) == F.length(text)
+    words = F.when(is_ascii, F.regexp_replace(lowered, "[^a-z0-9]+", " ")).otherwise(
+        F.regexp_replace(fold_accents(lowered), r"[^\p{L}\p{N}]+", " ")
+    )
     return F.concat(F.lit(" "), F.trim(words), F.lit(" "))
 
 

@@ -29,26 +29,36 @@ DGA = "dga_suspect"
 MIN_TRAINING_ROWS = 20
 
 
+def _once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns through a generator, one row to one row.
+
+    Filters further up then read them instead of a copy of their expressions.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline_outer(F.array(row)))
+
+
 def dns_analysis(df: DataFrame, domain: str = "domain") -> DataFrame:
     """Adds length, entropy, encodings and a verdict for the first label."""
     label = first_label(F.col(domain))
-    hexadecimal = label.rlike(HEX_LABEL)
-    long_and_random = (F.col("subdomain_entropy") > SUSPICIOUS_ENTROPY) & (
-        F.col("subdomain_length") > SUSPICIOUS_LENGTH
-    )
-    return df.withColumns(
+    measured = _once(
+        df,
         {
             "subdomain_length": F.length(label),
             "subdomain_entropy": shannon_entropy(label),
-            "has_hex_encoding": hexadecimal,
+            "has_hex_encoding": label.rlike(HEX_LABEL),
             "has_base64_encoding": label.rlike(BASE64_LABEL),
-        }
-    ).withColumn("suspicious", long_and_random | F.col("has_hex_encoding"))
+        },
+    )
+    long_and_random = (F.col("subdomain_entropy") > SUSPICIOUS_ENTROPY) & (
+        F.col("subdomain_length") > SUSPICIOUS_LENGTH
+    )
+    return measured.withColumn("suspicious", long_and_random | F.col("has_hex_encoding"))
 
 
 def dns_features(df: DataFrame, domain: str = "domain") -> DataFrame:
     """Adds the eight classifier features as DOUBLE columns."""
-    return df.withColumns(domain_features(F.col(domain)))
+    return _once(df, domain_features(F.col(domain)))
 
 
 def heuristic(entropy: Column, length: Column, digits: Column, has_hex: Column) -> Column:

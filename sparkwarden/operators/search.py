@@ -6,6 +6,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,29 +116,32 @@ def event_filter(
 
 
 def text_matches(text: Column, query: TextQuery) -> Column:
-    """Case- and accent-insensitive whole-word match of the whole text."""
-    norm = word_text(text)
+    """Case- and accent-insensitive whole-word match of the whole text.
 
-    def has(term: str) -> Column:
-        # A term such as "10.0.0.1" is several words: it must occur as a phrase.
-        folded = fold_term(term)
-        return norm.contains(f" {' '.join(folded)} ") if folded else F.lit(True)
+    The text is normalised once per row: the tests are a lambda over it, which
+    the optimizer cannot copy the normalisation into.
+    """
 
-    conditions = [has(t) for t in query.all_of]
-    if query.any_of:
-        some = F.lit(False)
-        for term in query.any_of:
-            some = some | has(term)
-        conditions.append(some)
-    conditions += [~has(t) for t in query.none_of]
-    if query.phrase:
-        conditions.append(has(query.phrase))
-    if query.prefix:
-        conditions.append(norm.contains(f" {' '.join(fold_term(query.prefix))}"))
-    matched = F.lit(True)
-    for condition in conditions:
-        matched = matched & condition
-    return matched
+    def matched(norm: Column) -> Column:
+        def has(term: str) -> Column:
+            # A term such as "10.0.0.1" is several words: it must occur as a phrase.
+            folded = fold_term(term)
+            return norm.contains(f" {' '.join(folded)} ") if folded else F.lit(True)
+
+        result = F.lit(True)
+        for term in query.all_of:
+            result = result & has(term)
+        if query.any_of:
+            result = result & reduce(Column.__or__, [has(t) for t in query.any_of])
+        for term in query.none_of:
+            result = result & ~has(term)
+        if query.phrase:
+            result = result & has(query.phrase)
+        if query.prefix:
+            result = result & norm.contains(f" {' '.join(fold_term(query.prefix))}")
+        return result
+
+    return F.exists(F.transform(F.array(text), word_text), matched)
 
 
 def text_search(df: DataFrame, query: TextQuery, column: str = "raw_message") -> DataFrame:

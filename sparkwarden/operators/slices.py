@@ -29,20 +29,14 @@ def with_slices(df: DataFrame, us: str, lookback_us: int, slice_us: int) -> Data
     """Adds ``_slice`` and ``_own`` (false for a row copied from the slice before)."""
     if slice_us < lookback_us:
         raise ValueError("a slice must not be shorter than the lookback")
+    home = home_slice(us, slice_us)
     copied = F.pmod(F.col(us), F.lit(slice_us)) >= slice_us - lookback_us
-    return (
-        df.withColumn("_home", home_slice(us, slice_us))
-        .withColumn(
-            "_slice",
-            F.explode(
-                F.when(copied, F.array(F.col("_home"), F.col("_home") + 1)).otherwise(
-                    F.array("_home")
-                )
-            ),
-        )
-        .withColumn("_own", F.col("_slice") == F.col("_home"))
-        .drop("_home")
-    )
+    return df.select(
+        "*",
+        F.explode(F.when(copied, F.array(home, home + 1)).otherwise(F.array(home))).alias(
+            "_slice"
+        ),
+    ).withColumn("_own", F.col("_slice") == home)
 
 
 def slice_window(keys: Sequence[str], *order: str) -> WindowSpec:
