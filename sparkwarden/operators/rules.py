@@ -284,29 +284,42 @@ def _fires(fired: DataFrame, threshold: int) -> DataFrame:
     )
 
 
+def with_rule_facts(fires: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Firings with name, severity, response and window of their rule."""
+
+    def of_rule(attribute: str) -> Column:
+        pairs = [x for r in rules for x in (F.lit(r.rule_id), F.lit(getattr(r, attribute)))]
+        return F.element_at(F.create_map(*pairs), F.col("rule_id"))
+
+    return fires.select(
+        "rule_id",
+        of_rule("name").alias("rule_name"),
+        of_rule("severity").alias("severity"),
+        of_rule("response").alias("response"),
+        of_rule("window_seconds").alias("window_seconds"),
+        "group_key",
+        "fired_at",
+        "fired_id",
+        "matched",
+        "evidence",
+    )
+
+
 def rule_matches(events: DataFrame, rules: Sequence[Rule] = BUILT_IN_RULES) -> DataFrame:
     """All firings of all enabled rules.
 
     Each rule scans with its own pushed-down predicate and only the columns it
     needs; rules of threshold 1 do not shuffle.
     """
+    active = check_rules(rules)
+    if not active:
+        raise ValueError("no rule is enabled")
     branches = []
-    for rule in check_rules(rules):
+    for rule in active:
         relevant = events.filter(F.expr(rule.predicate))
         fires = fire_and_reset(relevant, F.expr(rule.key), rule.window_seconds, rule.threshold)
-        branches.append(
-            fires.select(
-                F.lit(rule.rule_id).alias("rule_id"),
-                F.lit(rule.name).alias("rule_name"),
-                F.lit(rule.severity).alias("severity"),
-                F.lit(rule.response).alias("response"),
-                F.lit(rule.window_seconds).alias("window_seconds"),
-                "*",
-            )
-        )
-    if not branches:
-        raise ValueError("no rule is enabled")
-    return reduce(DataFrame.unionByName, branches)
+        branches.append(fires.select(F.lit(rule.rule_id).alias("rule_id"), "*"))
+    return with_rule_facts(reduce(DataFrame.unionByName, branches), active)
 
 
 def matches_to_alerts(matches: DataFrame) -> DataFrame:

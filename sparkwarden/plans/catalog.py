@@ -17,6 +17,7 @@ from ..schemas import EVENT_COLUMNS
 from ..session import shared_dir
 from ..sources import logs, tables
 from ..streaming import jobs
+from ..streaming.rule_batches import read_rule_stream, run_rule_stream
 from ..streaming.rules import stream_rule_matches
 from . import detect as plan
 from . import fixtures as fx
@@ -144,6 +145,18 @@ def text_search_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.text_search(docs, search.TextQuery(prefix="ouè"), "text").select("doc_id", "lang")
 
 
+@query
+def text_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search answered through a stored word index of all documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    index = shared_dir(spark, "words")
+    search.write_word_index(docs, index, "doc_id", "text")
+    wanted = search.TextQuery(all_of=["the", "and"], none_of=["of"])
+    return search.index_search(spark, index, docs, wanted, "doc_id", "text").select(
+        "doc_id", "lang"
+    )
+
+
 @query
 def word_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per word of the word index of all log lines."""
@@ -311,6 +324,27 @@ def parse_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejected
 
 
+@query
+def ingest_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines written as log files, read back, parsed, checked and counted."""
+    folder = shared_dir(spark, "logs")
+    lines = fx.sec_events(spark, sf_dir).select("source", F.col("raw_message").alias("value"))
+    for name, wanted in (("auth", "source = 'auth'"), ("syslog", "source <> 'auth'")):
+        lines.filter(wanted).select("value").write.text(f"{folder}/{name}")
+    found = logs.read_existing(
+        spark, {"auth": f"{folder}/auth", "syslog": f"{folder}/syslog"}
+    )
+    events, rejected = plan.normalise_logs(found, fx.AS_OF)
+    kinds = events.select("source", "event_type", "severity").unionByName(
+        rejected.select(
+            "source", F.col("reject_reason").alias("event_type"), F.lit("").alias("severity")
+        )
+    )
+    return kinds.groupBy("source", "event_type", "severity").agg(
+        F.count(F.lit(1)).alias("count")
+    )
+
+
 @query
 def syslog_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
@@ -683,6 +717,39 @@ def stream_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def stream_rule_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All built-in rules by the variant for hot keys."""
+    events, work = _replayed(spark, sf_dir, burst=True)
+    run_rule_stream(events, f"{work}/out", f"{work}/checkpoint").awaitTermination()
+    fires = read_rule_stream(spark, f"{work}/out")
+    return plain_times(fires.select("rule_id", "group_key", "fired_at", "fired_id"))
+
+
+@query
+def detect_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of all streaming detectors, per severity."""
+    events, work = _replayed(spark, sf_dir, burst=False)
+    baseline = traffic.baseline_stats(
+        traffic.recent_baseline(_snapshots(spark, sf_dir), BASELINE_END)
+    )
+    for started in jobs.detect_stream(
+        events, f"{work}/alerts", f"{work}/checkpoints", traffic_baseline=baseline
+    ):
+        started.awaitTermination()
+    found = jobs.read_stream_alerts(spark, f"{work}/alerts")
+    return found.groupBy("severity").agg(F.count(F.lit(1)).alias("count"))
+
+
+@query
+def stream_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest events as the live feed holds them after the stream."""
+    work = shared_dir(spark, "feed")
+    events = fx.stream_events(spark, sf_dir)
+    jobs.stream_live_feed(events, f"{work}/feed", f"{work}/checkpoint").awaitTermination()
+    return _page(spark.read.schema(events.schema).parquet(f"{work}/feed/batch=0"))
+
+
 @query
 def stream_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, work = _replayed(spark, sf_dir, burst=False)

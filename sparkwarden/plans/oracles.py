@@ -352,6 +352,11 @@ def oracle_statements() -> dict[str, str]:
             f"select doc_id, lang from (select *, {DOC_WORDS} as w from documents) "
             "where len(list_filter(w, lambda x: starts_with(x, 'oue'))) > 0"
         ),
+        "text_index_search": (
+            f"select doc_id, lang from (select *, {DOC_WORDS} as w from documents) "
+            "where list_contains(w, 'the') and list_contains(w, 'and') "
+            "and not list_contains(w, 'of')"
+        ),
         "word_postings": _with(
             f"select word, count(*) as rows from (select unnest(list_distinct({LINE_WORDS})) "
             "as word from sec_events) where word <> '' group by word"
@@ -450,6 +455,19 @@ def oracle_statements() -> dict[str, str]:
             f"case when source = 'auth' then ({_AUTH_KIND}) is null "
             f"else not regexp_matches(value, '{_SYSLOG}') end"
         ),
+        "ingest_logs": _with(
+            "select source, event_type, severity, count(*) as count from (select "
+            "case when source = 'auth' then 'auth' else 'syslog' end as source, "
+            f"coalesce(case when source = 'auth' then ({_AUTH_KIND}) "
+            f"when regexp_matches(value, '{_SYSLOG}') "
+            f"then concat('syslog_', regexp_extract(value, '{_SYSLOG}', 3)) end, 'no_match') "
+            "as event_type, case when source = 'auth' then case ("
+            f"{_AUTH_KIND}) when 'ssh_success' then 'info' when 'sudo_command' then 'low' "
+            "when 'ssh_brute_force' then 'high' else 'medium' end "
+            f"when regexp_matches(value, '{_SYSLOG}') then {_SEVERITY_TEXT} else '' end "
+            "as severity from (select source, line as value, lower(line) as m from sec_events)) "
+            "group by 1, 2, 3"
+        ),
         "syslog_severity": _with(
             f"select source, {_SEVERITY_TEXT} as found, count(*) as count "
             "from (select source, lower(line) as m from sec_events) group by 1, 2"
@@ -630,6 +648,23 @@ def oracle_statements() -> dict[str, str]:
             f"from ({_ALL_FIRES}) group by rule_id",
             _ALL_RULES,
         ),
+        "stream_rule_batches": _with(
+            f"select rule_id, group_key, fired_at, fired_id from ({_ALL_FIRES})", _ALL_RULES
+        ),
+        "detect_stream": _with(
+            f"select severity, count(*) as count from (select severity from ({_ALL_FIRES}) "
+            "union all select case when label = 'tunneling_suspect' then 'high' else 'medium' end "
+            "from sec_events join dns_l using (domain) where label <> 'normal' "
+            "union all select 'high' from flagged where len(flags) >= 2) group by severity",
+            {
+                **{n: b for r in _RULES for n, b in _of_rule(r, "sec_events").items()},
+                **_DNS,
+                **_flagged(3.0, "where window_start < timestamp '2024-01-25'"),
+            },
+        ),
+        "stream_feed": _with(
+            f"select {PAGE} from sec_events order by timestamp desc, event_id desc limit 200"
+        ),
         "stream_traffic": _with(
             "select window_start, round(packets_per_second, 6) as packets_per_second, "
             "round(bytes_per_second, 6) as bytes_per_second, round(tcp_ratio, 6) as tcp_ratio, "

@@ -18,7 +18,7 @@ from ..operators.topk import newest
 from ..operators.traffic import analyze_traffic, traffic_snapshots
 from ..plans.detect import row_alerts
 from ..schemas import ALERT_SCHEMA, EVENT_COLUMNS
-from .rules import stream_rule_matches
+from .rule_batches import read_rule_stream, run_rule_stream
 
 
 def append_stream(df: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -61,33 +61,38 @@ def detect_stream(
     dns_model: DnsForest | None = None,
     traffic_baseline: DataFrame | None = None,
     traffic_model: IsolationForest | None = None,
-    delay: str = "10 minutes",
+    delay_seconds: int = 600,
     once: bool = True,
 ) -> list[StreamingQuery]:
-    """Start the detection queries; alerts of each land in a folder of ``alerts_path``.
+    """Start the detection queries; each writes to its own folder of ``alerts_path``.
 
     Single-event alerts need no state; rules and traffic have their own queries, so
     a slow one does not hold up the others.
     """
-    jobs = {
-        "rules": matches_to_alerts(stream_rule_matches(events, rules, delay)),
-        "rows": row_alerts(events, login_model, dns_model),
-    }
-    if traffic_baseline is not None:
-        analyzed = analyze_traffic(
-            stream_snapshots(events, delay=delay), traffic_baseline, traffic_model
+    queries = [
+        run_rule_stream(
+            events, f"{alerts_path}/rules", f"{checkpoint}/rules", rules, delay_seconds, once
         )
-        jobs["traffic"] = traffic_alerts(analyzed)
-    return [
-        append_stream(alerts, f"{alerts_path}/{name}", f"{checkpoint}/{name}", once)
-        for name, alerts in jobs.items()
     ]
+    jobs = {"rows": row_alerts(events, login_model, dns_model)}
+    if traffic_baseline is not None:
+        closed = stream_snapshots(events, delay=f"{delay_seconds} seconds")
+        jobs["traffic"] = traffic_alerts(
+            analyze_traffic(closed, traffic_baseline, traffic_model)
+        )
+    for name, alerts in jobs.items():
+        queries.append(
+            append_stream(alerts, f"{alerts_path}/{name}", f"{checkpoint}/{name}", once)
+        )
+    return queries
 
 
-def read_stream_alerts(spark: SparkSession, alerts_path: str) -> DataFrame:
+def read_stream_alerts(
+    spark: SparkSession, alerts_path: str, rules: Sequence[Rule] = BUILT_IN_RULES
+) -> DataFrame:
     """Alerts of all detection queries; each folder is read through its commit log."""
-    frames = []
-    for name in ("rules", "rows", "traffic"):
+    frames = [matches_to_alerts(read_rule_stream(spark, f"{alerts_path}/rules", rules))]
+    for name in ("rows", "traffic"):
         try:
             frames.append(spark.read.schema(ALERT_SCHEMA).parquet(f"{alerts_path}/{name}"))
         except AnalysisException as error:

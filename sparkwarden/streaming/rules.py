@@ -9,7 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.rules import BUILT_IN_RULES, EVIDENCE, Rule, check_rules, match_rules
+from ..operators.rules import (
+    BUILT_IN_RULES,
+    EVIDENCE,
+    Rule,
+    check_rules,
+    match_rules,
+    with_rule_facts,
+)
 from ..operators.slices import MICROS
 
 _FIRES = (
@@ -36,9 +43,10 @@ def _fold(
 def stream_rule_matches(
     events: DataFrame, rules: Sequence[Rule] = BUILT_IN_RULES, delay: str = "10 minutes"
 ) -> DataFrame:
-    """Firings of the rules on a stream of events.
+    """Firings of the rules on a stream of events, at low latency.
 
-    Rows wait in keyed state until the watermark has passed them and are then
+    A key's rows of one delay must fit into a task; for keys that hold a large
+    part of a busy stream use ``rule_batches``. Rows wait in keyed state until the watermark has passed them and are then
     folded in (time, id) order, so the arrival order does not matter. State per key
     is the rows younger than the watermark and fewer than ``threshold`` times; an
     idle key is dropped one window after its last row. Rows later than ``delay``
@@ -119,19 +127,15 @@ def stream_rule_matches(
         )
     fires = branches[0] if len(branches) == 1 else branches[0].unionByName(branches[1])
 
-    def of_rule(attribute: str):
-        pairs = [x for r in active for x in (F.lit(r.rule_id), F.lit(getattr(r, attribute)))]
-        return F.element_at(F.create_map(*pairs), F.col("rule_id"))
-
-    return fires.select(
-        "rule_id",
-        of_rule("name").alias("rule_name"),
-        of_rule("severity").alias("severity"),
-        of_rule("response").alias("response"),
-        of_rule("window_seconds").alias("window_seconds"),
-        "group_key",
-        F.timestamp_micros("fired_us").alias("fired_at"),
-        "fired_id",
-        of_rule("threshold").alias("matched"),
-        F.transform("evidence_us", F.timestamp_micros).alias("evidence"),
+    limit_of = F.create_map(*[x for r in active for x in (F.lit(r.rule_id), F.lit(r.threshold))])
+    return with_rule_facts(
+        fires.select(
+            "rule_id",
+            "group_key",
+            F.timestamp_micros("fired_us").alias("fired_at"),
+            "fired_id",
+            F.element_at(limit_of, F.col("rule_id")).alias("matched"),
+            F.transform("evidence_us", F.timestamp_micros).alias("evidence"),
+        ),
+        active,
     )

@@ -12,7 +12,7 @@ from sparkwarden.operators.normalise import parse_auth, split_parsed
 from sparkwarden.plans.detect import detect, score_events, with_progress
 from sparkwarden.session import shared_dir
 from sparkwarden.sources import logs, tables
-from sparkwarden.streaming import jobs
+from sparkwarden.streaming import jobs, rule_batches
 from sparkwarden.streaming.rules import stream_rule_matches
 
 START = datetime(2026, 4, 9, 12)
@@ -215,6 +215,44 @@ def test_late_events_are_counted_not_used(spark, make_events, tmp_path):
     assert jobs.late_rows(query) >= 1
 
 
+def test_rule_batches_equal_batch(spark, make_events, tmp_path):
+    events = mixed(make_events)
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    store(events.unionByName(jobs.time_sentinel(events)), path,
+          START + timedelta(minutes=3), START + timedelta(minutes=4),
+          START + timedelta(minutes=20), START + timedelta(days=1))
+    rule_batches.run_rule_stream(
+        stream(spark, path, events.schema), out, str(tmp_path / "c"), delay_seconds=60
+    ).awaitTermination()
+    want = rules.rule_matches(events)
+    got = rule_batches.read_rule_stream(spark, out)
+    assert sorted(got.collect()) == sorted(want.collect())
+    assert rule_batches.late_rows(spark, out) == 0
+
+
+def test_rule_batches_keep_windows_open_and_count_late_rows(spark, make_events, tmp_path):
+    brute_only = [rules.BUILT_IN_RULES[0]]
+    path, out, seen = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "c")
+    events = make_events(brute(14))
+
+    def run_on():
+        rule_batches.run_rule_stream(
+            stream(spark, path, events.schema), out, seen, brute_only, delay_seconds=0
+        ).awaitTermination()
+        return [r.fired_id for r in rule_batches.read_rule_stream(spark, out).collect()]
+
+    assert rule_batches.read_rule_stream(spark, out).count() == 0
+    store(events.filter("event_id < 6"), path)
+    assert run_on() == []
+    store(events.filter("event_id between 6 and 12"), path)
+    assert run_on() == [9]
+    # Row 3 again is late; row 13 alone must not fire on rows counted before.
+    store(events.filter("event_id = 3"), path)
+    store(events.filter("event_id = 13"), path)
+    assert run_on() == [9]
+    assert rule_batches.late_rows(spark, out) == 1
+
+
 def test_stream_snapshots_close_with_the_watermark(spark, make_events, tmp_path):
     events = make_events(
         [
