@@ -22,6 +22,9 @@ MAX_QUERY = 200
 MAX_EVENT_TYPE = 100
 MAX_IP = 45
 
+# Folders of a word index.
+WORD_BUCKETS = 64
+
 
 @dataclass(frozen=True)
 class TextQuery:
@@ -164,6 +167,10 @@ def word_postings(
     )
 
 
+def _word_bucket(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(WORD_BUCKETS)).cast("int")
+
+
 def write_word_index(
     df: DataFrame,
     path: str,
@@ -171,16 +178,18 @@ def write_word_index(
     column: str = "raw_message",
     mode: str = "append",
 ) -> None:
-    """Persist the postings sorted by word.
+    """Persist the postings in folders by word hash, sorted by word.
 
-    Range partitioning on (word, id) splits a frequent word over several files and
-    lets Parquet statistics skip all files without the wanted word.
+    A lookup reads one folder, and in it the row groups of the word. Rebalancing
+    lets Spark split the folder of a frequent word over several files.
     """
     (
         word_postings(df, id_column, column)
-        .repartitionByRange("word", "id")
-        .sortWithinPartitions("word", "id")
+        .withColumn("bucket", _word_bucket(F.col("word")))
+        .hint("rebalance", "bucket")
+        .sortWithinPartitions("bucket", "word", "id")
         .write.mode(mode)
+        .partitionBy("bucket")
         .parquet(path)
     )
 
@@ -204,14 +213,19 @@ def index_search(
     def rows_with(condition: Column) -> DataFrame:
         return index.filter(condition).select(F.col("id").alias(id_column))
 
+    def one_of(found: list[str]) -> Column:
+        tests = [
+            (F.col("bucket") == _word_bucket(F.lit(w))) & (F.col("word") == w) for w in found
+        ]
+        return reduce(Column.__or__, tests)
+
     terms = [w for t in (*query.all_of, query.phrase or "") for w in fold_term(t)]
     hits = df
     for word in dict.fromkeys(terms):
-        hits = hits.join(rows_with(F.col("word") == word), id_column, "left_semi")
-    if query.any_of:
-        leads = [fold_term(t)[0] for t in query.any_of if fold_term(t)]
-        if len(leads) == len(query.any_of):
-            hits = hits.join(rows_with(F.col("word").isin(*leads)), id_column, "left_semi")
+        hits = hits.join(rows_with(one_of([word])), id_column, "left_semi")
+    leads = [fold_term(t)[:1] for t in query.any_of]
+    if leads and all(leads):
+        hits = hits.join(rows_with(one_of([w for (w,) in leads])), id_column, "left_semi")
     prefix = fold_term(query.prefix or "")
     if len(prefix) == 1:
         hits = hits.join(rows_with(F.col("word").startswith(prefix[0])), id_column, "left_semi")

@@ -747,7 +747,7 @@ def stream_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = shared_dir(spark, "feed")
     events = fx.stream_events(spark, sf_dir)
     jobs.stream_live_feed(events, f"{work}/feed", f"{work}/checkpoint").awaitTermination()
-    return _page(spark.read.schema(events.schema).parquet(f"{work}/feed/batch=0"))
+    return _page(jobs.read_live_feed(spark, f"{work}/feed"))
 
 
 @query

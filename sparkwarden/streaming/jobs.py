@@ -123,6 +123,13 @@ def stream_live_feed(
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def read_live_feed(spark: SparkSession, path: str) -> DataFrame:
+    """The feed as of the last micro-batch."""
+    feeds = spark.read.parquet(path)
+    last = feeds.agg(F.max("batch")).first()[0]
+    return feeds.filter(F.col("batch") == last).drop("batch")
+
+
 def events_processed(query: StreamingQuery) -> int:
     """Rows read by the batches the query remembers, once per read of a source."""
     return sum(p["numInputRows"] for p in query.recentProgress)

@@ -298,7 +298,7 @@ def test_live_feed(spark, make_events, tmp_path):
     jobs.stream_live_feed(
         stream(spark, path, events.schema), feed, str(tmp_path / "checkpoint"), n=12
     ).awaitTermination()
-    newest = spark.read.schema(events.schema).parquet(f"{feed}/batch=2")
+    newest = jobs.read_live_feed(spark, feed)
     assert sorted(r.event_id for r in newest.collect()) == list(range(18, 30))
 
 

@@ -195,4 +195,5 @@ def test_index_is_searched_through_pushed_filters(spark, events, tmp_path):
     found = search.index_search(spark, path, events, TextQuery(all_of=["user1"]))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(word,user1)" in plan and "LeftSemi" in plan
+    assert "PartitionFilters: [isnotnull(bucket" in plan
     assert found.select(F.count("*")).first()[0] == 10
