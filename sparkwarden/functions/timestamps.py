@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def instant(value: datetime) -> Column:
+    """A naive time as the session's clock reads it, whatever the client's time zone."""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp")
+
+
 def syslog_timestamp(text: Column, reference_ts: datetime, rollover: bool = False) -> Column:
     """Parse ``Mon D HH:MM:SS``, which has no year, in the year of ``reference_ts``.
 
@@ -24,7 +29,7 @@ def syslog_timestamp(text: Column, reference_ts: datetime, rollover: bool = Fals
     this_year = in_year(reference_ts.year)
     if not rollover:
         return this_year
-    latest = F.lit(reference_ts).cast("timestamp") + F.expr("INTERVAL 1 DAY")
+    latest = instant(reference_ts) + F.expr("INTERVAL 1 DAY")
     return F.when(
         this_year.isNull() | (this_year > latest), in_year(reference_ts.year - 1)
     ).otherwise(this_year)

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.timestamps import instant
 from .forest import IsolationForest, fit_isolation_forest, score_isolation_forest
 from .normalise import metadata_get
 
@@ -54,7 +55,7 @@ def fit_login_model(
     events: DataFrame, as_of: datetime, baseline_days: int = 30
 ) -> IsolationForest | None:
     """Forest on the logins of the ``baseline_days`` before ``as_of``."""
-    until = F.lit(as_of.isoformat(sep=" ")).cast("timestamp")
+    until = instant(as_of)
     since = until - F.expr(f"INTERVAL {int(baseline_days)} DAYS")
     baseline = events.filter((F.col("timestamp") >= since) & (F.col("timestamp") < until))
     return fit_isolation_forest(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.severity import severity_rank
 from ..functions.text import fold_term, word_text, words
+from ..functions.timestamps import instant
 from ..schemas import SEVERITIES, SOURCES
 
 # Fixed limits of the search interface.
@@ -69,11 +70,6 @@ def _as_time(name: str, value: datetime | str | None) -> datetime | None:
     return value
 
 
-def _time_lit(value: datetime) -> Column:
-    """A naive time as the session reads it (sessions run in UTC)."""
-    return F.lit(value.isoformat(sep=" ")).cast("timestamp")
-
-
 def event_filter(
     events: DataFrame,
     severity: str | None = None,
@@ -108,11 +104,11 @@ def event_filter(
             events = events.filter(F.col(column) == value)
     by_day = "event_date" in events.columns
     if start:
-        events = events.filter(F.col("timestamp") >= _time_lit(start))
+        events = events.filter(F.col("timestamp") >= instant(start))
         if by_day:
             events = events.filter(F.col("event_date") >= F.lit(start.date()))
     if end:
-        events = events.filter(F.col("timestamp") <= _time_lit(end))
+        events = events.filter(F.col("timestamp") <= instant(end))
         if by_day:
             events = events.filter(F.col("event_date") <= F.lit(end.date()))
     return events
@@ -276,7 +272,7 @@ def page_events(
     if after is not None:
         value, last_id = after
         key = _sort_column(sort, severity_order)
-        last = _time_lit(value) if isinstance(value, datetime) else F.lit(value)
+        last = instant(value) if isinstance(value, datetime) else F.lit(value)
         tie = F.col("event_id")
         if order == "desc":
             events = events.filter((key < last) | ((key == last) & (tie < last_id)))

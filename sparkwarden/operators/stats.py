@@ -7,17 +7,13 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.timestamps import iso_text, sunday_first_day
+from ..functions.timestamps import instant, iso_text, sunday_first_day
 from ..schemas import SEVERITIES
 from .topk import newest
 
 TOP = 10
 
 
-def _at(as_of: datetime) -> Column:
-    return F.lit(as_of.isoformat(sep=" ")).cast("timestamp")
-
-
 def top_k(df: DataFrame, column: str, k: int = TOP) -> DataFrame:
     """Most frequent non-null values, ties in value order."""
     return (
@@ -68,7 +64,7 @@ def overview(events: DataFrame, alerts: DataFrame, as_of: datetime, k: int = TOP
     """
     kept = max(k, len(SEVERITIES))
     facets = ("severity", "source_ip", "event_type")
-    recent = F.count_if(F.col("timestamp") >= _at(as_of) - F.expr("INTERVAL 1 HOUR"))
+    recent = F.count_if(F.col("timestamp") >= instant(as_of) - F.expr("INTERVAL 1 HOUR"))
     counted = (
         events.select("timestamp", *facets)
         .groupingSets([[F.col(f)] for f in facets] + [[]], *facets)
@@ -127,7 +123,7 @@ def cards(overview_row: DataFrame) -> DataFrame:
 
 def heatmap(events: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:
     """Events per (day of week, hour) since ``days`` before ``as_of``; Sunday = 0."""
-    since = _at(as_of) - F.expr(f"INTERVAL {int(days)} DAYS")
+    since = instant(as_of) - F.expr(f"INTERVAL {int(days)} DAYS")
     return (
         events.filter(F.col("timestamp") >= since)
         .groupBy(

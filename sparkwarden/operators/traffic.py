@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.timestamps import instant
 from .forest import IsolationForest, fit_isolation_forest, score_isolation_forest
 from .normalise import metadata_get
 
@@ -83,7 +84,7 @@ def traffic_snapshots(
 
 def recent_baseline(snapshots: DataFrame, as_of: datetime, days: int | None = None) -> DataFrame:
     """Snapshots before ``as_of``, of the last ``days`` if given."""
-    until = F.lit(as_of.isoformat(sep=" ")).cast("timestamp")
+    until = instant(as_of)
     kept = snapshots.filter(F.col("window_start") < until)
     if days is not None:
         kept = kept.filter(F.col("window_start") >= until - F.expr(f"INTERVAL {int(days)} DAYS"))

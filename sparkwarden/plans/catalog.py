@@ -8,8 +8,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.timestamps import iso_text
 from ..functions.severity import severity_from_text, severity_rank
+from ..functions.timestamps import instant, iso_text
 from ..operators import alerts as al
 from ..operators import dns, forest, graph, login, narratives, normalise, rules, search
 from ..operators import sequences, stats, traffic
@@ -334,7 +334,8 @@ def ingest_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = logs.read_existing(
         spark, {"auth": f"{folder}/auth", "syslog": f"{folder}/syslog"}
     )
-    events, rejected = plan.normalise_logs(found, fx.AS_OF)
+    plan.store_logs(found, f"{folder}/table", fx.AS_OF)
+    events, rejected = plan.stored_logs(spark, f"{folder}/table")
     kinds = events.select("source", "event_type", "severity").unionByName(
         rejected.select(
             "source", F.col("reject_reason").alias("event_type"), F.lit("").alias("severity")
@@ -597,7 +598,7 @@ def login_forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logins after the baseline, scored by a forest fitted to it."""
     events = fx.sec_events(spark, sf_dir)
     model = login.fit_login_model(events, BASELINE_END)
-    later = events.filter(F.col("timestamp") >= F.lit(str(BASELINE_END)).cast("timestamp"))
+    later = events.filter(F.col("timestamp") >= instant(BASELINE_END))
     scored = forest.predict_anomaly(login.score_logins(later, model))
     return scored.select("event_id", F.round("anomaly_score", 6).alias("anomaly_score"), "is_anomaly")
 
@@ -614,6 +615,25 @@ def traffic_forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def login_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of logins the forest finds unusual, at a low threshold."""
+    events = fx.sec_events(spark, sf_dir)
+    model = login.fit_login_model(events, BASELINE_END)
+    return plain_times(
+        al.login_alerts(login.score_logins(events, model), threshold=0.52).select(
+            "severity", "narrative", "created_at"
+        )
+    )
+
+
+@query
+def traffic_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    snapshots = _snapshots(spark, sf_dir)
+    analysed = traffic.analyze_traffic(snapshots, traffic.baseline_stats(snapshots), limit=1.5)
+    return plain_times(al.traffic_alerts(analysed).select("severity", "created_at"))
+
+
 # Alerts --------------------------------------------------------------------------------
 
 
@@ -660,7 +680,8 @@ def cluster_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def cluster_narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
     clusters = narratives.event_clusters(fx.sec_events(spark, sf_dir), F.col("source_ip"), 1440)
-    return plain_times(narratives.narrate(clusters))
+    told = narratives.narrate(clusters)
+    return plain_times(told.drop("dest_port", "window_minutes"))
 
 
 @query

@@ -6,14 +6,14 @@ from collections.abc import Sequence
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.alerts import dns_alerts, login_alerts, traffic_alerts
 from ..operators.dns import DnsForest, classify_dns, dns_queries
 from ..operators.forest import IsolationForest
 from ..operators.login import LOGIN_TYPES, score_logins
-from ..operators.normalise import parse_auth, parse_syslog, split_parsed, validate_events
+from ..operators.normalise import event_violations, parse_auth, parse_syslog, split_parsed
 from ..operators.rules import BUILT_IN_RULES, Rule, matches_to_alerts, rule_matches
 from ..operators.traffic import analyze_traffic
 from ..schemas import EVENT_COLUMNS
@@ -22,21 +22,53 @@ from ..sources.logs import route_sources
 PARSERS = {"auth": parse_auth, "syslog": parse_syslog}
 
 
+def checked_logs(
+    lines: dict[str, DataFrame], reference_ts: datetime, rollover: bool = False
+) -> DataFrame:
+    """The lines of several sources, each parsed by its own parser.
+
+    ``reject_reason`` is null for an event; else no format matched, there is no such
+    date, or it names the table constraints that do not hold.
+    """
+    parsed = {s: PARSERS[s](df, reference_ts, rollover) for s, df in lines.items()}
+    broken = F.nullif(F.array_join(event_violations(), ","), F.lit(""))
+    return route_sources(parsed).withColumn("reject_reason", F.coalesce("reject_reason", broken))
+
+
 def normalise_logs(
     lines: dict[str, DataFrame], reference_ts: datetime, rollover: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """(valid events, rejects) of the lines of several sources, each by its own parser.
+    """(valid events, rejects) of the lines of several sources.
 
-    Rejects carry a reason: no format matched, no such date, or the broken table
-    constraints.
+    Using both results parses the lines twice; ``store_logs`` does it once.
     """
-    parsed = {s: PARSERS[s](df, reference_ts, rollover) for s, df in lines.items()}
-    events, unparsed = split_parsed(route_sources(parsed))
-    valid, invalid = validate_events(events)
-    broken = invalid.select(
-        "event_id", "source", "raw_message", F.array_join("violations", ",").alias("reject_reason")
+    return split_parsed(checked_logs(lines, reference_ts, rollover))
+
+
+def store_logs(
+    lines: dict[str, DataFrame], path: str, reference_ts: datetime, rollover: bool = False
+) -> None:
+    """Parse once and append events and rejects to one table, apart by folder."""
+    (
+        checked_logs(lines, reference_ts, rollover)
+        .withColumn("outcome", F.when(F.col("reject_reason").isNull(), "event").otherwise("reject"))
+        .withColumn("event_date", F.to_date("timestamp"))
+        .hint("rebalance", "outcome", "event_date")
+        .sortWithinPartitions("outcome", "event_date", "timestamp", "event_id")
+        .write.mode("append")
+        .partitionBy("outcome", "event_date")
+        .parquet(path)
+    )
+
+
+def stored_logs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(events, rejects) of a table written by ``store_logs``; each reads its own folder."""
+    table = spark.read.parquet(path)
+    events = table.filter(F.col("outcome") == "event").select(*EVENT_COLUMNS, "event_date")
+    rejects = table.filter(F.col("outcome") == "reject").select(
+        "event_id", "source", "raw_message", "reject_reason"
     )
-    return valid, unparsed.unionByName(broken)
+    return events, rejects
 
 
 def score_events(events: DataFrame, login_model: IsolationForest | None) -> DataFrame:

@@ -593,6 +593,11 @@ def oracle_statements() -> dict[str, str]:
             "len(flags) >= 2 as is_anomalous, len(flags) = 0 as is_normal from flagged",
             _flagged(2.0),
         ),
+        "traffic_alerts": _with(
+            "select 'high' as severity, window_start as created_at from flagged "
+            "where len(flags) >= 2",
+            _flagged(1.5),
+        ),
         "alerts_list": _with(
             "select alert_id, severity, acknowledged, created_at from alert_state "
             "where acknowledged = 0 and severity = 'high' "
@@ -625,7 +630,7 @@ def oracle_statements() -> dict[str, str]:
         ),
         "cluster_narratives": _with(
             "select key as cluster_key, day as window_start, n as count, f.event_type, "
-            "f.source_ip, f.dest_port, 1440 as window_minutes, "
+            "f.source_ip, "
             f"{_NARRATIVE} as narrative from (select source_ip as key, "
             "date_trunc('day', timestamp) as day, count(*) as n, "
             "first({'event_type': event_type, 'source_ip': source_ip, 'dest_port': dest_port} "

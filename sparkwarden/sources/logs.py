@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..functions.timestamps import instant
 
 def _clean(lines: DataFrame) -> DataFrame:
     return (
@@ -48,7 +49,7 @@ def stream_logs(
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     lines = _clean(reader.load(path))
     if start_after is not None:
-        lines = lines.filter(F.col("file_time") > F.lit(start_after))
+        lines = lines.filter(F.col("file_time") > instant(start_after))
     return lines
 
 

@@ -14,7 +14,7 @@ from sparkwarden.operators.normalise import (
     split_parsed,
     validate_events,
 )
-from sparkwarden.plans.detect import normalise_logs
+from sparkwarden.plans.detect import normalise_logs, store_logs, stored_logs
 from sparkwarden.sources import logs, tables
 
 NOW = datetime(2026, 4, 10)
@@ -175,6 +175,10 @@ def test_sources_route_to_their_parsers(spark, tmp_path):
         ("syslog", "syslog_app"),
     }
     assert [r.reject_reason for r in rejects.collect()] == ["no_match"]
+    store_logs(found, str(tmp_path / "table"), NOW)
+    stored, kept_back = stored_logs(spark, str(tmp_path / "table"))
+    assert sorted(stored.drop("event_date").collect()) == sorted(events.collect())
+    assert kept_back.collect() == rejects.collect()
 
 
 def test_events_survive_the_table(spark, make_events, tmp_path):
