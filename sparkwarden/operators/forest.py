@@ -118,6 +118,7 @@ def fit_isolation_forest(
     The offset is the score that the share ``contamination`` of the training rows
     exceeds.
     """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
     n = df.count()
     if n < max(min_rows, 2):
         return None
@@ -126,7 +127,9 @@ def fit_isolation_forest(
     vector = F.array(*[F.col(c).cast("double") for c in columns])
     k = len(columns)
     nodes = (
+        # Few rows but much work: without a fixed number of tasks they would be merged.
         _sampled(df, vector, id_column, n, n_trees, size, seed)
+        .repartition(min(n_trees, tasks), "tree")
         .groupBy("tree")
         .applyInPandas(lambda pdf: _grow(pdf, k, size, seed), _NODES)
         .toPandas()
@@ -136,7 +139,7 @@ def fit_isolation_forest(
         raise ValueError("node table larger than its bound")
     model = IsolationForest(tuple(columns), nodes, 0.0)
     # Equal rows score alike, so each distinct row is scored once.
-    distinct = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_rows"))
+    distinct = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_rows")).repartition(tasks)
     scores = (
         distinct.select(_raw_score(model).alias("a"), "_rows")
         .groupBy(F.round("a", 6).alias("a"))
@@ -151,31 +154,34 @@ def fit_isolation_forest(
 
 def _raw_score(model: IsolationForest) -> Column:
     """2 ** -(mean path length / expected path length), by a vectorised tree walk."""
-    trees = [t.reset_index(drop=True) for _, t in model.nodes.groupby("tree")]
-    arrays = [
-        (
-            t["feature"].to_numpy(),
-            t["split"].to_numpy(),
-            t["left"].to_numpy(),
-            t["right"].to_numpy(),
-            t["depth"].to_numpy() + _path_length(t["size"].to_numpy()),
-            float(np.maximum(_path_length(t["sample_size"].iloc[0]), 1.0)),
-        )
-        for t in trees
-    ]
+    t = model.nodes
+    n_trees = t["tree"].nunique()
+    roots = np.flatnonzero(t["node"].to_numpy() == 0)
+    first = np.repeat(roots, np.diff(np.append(roots, len(t))))
+    leaf = t["feature"].to_numpy() < 0
+    here = np.arange(len(t))
+    # All trees in one set of arrays; a leaf leads to itself.
+    feature = np.where(leaf, 0, t["feature"].to_numpy())
+    split = t["split"].to_numpy()
+    child = np.column_stack(
+        [np.where(leaf, here, first + t[side].to_numpy()) for side in ("left", "right")]
+    ).ravel()
+    expected = np.maximum(_path_length(t["sample_size"].to_numpy()), 1.0)
+    path = (t["depth"].to_numpy() + _path_length(t["size"].to_numpy())) / expected / n_trees
+    levels = int(t["depth"].max())
 
     def walk(x: np.ndarray) -> np.ndarray:
-        depth = np.zeros(len(x))
-        for feature, split, left, right, length, expected in arrays:
-            at = np.zeros(len(x), dtype=np.int64)
-            inner = np.flatnonzero(feature[at] >= 0)
-            while len(inner):
-                here = at[inner]
-                goes_left = x[inner, feature[here]] < split[here]
-                at[inner] = np.where(goes_left, left[here], right[here])
-                inner = inner[feature[at[inner]] >= 0]
-            depth += length[at] / expected
-        return np.power(2.0, -depth / max(len(arrays), 1))
+        out = np.empty(len(x))
+        # Few rows at a time, so that the positions in all trees stay in the cache.
+        for begin in range(0, len(x), 256):
+            part = x[begin : begin + 256]
+            flat, row = part.ravel(), (np.arange(len(part)) * part.shape[1])[:, None]
+            at = np.broadcast_to(roots, (len(part), n_trees))
+            for _ in range(levels):
+                right = flat[row + feature[at]] >= split[at]
+                at = child[2 * at + right]
+            out[begin : begin + 256] = path[at].sum(axis=1)
+        return np.power(2.0, -out)
 
     @F.pandas_udf(DoubleType())
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
