@@ -28,20 +28,26 @@ from ..operators.rules import (
 from ..operators.slices import MICROS
 
 _ROWS = "rule_id string, group_key string, timestamp timestamp, event_id bigint"
+_FIRES = (
+    "rule_id string, group_key string, fired_at timestamp, fired_id bigint, matched int, "
+    "evidence array<timestamp>"
+)
 _CLOCK = "watermark_us bigint, late_rows bigint"
 
 
-def _open_rows(passed: DataFrame, fires: DataFrame, rule: Rule, watermark_us: int) -> DataFrame:
+def _open_rows(passed: DataFrame, fires: DataFrame, rules: Sequence[Rule], watermark_us: int):
     """Rows after a key's last firing that the next event could still count."""
-    recent = passed.filter(
-        F.unix_micros("timestamp") >= watermark_us - rule.window_seconds * MICROS
+    windows = F.create_map(
+        *[x for r in rules for x in (F.lit(r.rule_id), F.lit(r.window_seconds * MICROS))]
     )
-    last = fires.groupBy("group_key").agg(
+    reach = watermark_us - F.element_at(windows, F.col("rule_id"))
+    last = fires.groupBy("rule_id", "group_key").agg(
         F.max(F.struct("fired_at", "fired_id")).alias("last")
     )
     place = F.struct(F.col("timestamp").alias("fired_at"), F.col("event_id").alias("fired_id"))
     return (
-        recent.join(last, "group_key", "left")
+        passed.filter(F.unix_micros("timestamp") >= reach)
+        .join(last, ["rule_id", "group_key"], "left")
         .filter(F.col("last").isNull() | (place > F.col("last")))
         .select("rule_id", "group_key", "timestamp", "event_id")
     )
@@ -82,21 +88,26 @@ def run_rule_stream(
             )
             rows = rows if kept is None else rows.unionByName(kept)
             passed = F.unix_micros("timestamp") <= watermark_us
-            left, fired = [rows.filter(~passed)], []
+            fired = []
             for rule in active:
-                done = rows.filter(passed & (F.col("rule_id") == rule.rule_id))
                 fires = fire_and_reset(
-                    done, F.col("group_key"), rule.window_seconds, rule.threshold
+                    rows.filter(passed & (F.col("rule_id") == rule.rule_id)),
+                    F.col("group_key"),
+                    rule.window_seconds,
+                    rule.threshold,
                 )
                 fired.append(fires.select(F.lit(rule.rule_id).alias("rule_id"), "*"))
-                if rule.threshold > 1:
-                    left.append(_open_rows(done, fires, rule, watermark_us))
-            reduce(DataFrame.unionByName, fired).write.mode("overwrite").parquet(
-                f"{path}/fires/batch={batch_id}"
-            )
-            reduce(DataFrame.unionByName, left).write.mode("overwrite").parquet(
-                f"{path}/rows/batch={batch_id}"
-            )
+            fires_path = f"{path}/fires/batch={batch_id}"
+            reduce(DataFrame.unionByName, fired).write.mode("overwrite").parquet(fires_path)
+            written = spark.read.schema(_FIRES).parquet(fires_path)
+            windowed = [r for r in active if r.threshold > 1]
+            left = rows.filter(~passed)
+            if windowed:
+                waiting = rows.filter(
+                    passed & F.col("rule_id").isin(*[r.rule_id for r in windowed])
+                )
+                left = left.unionByName(_open_rows(waiting, written, windowed, watermark_us))
+            left.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
             # The clock comes last: a batch counts once its clock is there.
             spark.createDataFrame([(watermark_us, seen.late)], _CLOCK).write.mode(
                 "overwrite"
@@ -117,17 +128,13 @@ def read_rule_stream(
     spark: SparkSession, path: str, rules: Sequence[Rule] = BUILT_IN_RULES
 ) -> DataFrame:
     """Firings of all finished micro-batches, in the form of ``rule_matches``."""
-    schema = (
-        "rule_id string, group_key string, fired_at timestamp, fired_id bigint, matched int, "
-        "evidence array<timestamp>, batch bigint"
-    )
     try:
         done = _finished(spark, path).agg(F.max("batch")).first()[0]
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return with_rule_facts(spark.createDataFrame([], schema).drop("batch"), rules)
-    fires = spark.read.schema(schema).parquet(f"{path}/fires").filter(F.col("batch") <= done)
+        return with_rule_facts(spark.createDataFrame([], _FIRES), rules)
+    fires = spark.read.schema(f"{_FIRES}, batch bigint").parquet(f"{path}/fires").filter(F.col("batch") <= done)
     return with_rule_facts(fires.drop("batch"), rules)
 
 
