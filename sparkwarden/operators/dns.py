@@ -21,6 +21,7 @@ from ..functions.dns import (
     first_label,
     shannon_entropy,
 )
+from ..session import shared_dir
 from .normalise import metadata_get
 
 NORMAL = "normal"
@@ -100,8 +101,14 @@ def fit_dns_forest(
     n_trees: int = 100,
     max_depth: int = 10,
     seed: int = 42,
+    path: str | None = None,
 ) -> DnsForest | None:
-    """Random forest on labelled domains; None below the minimum row count."""
+    """Random forest on labelled domains; None below the minimum row count.
+
+    The model is stored, at ``path`` or in the shared folder, and used as it is read
+    back: a freshly fitted one drags its training summary, and with that the session,
+    into every task.
+    """
     # Only as many rows as the minimum are counted.
     if df.limit(MIN_TRAINING_ROWS).count() < MIN_TRAINING_ROWS:
         return None
@@ -122,6 +129,13 @@ def fit_dns_forest(
         ),
     ]
     model = Pipeline(stages=stages).fit(dns_features(df.select(domain, label), domain))
+    path = path or shared_dir(df.sparkSession, "dns-forest")
+    model.write().save(path)
+    return load_dns_forest(path)
+
+
+def load_dns_forest(path: str) -> DnsForest:
+    model = PipelineModel.load(path)
     return DnsForest(model, tuple(model.stages[0].labels))
 
 

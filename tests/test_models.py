@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sparkwarden.functions.dns import shannon_entropy
 from sparkwarden.operators import dns, forest, login, traffic
 from sparkwarden.operators.alerts import dns_alerts, login_alerts, traffic_alerts
+from sparkwarden.plans.detect import with_progress
 
 
 def domains(spark, *names):
@@ -79,6 +80,8 @@ def test_dns_forest_learns_the_labels(spark):
     normal = [f"www.site{i}.example" for i in range(40)]
     hexed = ["".join(rng.choices("0123456789abcdef", k=24)) + ".c2.example" for _ in range(40)]
     labelled = dns.classify_dns(domains(spark, *normal, *hexed)).select("domain", "label")
+    # An observation in the session must not get in the way of the model.
+    with_progress(labelled)[0].collect()
     model = dns.fit_dns_forest(labelled, n_trees=10)
     assert model.labels == ("normal", "tunneling_suspect")
     out = dns.classify_dns(domains(spark, "www.site99.example", "deadbeef" * 3 + ".c2.example"), model)
