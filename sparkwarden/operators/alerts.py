@@ -9,7 +9,7 @@ from ..functions.timestamps import iso_text
 from ..schemas import ALERT_COLUMNS
 from .dns import NORMAL, TUNNELING
 from .normalise import metadata_get
-from .search import check_id, check_page, total
+from .search import check_page, has_id, total
 
 LOGIN_THRESHOLD = 0.7
 PREVIEW = 100
@@ -93,7 +93,7 @@ def list_alerts(
 def alert_narrative(alerts: DataFrame, alert_id: int | str | None = None) -> DataFrame:
     """Readable narrative of one alert, or of all; a stand-in when it is empty."""
     if alert_id is not None:
-        alerts = alerts.filter(F.col("alert_id") == check_id(alert_id))
+        alerts = alerts.filter(has_id("alert_id", alert_id))
     cluster = F.col("event_cluster")
     if alerts.schema["event_cluster"].dataType.simpleString() == "string":
         cluster = F.from_json(cluster, "array<string>")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -143,19 +143,27 @@ def match_rules(events: DataFrame, rules: Sequence[Rule] = BUILT_IN_RULES) -> Da
     )
 
 
-def _first_fires(runs: pd.DataFrame, threshold: int) -> pd.DataFrame:
-    """First firing row of each run of one chain (``lo``, ``hi`` are row numbers)."""
-    runs = runs.sort_values("lo")
-    first = []
-    allowed = 0
-    for lo, hi in zip(runs["lo"].to_numpy(), runs["hi"].to_numpy(), strict=True):
-        start = max(lo, allowed)
-        if start <= hi:
-            first.append(start)
-            allowed = start + (hi - start) // threshold * threshold + threshold
-        else:
-            first.append(-1)
-    return runs.assign(first=first)
+def _first_fires(batches: Iterator[pd.DataFrame], threshold: int) -> Iterator[pd.DataFrame]:
+    """First firing row of each run (row numbers ``lo`` to ``hi``), or -1.
+
+    Runs come sorted by key and place, in batches: only the current key and the
+    row from which it may fire again are remembered.
+    """
+    key, allowed = None, 0
+    for pdf in batches:
+        first = []
+        for k, lo, hi in zip(
+            pdf["group_key"].tolist(), pdf["lo"].tolist(), pdf["hi"].tolist(), strict=True
+        ):
+            if k != key:
+                key, allowed = k, 0
+            start = max(lo, allowed)
+            if start <= hi:
+                first.append(start)
+                allowed = start + (hi - start) // threshold * threshold + threshold
+            else:
+                first.append(-1)
+        yield pdf.assign(first=pd.Series(first, dtype="int64", index=pdf.index))
 
 
 def fire_and_reset(
@@ -176,12 +184,12 @@ def fire_and_reset(
     places before it is inside the window; it fires when it is also at least
     ``threshold`` rows after the last firing row. Candidates form runs of adjacent
     rows, and within a run every threshold-th row fires, so a run only needs to
-    know its first firing row. That depends on earlier runs only while the gaps
-    between them are shorter than ``threshold`` rows (a chain).
+    know its first firing row, which follows from the runs before it.
 
-    Rows are windowed by (key, slice), see ``slices``. What remains per key is one
-    row per slice and per run: at most ``threshold`` runs fit into one window
-    length, so their number follows the time span, not the number of rows.
+    Rows are windowed by (key, slice), see ``slices``. What is left to go through
+    key by key is one row per run, in order and in batches: fewer than ``threshold``
+    gaps fit into one window length, so runs follow the time span of a key, not the
+    number of its rows.
     """
     rows = df.select(
         key.alias("group_key"),
@@ -231,40 +239,21 @@ def fire_and_reset(
             (F.col("hi") + F.col("before")).alias("hi"),
         )
     )
-    in_order = Window.partitionBy("group_key").orderBy("lo")
-    gap = F.col("lo") - F.lag("hi").over(in_order)
-    chained = (
-        runs.withColumn("starts", (gap.isNull() | (gap >= threshold)).cast("bigint"))
-        .withColumn("chain", F.sum("starts").over(in_order))
-        .withColumn(
-            "alone",
-            (F.col("starts") == 1)
-            & (F.coalesce(F.lead("starts").over(in_order), F.lit(1)) == 1),
-        )
-    )
-    fields = ["group_key", "_slice", "run", "before"]
-    closed = chained.filter("alone").select(*fields, F.col("lo").alias("first"))
-    folded = (
-        chained.filter("not alone")
-        .select("group_key", "chain", "_slice", "run", "before", "lo", "hi")
-        .groupBy("group_key", "chain")
-        .applyInPandas(
-            lambda pdf: _first_fires(pdf, threshold),
-            "group_key string, chain bigint, _slice bigint, run bigint, before bigint, "
-            "lo bigint, hi bigint, first bigint",
+    first_fires = (
+        runs.repartition("group_key")
+        .sortWithinPartitions("group_key", "lo")
+        .mapInPandas(
+            lambda batches: _first_fires(batches, threshold),
+            "group_key string, _slice bigint, run bigint, before bigint, lo bigint, hi bigint, "
+            "first bigint",
         )
         .filter("first >= 0")
-        .select(*fields, "first")
     )
     # One row per slice, so that the candidates keep their partitioning in the join.
-    starts = (
-        closed.unionByName(folded)
-        .groupBy("group_key", "_slice")
-        .agg(
-            F.map_from_entries(
-                F.collect_list(F.struct("run", F.col("first") - F.col("before")))
-            ).alias("first_of_run")
-        )
+    starts = first_fires.groupBy("group_key", "_slice").agg(
+        F.map_from_entries(
+            F.collect_list(F.struct("run", F.col("first") - F.col("before")))
+        ).alias("first_of_run")
     )
     fired = (
         candidates.join(starts, ["group_key", "_slice"])

@@ -56,6 +56,12 @@ def check_id(value: int | str) -> int:
     return int(value)
 
 
+def has_id(column: str, value: int | str) -> Column:
+    """The id column equals a checked id; ids beyond 64 bits equal nothing."""
+    number = check_id(value)
+    return F.col(column) == number if number < 2**63 else F.lit(False)
+
+
 def _as_time(name: str, value: datetime | str | None) -> datetime | None:
     """A time bound; text must be ISO 8601, an offset is converted to UTC."""
     if value is None or value == "":
@@ -307,7 +313,7 @@ def search_events(
 
 def get_event(events: DataFrame, event_id: int | str) -> DataFrame:
     """The event with this id; no row when there is none."""
-    return events.filter(F.col("event_id") == check_id(event_id))
+    return events.filter(has_id("event_id", event_id))
 
 
 def list_anomalies(

@@ -99,11 +99,18 @@ def test_same_instant_in_one_key(spark):
     assert [r[2] for r in fired(spark, rows, 300, 10)] == list(range(9, 95, 10))
 
 
-def test_first_fires_of_a_chain():
-    runs = pd.DataFrame({"lo": [1, 6, 20], "hi": [4, 9, 21]})
-    assert rules._first_fires(runs, 4)["first"].tolist() == [1, 6, 20]
-    runs = pd.DataFrame({"lo": [1, 4, 6], "hi": [2, 4, 6]})
-    assert rules._first_fires(runs, 4)["first"].tolist() == [1, -1, 6]
+@pytest.mark.parametrize("size", [1, 2, 6])
+def test_first_fires_across_batches(size):
+    runs = pd.DataFrame(
+        {
+            "group_key": ["a", "a", "a", "b", "b", "b"],
+            "lo": [1, 6, 20, 1, 4, 6],
+            "hi": [4, 9, 21, 2, 4, 6],
+        }
+    )
+    batches = (runs.iloc[i : i + size] for i in range(0, len(runs), size))
+    out = pd.concat(rules._first_fires(batches, 4))
+    assert out["first"].tolist() == [1, 6, 20, 1, -1, 6]
 
 
 def by_rule(matches):

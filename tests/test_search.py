@@ -101,6 +101,7 @@ def test_pages_by_offset_and_by_key_agree(events, order):
 def test_lookup(events):
     assert ids(search.get_event(events, "7")) == [7]
     assert ids(search.get_event(events, 99999)) == []
+    assert ids(search.get_event(events, "9" * 20)) == []
     for bad in ("abc", "1" * 21, "-1"):
         with pytest.raises(ValueError):
             search.get_event(events, bad)
