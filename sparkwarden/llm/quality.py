@@ -33,24 +33,35 @@ def _apart(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
-def _span(n: Column) -> Column:
-    """0 .. n - 1 as an array, empty for n < 1."""
-    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+def _blanks_only(text: Column) -> Column:
+    """The text with every space character as a blank: byte-wise replacement, and a split at one character, need no regex."""
+    for c in SPACES[1:]:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
 
 
-def _word_hashes(text: Column) -> Column:
-    words = F.filter(F.split(text, SPACE_RUN, -1), lambda w: w != "")
+def _words(parts: Column) -> Column:
+    return F.when(F.array_contains(parts, ""), F.filter(parts, lambda w: w != "")).otherwise(parts)
+
+
+def _without(text: Column, characters: str) -> Column:
+    for c in characters:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
+
+
+def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _grams(hashes: Column, buckets: int) -> Column:
-    """Buckets of the words, then of the pairs of adjacent words."""
-    n = F.size(hashes)
-    ones = F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
-    after = F.slice(hashes, 2, F.greatest(n - 1, F.lit(0)))
-    before = F.slice(hashes, 1, F.greatest(n - 1, F.lit(0)))
-    pairs = F.zip_with(before, after, lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int"))
-    return F.concat(ones, pairs)
+def _pairs(hashes: Column) -> Column:
+    """Hashes of the pairs of adjacent words."""
+    firsts = F.slice(hashes, 1, F.greatest(F.size(hashes) - 1, F.lit(0)))
+    return F.transform(firsts, lambda a, i: F.xxhash64(a, F.get(hashes, i + 1)))
+
+
+def _bucket(hash_: Column, buckets: int) -> Column:
+    return F.pmod(hash_, F.lit(buckets)).cast("int")
 
 
 def gram_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, *, id_col="doc_id", text_col="text") -> DataFrame:
@@ -62,13 +73,12 @@ def gram_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, *,
     ids = trusted.select(F.col(id_col).alias("_id")).where(F.col("_id").isNotNull()).distinct().withColumn("_trusted", F.lit(1))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
     # The ids are the narrow side: their hash table is built per partition and no text is sorted.
-    marked = texts.join(ids.hint("shuffle_hash"), "_id", "left").select(
-        F.coalesce("_trusted", F.lit(0)).alias("_trusted"), _word_hashes(F.col("_text")).alias("_h")
-    )
-    marked = _apart(marked.select("_trusted", F.inline(F.array(F.struct("_h")))).select("_trusted", F.col("_h")), _g=_grams(F.col("_h"), buckets))
+    marked = texts.join(ids.hint("shuffle_hash"), "_id", "left")
+    parted = _apart(marked.select(F.coalesce("_trusted", F.lit(0)).alias("_trusted"), "_text"), _parts=F.split(_blanks_only(F.col("_text")), " ", -1))
+    hashed = _apart(parted.drop("_text"), _h=_hashes(_words(F.col("_parts")))).drop("_parts")
     return (
-        marked.select("_trusted", F.explode("_g").alias("bucket"))
-        .groupBy("bucket")
+        hashed.select("_trusted", F.explode(F.concat(F.col("_h"), _pairs(F.col("_h")))).alias("_g"))
+        .groupBy(_bucket(F.col("_g"), buckets).alias("bucket"))
         .agg(F.count(F.lit(1)).alias("raw"), F.sum("_trusted").alias("target"))
     )
 
@@ -86,71 +96,74 @@ def log_ratios(counts: DataFrame, buckets: int = BUCKETS) -> list[float]:
     return [math.log(t + 1) - math.log(r + 1) + shift for r, t in (rows.get(b, (0, 0)) for b in range(buckets))]
 
 
-def judge(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD, *, text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: `row` (its columns as a struct) and the counts and verdict.
+def judge(
+    docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD, *, text_col: str = "text", keep: list[str] | None = None
+) -> DataFrame:
+    """One row per row of `docs`: `row` (its columns, or those of `keep`, as a struct), the counts and the verdict.
 
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed,
     score (double; 0 for a text without words), kept. Whole texts are used, of any
     length. A null text counts as empty: no words, so base_failed. Repeated rows are
     judged alike and all returned. Column names of `docs` cannot clash with the new ones.
     """
-    if len(ratios) < 1:
+    if not ratios:
         raise ValueError("ratios must not be empty")
     # One literal: an array the optimizer folds from its text.
     weights = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
-    text = F.coalesce(F.col(f"row.{text_col}"), F.lit(""))
-    line_words = F.filter(F.split(text, "\n", -1), lambda line: F.length(F.translate(line, SPACES, "")) > 0)
-    frame = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.coalesce(F.col("_text"), F.lit(""))
+    lines = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)])
+    frame = docs.select(row.alias("row"), F.col(f"`{text_col}`").alias("_text"))
+    frame = _apart(frame, _parts=F.split(_blanks_only(text), " ", -1), _lines=lines).select(
+        "row",
+        "_parts",
+        (F.length(text) - F.size("_parts") + 1).cast("long").alias("word_chars"),
+        (F.length(text) - F.length(_without(text, SYMBOLS))).cast("long").alias("n_symbols"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+    )
+    frame = _apart(frame, _h=_hashes(_words(F.col("_parts")))).drop("_parts")
+    frame = _apart(frame, _p=_pairs(F.col("_h")))
+    h, p, n = F.col("_h"), F.col("_p"), F.size("_h")
+
+    def log_sum(hashes: Column) -> Column:
+        return F.aggregate(hashes, F.lit(0.0), lambda acc, g: acc + F.get(weights, _bucket(g, len(ratios))))
+
+    # A window of five words is its first two pairs and its last word.
+    starts = F.slice(p, 1, F.greatest(n - (REPEAT_WINDOW - 1), F.lit(0)))
+    windows = F.transform(starts, lambda x, i: F.xxhash64(x, F.get(p, i + 2), F.get(h, i + 4)))
     frame = _apart(
         frame,
-        _h=_word_hashes(text),
-        word_chars=F.length(F.translate(text, SPACES, "")).cast("long"),
-        n_symbols=(F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-        _lines=line_words,
-    )
+        score=F.when(n == 0, 0.0).otherwise((log_sum(h) + log_sum(p)) / (n + F.size(p))),
+        _w=windows,
+        n_words=n.cast("long"),
+    ).drop("_h", "_p")
+    # Hash and place of a window in one number, so that plain numbers are sorted; the place
+    # takes the low bits it needs. Windows beside an equal one are the repeated ones.
     frame = _apart(
-        frame.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_lines"),
-        _g=_grams(F.col("_h"), len(ratios)),
-        _w=F.transform(
-            _span(F.size("_h") - (REPEAT_WINDOW - 1)),
-            lambda i: F.xxhash64(*[F.get(F.col("_h"), i + k) for k in range(REPEAT_WINDOW)]),
-        ),
+        frame,
+        _bits=F.ceil(F.log2(F.size("_w") + 1)).cast("int"),
+        _twice=F.size(F.array_distinct("_w")) < F.size("_w"),
     )
-    # Windows beside an equal one in sorted order are the repeated ones; most texts have none.
-    repeated = F.size(F.array_distinct("_w")) < F.size("_w")
-    none = F.array().cast("array<struct<h:bigint,i:int>>")
-    frame = _apart(
-        frame.select("row", F.size("_h").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", "_g", "_w"),
-        score=F.when(F.size("_g") == 0, 0.0).otherwise(
-            F.aggregate("_g", F.lit(0.0), lambda acc, b: acc + F.get(weights, b)) / F.size("_g")
-        ),
-        _sorted=F.when(
-            repeated, F.array_sort(F.transform("_w", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        ).otherwise(none),
-    ).drop("_g", "_w")
+    packed = F.transform("_w", lambda x, i: F.expr("shiftleft(-1L, _bits)").bitwiseAND(x).bitwiseOR(i.cast("long")))
+    none = F.array().cast("array<bigint>")
+    frame = _apart(frame, _sorted=F.when(F.col("_twice"), F.sort_array(packed)).otherwise(none)).drop("_w", "_twice")
     s = F.col("_sorted")
-    frame = _apart(
-        frame,
-        _at=F.array_sort(
-            F.filter(
-                F.transform(
-                    s,
-                    lambda x, k: F.when(
-                        (x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"]), x["i"]
-                    ),
-                ),
-                lambda i: i.isNotNull(),
-            )
-        ),
-    ).drop("_sorted")
+    low = F.expr("shiftleft(1L, _bits)")
+
+    def same_window(x: Column, y: Column) -> Column:
+        return x.bitwiseXOR(y).between(F.lit(0), low - 1)
+
+    after = F.transform(s, lambda x, k: F.coalesce(same_window(x, F.get(s, k + 1)), F.lit(False)))
+    frame = _apart(frame, _after=after)
+    places = F.transform(
+        s, lambda x, k: F.when(F.get(F.col("_after"), k) | F.coalesce(F.get(F.col("_after"), k - 1), F.lit(False)), x.bitwiseAND(low - 1))
+    )
+    frame = _apart(frame, _at=F.sort_array(F.filter(places, lambda i: i.isNotNull()))).drop("_sorted", "_after", "_bits")
     # A repeated window covers its words up to where the next one starts.
     at = F.col("_at")
-    covered = F.aggregate(
-        F.transform(at, lambda i, k: F.least(F.lit(REPEAT_WINDOW), F.coalesce(F.get(at, k + 1) - i, F.lit(REPEAT_WINDOW)))),
-        F.lit(0).cast("long"),
-        lambda acc, x: acc + x,
-    )
-    frame = frame.withColumn("n_repeat_words", covered).drop("_at")
+    five = F.lit(REPEAT_WINDOW)
+    covered = F.transform(at, lambda i, k: F.least(five, F.coalesce(F.get(at, k + 1) - i, five)))
+    frame = frame.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0).cast("long"), lambda acc, x: acc + x)).drop("_at")
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     frame = frame.withColumn("base_failed", failed)
     return frame.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
@@ -161,7 +174,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where((F.col("quality") == 1) & (F.col("toxic") == 0)).select("doc_id")
 
 
-def judged_documents(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
+def judged_documents(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
     """`judge` with the ratios of these documents and their labels."""
     ratios = log_ratios(gram_counts(docs, trusted_ids(labels), buckets), buckets)
-    return judge(docs, ratios, threshold)
+    return judge(docs, ratios, threshold, keep=keep)
