@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .quality import judged_documents
 from .sharding import interleaved_shards
+from .simhash import near_duplicates
 from .tables import read_table
+from .warc import archived_pages
 
 
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,11 +18,22 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = archived_pages(read_table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def proportional_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleaved_shards(read_table(spark, sf_dir, "documents"), shards=24)
 
 
 QUERIES = {
     "op2_quality_rules": quality_rules,
+    "op3_simhash_components": simhash_components,
+    "op4_seekable_warc": seekable_warc,
     "op8_proportional_shards": proportional_shards,
 }

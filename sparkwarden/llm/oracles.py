@@ -30,6 +30,20 @@ SELECT doc_id, size::BIGINT AS size, xor(crc, 4294967295)::BIGINT AS text_crc32,
 FROM placed
 """
 
+_WARC = """
+WITH hashed AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+),
+firsts AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM hashed
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first_id THEN first_id END AS refers_to
+FROM firsts
+"""
+
 ORACLES = {
+    "op4_seekable_warc": _WARC,
     "op8_proportional_shards": _SHARDS,
 }
