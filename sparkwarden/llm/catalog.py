@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import round_trip_digests
+from .packing import packed_documents
 from .quality import judged_documents
 from .sharding import interleaved_shards
 from .simhash import near_duplicates
@@ -27,6 +30,16 @@ def seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return round_trip_digests(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+def best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packed_documents(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def proportional_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleaved_shards(read_table(spark, sf_dir, "documents"), shards=24)
 
@@ -35,5 +48,7 @@ QUERIES = {
     "op2_quality_rules": quality_rules,
     "op3_simhash_components": simhash_components,
     "op4_seekable_warc": seekable_warc,
+    "op6_rank_queue_bpe": rank_queue_bpe,
     "op8_proportional_shards": proportional_shards,
+    "op9_best_two_fit": best_two_fit,
 }
