@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import round_trip_digests
+from .counts import token_counts
 from .packing import packed_documents
 from .quality import judged_documents
 from .sharding import interleaved_shards
@@ -40,6 +41,10 @@ def best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def proportional_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleaved_shards(read_table(spark, sf_dir, "documents"), shards=24)
 
@@ -51,4 +56,5 @@ QUERIES = {
     "op6_rank_queue_bpe": rank_queue_bpe,
     "op8_proportional_shards": proportional_shards,
     "op9_best_two_fit": best_two_fit,
+    "op10_prefix_token_counts": prefix_token_counts,
 }

@@ -52,7 +52,7 @@ class PartCache(dict):
 
 # Characters that are neither letters, numbers nor spaces: a run of them is one match of
 # the pattern, and what follows letters leaves the letters' match alone.
-_MARKS = "#*$%&|<>.,;:!?()[]{}\"'-_=+/@~^`"
+MARKS = "#*$%&|<>.,;:!?()[]{}\"'-_=+/@~^`"
 
 
 class CachedEncoder:
@@ -70,7 +70,7 @@ class CachedEncoder:
         """Tokens of a blank and the part."""
         if len(part) > CACHED_CHARS:
             return self.encode(" " + part)
-        letters = part.rstrip(_MARKS)
+        letters = part.rstrip(MARKS)
         if letters != part and letters.isalpha():
             return self.kept[letters] + self.marks[part[len(letters) :]]
         return self.kept[part]
