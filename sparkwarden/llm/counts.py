@@ -16,6 +16,7 @@ pre-tokens: truncation and budget questions are looked up, nothing is encoded ag
 from __future__ import annotations
 
 import json
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -137,7 +138,8 @@ class TextCounter:
         if len(part) > CACHED_CHARS:
             return self._total(part)
         letters = part.rstrip(MARKS)
-        if letters != part and letters.isalpha():
+        # Letters may become a letter and a mark when normalized; those join the marks.
+        if letters != part and (letters if letters.isascii() else unicodedata.normalize("NFC", letters).lower()).isalpha():
             return self.kept[letters] + self.marks[part[len(letters) :]]
         return self.kept[part]
 
