@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import round_trip_digests
 from .counts import token_counts
+from .langid import held_out, identified
 from .packing import packed_documents
 from .quality import judged_documents
 from .sharding import interleaved_shards
@@ -45,6 +47,11 @@ def prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = identified(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return labelled.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def proportional_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleaved_shards(read_table(spark, sf_dir, "documents"), shards=24)
 
@@ -54,6 +61,7 @@ QUERIES = {
     "op3_simhash_components": simhash_components,
     "op4_seekable_warc": seekable_warc,
     "op6_rank_queue_bpe": rank_queue_bpe,
+    "op7_byte_gru_language": byte_gru_language,
     "op8_proportional_shards": proportional_shards,
     "op9_best_two_fit": best_two_fit,
     "op10_prefix_token_counts": prefix_token_counts,

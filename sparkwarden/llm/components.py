@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import stored
@@ -11,25 +11,32 @@ from .tables import stored
 MAX_ROUNDS = 60
 
 
+def _smallest(links: DataFrame) -> DataFrame:
+    """(a, m): a node's smallest neighbour. Partial minima meet, not a node's links; joining it back, Spark can split a node's links."""
+    return links.groupBy("a").agg(F.min("b").alias("m"))
+
+
 def component_roots(links: DataFrame) -> DataFrame:
     """(node, root) for every node in `links` (a, b: long): the smallest node reachable.
 
     Large-star and small-star rounds: each round points a node's neighbours at the
     smallest node around it, until no link changes. Every round is a written table,
-    so a lost executor costs one round. A node of any degree is handled by windows
-    over its links, which spill; nothing is collected but the count of the links
-    that changed.
+    so a lost executor costs one round. Nothing is collected but whether links changed.
     """
     either = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges = stored(either.distinct(), "links")
     for _ in range(MAX_ROUNDS):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = F.least(F.min("b").over(Window.partitionBy("a")), F.col("a"))
         # Large star: neighbours above a node point at the smallest node around it.
-        large = both.withColumn("m", least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = (
+            both.join(_smallest(both), "a")
+            .where("b > a")
+            .select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+            .where("a <> b")
+            .distinct()
+        )
         # Small star: a node and its smaller neighbours point at the smallest of them.
-        smallest = F.min("b").over(Window.partitionBy("a"))
-        starred = large.withColumn("m", smallest)
+        starred = large.join(_smallest(large), "a")
         small = (
             starred.select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionByName(starred.select("a", F.col("m").alias("b")))

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import component_roots
@@ -162,12 +162,14 @@ def _with_components(prints: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that name their component: one document of each group, all columns kept.
+    """One document of each group of near-duplicates, the one with the smallest id, all columns kept.
 
-    Rows without id stay: they cannot be told apart. Of rows with the same id all or none stay.
+    Rows without id stay: they cannot be told apart. Of rows with the same id one
+    stays, that with the smallest text.
     """
     prints = stored(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
     kept = _with_components(prints).where("id = component").select(F.col("id").alias("_kept")).distinct()
-    narrow = kept.hint("shuffle_hash")
-    named = docs.join(narrow, docs[id_col] == narrow["_kept"], "left_semi")
-    return named.unionByName(docs.where(docs[id_col].isNull()))
+    named = docs.join(kept.hint("shuffle_hash"), F.col(id_col) == F.col("_kept"), "left_semi")
+    alike = Window.partitionBy(id_col).orderBy(text_col)
+    first = named.withColumn("_place", F.row_number().over(alike)).where("_place = 1").drop("_place")
+    return first.unionByName(docs.where(F.col(id_col).isNull()))
