@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest_neighbours
 from .bpe import round_trip_digests
 from .counts import token_counts
 from .langid import held_out, identified
@@ -17,6 +18,10 @@ from .tables import read_table
 from .warc import archived_pages
 
 
+def posting_list_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judged_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), keep=["doc_id"])
     return judged.select(
@@ -57,6 +62,7 @@ def proportional_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_posting_list_search": posting_list_search,
     "op2_quality_rules": quality_rules,
     "op3_simhash_components": simhash_components,
     "op4_seekable_warc": seekable_warc,
