@@ -15,8 +15,8 @@ precision. Equal vectors are indexed once and carry their smallest ids.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -46,7 +46,10 @@ MIN_LISTS, MAX_LISTS = 8, 64
 CHUNK = 4096
 
 DEGREE = 24
-RANDOM_LINKS = 6
+RANDOM_LINKS = 4
+# Leaves stand in the order of the bisection, where neighbours are related: links over
+# these distances, both ways, reach tight groups that near centroids alone would not.
+ORDER_LINKS = (1, 2, 5, 15, 50)
 SEED = 5
 
 
@@ -72,6 +75,7 @@ class CentroidGraph:
     centroids: np.ndarray
     links: np.ndarray
     longest: float  # the greatest norm of an indexed vector
+    filled: np.ndarray | None = None  # which lists hold vectors; None: not known yet
 
     @staticmethod
     def fitted(sample: np.ndarray, count: int, longest: float) -> CentroidGraph:
@@ -80,8 +84,10 @@ class CentroidGraph:
         centroids = np.stack(_bisected(sample, min(count, len(sample)), rng)).astype(np.float32)
         n = len(centroids)
         near = min(DEGREE, n - 1)
-        links = np.empty((n, near + RANDOM_LINKS), np.int32)
-        links[:, near:] = rng.integers(0, n, (n, RANDOM_LINKS))
+        along = [(np.arange(n) + sign * far) % n for far in ORDER_LINKS for sign in (1, -1)]
+        links = np.empty((n, near + RANDOM_LINKS + len(along)), np.int32)
+        links[:, near : near + RANDOM_LINKS] = rng.integers(0, n, (n, RANDOM_LINKS))
+        links[:, near + RANDOM_LINKS :] = np.stack(along, axis=1)
         squares = (centroids**2).sum(axis=1)
         for at in range(0, n, 1024):
             block = centroids[at : at + 1024]
@@ -106,7 +112,7 @@ class CentroidGraph:
         """(centroids, distances), nearest first: a beam search along the links, for all rows at once."""
         n = len(self.centroids)
         wanted = min(wanted, n)
-        beam = min(n, wanted + wanted // 2 + 16)
+        beam = min(n, wanted + wanted // 2 + 24)
         rows = np.arange(len(x))[:, None]
         squares = (x**2).sum(axis=1)[:, None]
 
@@ -115,7 +121,7 @@ class CentroidGraph:
             return squares + (c**2).sum(axis=2) - 2 * np.einsum("bkd,bd->bk", c, x, optimize=True)
 
         seen = np.zeros((len(x), n), bool)
-        start = np.unique(np.linspace(0, n - 1, min(n, 16)).astype(np.int64))
+        start = np.unique(np.linspace(0, n - 1, min(n, 16 + int(2 * np.sqrt(n)))).astype(np.int64))
         nodes = np.broadcast_to(start, (len(x), len(start))).copy()
         seen[rows, nodes] = True
         dist = distance(nodes)
@@ -147,9 +153,20 @@ class CentroidGraph:
         dist = np.take_along_axis(dist, order, axis=1)
         return np.take_along_axis(nodes, order, axis=1), np.sqrt(np.maximum(dist, 0))
 
+    def among(self, filled: Iterable[int]) -> CentroidGraph:
+        """The graph with what is known of its lists."""
+        holds = np.zeros(len(self.centroids), bool)
+        holds[list(filled)] = True
+        return replace(self, filled=holds)
+
     def lists(self, x: np.ndarray, ratio: float, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) pairs: the nearest lists of each row within the ratio of its nearest, `least` at least."""
         nodes, dist = self.nearest(x, most)
+        if self.filled is not None:
+            # An empty list is no list: those that hold vectors come first, in order.
+            dist = np.where(self.filled[nodes], dist, np.inf)
+            order = np.argsort(dist, axis=1, kind="stable")
+            nodes, dist = np.take_along_axis(nodes, order, axis=1), np.take_along_axis(dist, order, axis=1)
         chosen = np.isfinite(dist) & (dist <= dist[:, :1] * ratio + 1e-6)
         chosen[:, :least] = np.isfinite(dist[:, :least])
         row, place = np.nonzero(chosen)
@@ -286,11 +303,11 @@ def nearest_neighbours(
     listed = f"{KEY}, data binary, list int"
     postings = distinct.select("vector", "first", "hash").mapInArrow(_assigned(graph, REPLICA_RATIO, 1, REPLICAS, False), listed)
     postings = stored(postings, "postings")
-    query_vectors = distinct.join(asked.select("vector").distinct(), "vector", "left_semi").select("vector", "first", "hash")
-    queries = query_vectors.mapInArrow(_assigned(graph, list_ratio, MIN_LISTS, max_lists, True), listed)
-
     # A list longer than CHUNK is compared in several chunks. One row per centroid: bounded by MAX_CENTROIDS.
     chunks = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    query_vectors = distinct.join(asked.select("vector").distinct(), "vector", "left_semi").select("vector", "first", "hash")
+    queries = query_vectors.mapInArrow(_assigned(graph.among(r["list"] for r in chunks.collect()), list_ratio, MIN_LISTS, max_lists, True), listed)
+
     placed = postings.join(F.broadcast(chunks), "list").withColumn("chunk", F.pmod(F.xxhash64("first", "hash"), "chunks").cast("int"))
     spread = queries.join(F.broadcast(chunks), "list").withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)")))
     pairs = (
