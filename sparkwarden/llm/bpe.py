@@ -28,86 +28,69 @@ _WORD = 6  # bits of a rank that say its place within a 64-bit word
 
 
 class RankQueue:
-    """Places by rank; `pop` gives the lowest rank, and of its places the leftmost.
+    """Places by rank; the lowest rank comes first, and of its places the leftmost.
 
     Two bitmaps: `words` has a bit per rank that holds places, `summary` a bit per
-    word that is not zero (one wide number).
+    word that is not zero (one wide number). `merges` below runs on these fields
+    itself, since a call per step would cost more than the step.
     """
 
     def __init__(self, ranks: int):
         n = (ranks >> _WORD) + 1
         self.words = [0] * n
-        self.summary = 0
         self.bits = [1 << i for i in range(max(n, 64))]
         self.buckets: dict[int, int | list[int]] = {}  # a place, or a heap of places
 
-    def push(self, rank: int, place: int) -> None:
-        buckets = self.buckets
-        if rank in buckets:
-            bucket = buckets[rank]
-            if type(bucket) is list:
-                heappush(bucket, place)
-            else:
-                buckets[rank] = [bucket, place] if bucket < place else [place, bucket]
-            return
-        buckets[rank] = place
-        word = rank >> _WORD
-        self.words[word] |= self.bits[rank & 63]
-        self.summary |= self.bits[word]
-
-    def pop(self) -> tuple[int, int] | None:
-        summary = self.summary
-        if not summary:
-            return None
-        at = (summary & -summary).bit_length() - 1
-        word = self.words[at]
-        low = word & -word
-        rank = (at << _WORD) + low.bit_length() - 1
+    def also(self, rank: int, place: int) -> None:
+        """One more place for a rank that has some."""
         bucket = self.buckets[rank]
         if type(bucket) is list:
-            place = heappop(bucket)
-            if bucket:
-                return rank, place
+            heappush(bucket, place)
         else:
-            place = bucket
-        del self.buckets[rank]
-        self.words[at] = word = word ^ low
-        if not word:
-            self.summary = summary ^ self.bits[at]
-        return rank, place
+            self.buckets[rank] = [bucket, place] if bucket < place else [place, bucket]
 
+    def merges(self, piece: bytes, ranks: dict[bytes, int], of_bytes: list[int], longest: int) -> list[int]:
+        """Starts of the parts that remain when all merges are made; the queue is empty before and after.
 
-class BytePairEncoder:
-    """Encodes and decodes by a table token bytes -> rank, the rank being the id."""
-
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.longest = max(map(len, ranks))
-        self.bytes_of = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.bytes_of[rank] = token
-        self.queue = RankQueue(len(self.bytes_of))
-        self.cached = CachedEncoder(self.encode_whole)
-        self.decimal = [str(i) for i in range(len(self.bytes_of))]
-
-    def merge(self, piece: bytes) -> tuple[int, ...]:
-        """Ids of one pre-token."""
-        ranks, longest = self.ranks, self.longest
-        rank_of, push, pop = ranks.get, self.queue.push, self.queue.pop
-        whole = rank_of(piece)
-        if whole is not None:
-            return (whole,)
+        `of_bytes` has the rank of every two bytes (at 256 * first + second), or -1.
+        """
+        words, bits, buckets, summary = self.words, self.bits, self.buckets, 0
         n = len(piece)
         after = list(range(1, n + 1))  # start of the next part
         before = list(range(-1, n - 1))
         pair = [-1] * n  # rank of the merge of a part with the next
+        rank_of = ranks.get
+        first = piece[0]
         for i in range(n - 1):
-            rank = rank_of(piece[i : i + 2])
-            if rank is not None:
+            second = piece[i + 1]
+            rank = of_bytes[first << 8 | second]
+            first = second
+            if rank >= 0:
                 pair[i] = rank
-                push(rank, i)
-        while (entry := pop()) is not None:
-            rank, i = entry
+                if rank in buckets:
+                    self.also(rank, i)
+                else:
+                    buckets[rank] = i
+                    word = rank >> _WORD
+                    words[word] |= bits[rank & 63]
+                    summary |= bits[word]
+        while summary:
+            # Find first set: the word, then the rank within it.
+            word = (summary & -summary).bit_length() - 1
+            held = words[word]
+            low = held & -held
+            rank = (word << _WORD) + low.bit_length() - 1
+            i = buckets[rank]
+            if type(i) is list:
+                i = heappop(bucket := i)
+                emptied = not bucket
+            else:
+                emptied = True
+            if emptied:
+                del buckets[rank]
+                words[word] = held = held ^ low
+                if not held:
+                    summary ^= bits[word]
             if pair[i] != rank:
                 continue  # stale
             gone = after[i]
@@ -118,18 +101,54 @@ class BytePairEncoder:
                 stop = after[end]
                 if stop - i <= longest and (r := rank_of(piece[i:stop])) is not None:
                     pair[i] = r
-                    push(r, i)
+                    if r in buckets:
+                        self.also(r, i)
+                    else:
+                        buckets[r] = i
+                        word = r >> _WORD
+                        words[word] |= bits[r & 63]
+                        summary |= bits[word]
             left = before[i]
             if left >= 0:
                 pair[left] = -1
                 if end - left <= longest and (r := rank_of(piece[left:end])) is not None:
                     pair[left] = r
-                    push(r, left)
-        ids, i = [], 0
+                    if r in buckets:
+                        self.also(r, left)
+                    else:
+                        buckets[r] = left
+                        word = r >> _WORD
+                        words[word] |= bits[r & 63]
+                        summary |= bits[word]
+        starts, i = [], 0
         while i < n:
-            ids.append(ranks[piece[i : after[i]]])
+            starts.append(i)
             i = after[i]
-        return tuple(ids)
+        return starts
+
+
+class BytePairEncoder:
+    """Encodes and decodes by a table token bytes -> rank, the rank being the id."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.ranks, self.pattern = ranks, regex.compile(pattern)
+        self.longest = max(map(len, ranks))
+        self.bytes_of = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.bytes_of[rank] = token
+        self.queue = RankQueue(len(self.bytes_of))
+        self.of_bytes = [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
+        self.cached = CachedEncoder(self.encode_whole)
+        self.decimal = [str(i) for i in range(len(self.bytes_of))]
+
+    def merge(self, piece: bytes) -> tuple[int, ...]:
+        """Ids of one pre-token."""
+        ranks = self.ranks
+        whole = ranks.get(piece)
+        if whole is not None:
+            return (whole,)
+        starts = self.queue.merges(piece, ranks, self.of_bytes, self.longest)
+        return tuple([ranks[piece[i:j]] for i, j in zip(starts, [*starts[1:], len(piece)])])
 
     def encode_whole(self, text: str) -> tuple[int, ...]:
         """Ids of a text, each match of the pattern on its own, nothing cached."""

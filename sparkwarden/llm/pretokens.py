@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 
 # Entries of a worker's cache in its young half. When that is full it becomes the old
 # half, from which entries still in use come back; so memory stays bounded.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 600_000
 
 # Longer parts are not kept.
 CACHED_CHARS = 64
