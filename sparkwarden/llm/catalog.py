@@ -15,6 +15,7 @@ from .quality import judged_documents
 from .sharding import interleaved_shards
 from .simhash import near_duplicates
 from .tables import read_table
+from .template import main_texts
 from .warc import archived_pages
 
 
@@ -57,6 +58,10 @@ def byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def template_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(read_table(spark, sf_dir, "pages"))
+
+
 def proportional_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleaved_shards(read_table(spark, sf_dir, "documents"), shards=24)
 
@@ -66,6 +71,7 @@ QUERIES = {
     "op2_quality_rules": quality_rules,
     "op3_simhash_components": simhash_components,
     "op4_seekable_warc": seekable_warc,
+    "op5_template_main_text": template_main_text,
     "op6_rank_queue_bpe": rank_queue_bpe,
     "op7_byte_gru_language": byte_gru_language,
     "op8_proportional_shards": proportional_shards,
