@@ -33,7 +33,8 @@ INSIDE_WORDS = frozenset("article articlebody content entry main post story".spl
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_DIGITS = re.compile(r"\d+")
+# Numbers in names count pages or posts; a single digit may tell columns apart.
+_DIGITS = re.compile(r"\d{2,}")
 
 # How surely a block belongs to the article.
 NOWHERE, BY_NAME, IN_MAIN, IN_ARTICLE = 0, 1, 2, 3
