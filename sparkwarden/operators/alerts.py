@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timestamps import iso_text
+from ..functions.timestamps import instant, iso_text
 from ..schemas import ALERT_COLUMNS
 from .dns import NORMAL, TUNNELING
 from .normalise import metadata_get
-from .search import check_page, has_id, total
+from .search import check_page, existing, has_id, total
 
 LOGIN_THRESHOLD = 0.7
 PREVIEW = 100
@@ -79,21 +81,26 @@ def list_alerts(
     severity: str | None = None,
     limit: int = 50,
     offset: int = 0,
+    after: tuple[datetime, int] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(page, total), newest first."""
-    check_page(limit, offset)
+    """(page, total), newest first. ``after`` takes the (time, id) of the last row seen instead of an offset."""
+    check_page(limit, offset, None)
     if acknowledged is not None:
         alerts = alerts.filter(F.col("acknowledged") == int(acknowledged))
     if severity:
         alerts = alerts.filter(F.col("severity") == severity)
-    ordered = alerts.orderBy(F.col("created_at").desc(), F.col("alert_id").desc())
+    rest = alerts
+    if after is not None:
+        made, last = F.col("created_at"), instant(after[0])
+        rest = alerts.filter((made < last) | ((made == last) & (F.col("alert_id") < after[1])))
+    ordered = rest.orderBy(F.col("created_at").desc(), F.col("alert_id").desc())
     return (ordered.offset(offset) if offset else ordered).limit(limit), total(alerts)
 
 
 def alert_narrative(alerts: DataFrame, alert_id: int | str | None = None) -> DataFrame:
-    """Readable narrative of one alert, or of all; a stand-in when it is empty."""
+    """Readable narrative of one alert, or of all; a stand-in when it is empty. An id that no alert has is an error."""
     if alert_id is not None:
-        alerts = alerts.filter(has_id("alert_id", alert_id))
+        alerts = existing(alerts.filter(has_id("alert_id", alert_id)), f"alert {alert_id}")
     cluster = F.col("event_cluster")
     if alerts.schema["event_cluster"].dataType.simpleString() == "string":
         cluster = F.from_json(cluster, "array<string>")

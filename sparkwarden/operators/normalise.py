@@ -12,18 +12,19 @@ from ..functions.text import strip
 from ..functions.timestamps import syslog_timestamp
 from ..schemas import EVENT_COLUMNS, SEVERITIES, SOURCES
 
-# Fixed log formats. (?U) makes \w, \d and \s cover Unicode.
+# Fixed log formats. (?U) makes \w, \d and \s cover Unicode. Only \n ends a line: other
+# line ends may stand inside a message, where Java's "." would stop.
 _TIME = r"(?U)(\w+\s+\d+\s+[\d:]+)\s+"
 _SSHD = _TIME + r"\S+\s+sshd\[\d+\]:\s+"
 _FROM = r"(\S+) from ([\d.]+)"
 SSH_FAILED = _SSHD + r"Failed password for (?:invalid user )?" + _FROM + r" port (\d+)"
 SSH_SUCCESS = _SSHD + r"Accepted (?:password|publickey) for " + _FROM + r" port (\d+)"
 SSH_INVALID_USER = _SSHD + r"Invalid user " + _FROM + r" port (\d+)"
-SUDO_COMMAND = _TIME + r"\S+\s+sudo:\s+(\S+)\s+:.*COMMAND=(.*)"
+SUDO_COMMAND = _TIME + r"\S+\s+sudo:\s+(\S+)\s+:[^\n]*COMMAND=([^\n]*)"
 SSH_BRUTE_FORCE = (
     _SSHD + r"maximum authentication attempts exceeded for (?:invalid user )?" + _FROM
 )
-SYSLOG = r"(?U)^(\w+\s+\d+\s+[\d:]+)\s+(\S+)\s+(\S+?)(?:\[\d+\])?:\s+(.*)"
+SYSLOG = r"(?U)^(\w+\s+\d+\s+[\d:]+)\s+(\S+)\s+(\S+?)(?:\[\d+\])?:\s+([^\n]*)"
 
 # Fixed: event type, severity, text every such line contains, pattern, in the
 # order in which a line is tried. "port" says whether a source port is present.

@@ -117,10 +117,7 @@ def rules_table(spark: SparkSession, rules: Sequence[Rule] = BUILT_IN_RULES) ->
 
 def load_rules(table: DataFrame) -> list[Rule]:
     """Rules kept as a table, for example edited by a user; the table is small by nature."""
-    rows = table.limit(1001).collect()
-    if len(rows) > 1000:
-        raise ValueError("more than 1,000 rules")
-    return [Rule(**row.asDict()) for row in rows]
+    return [Rule(**row.asDict()) for row in table.collect()]
 
 
 def match_rules(events: DataFrame, rules: Sequence[Rule] = BUILT_IN_RULES) -> DataFrame:
@@ -173,12 +170,14 @@ def fire_and_reset(
     threshold: int,
     ts: str = "timestamp",
     tie: str = "event_id",
+    copies: bool = False,
 ) -> DataFrame:
     """Fire when ``threshold`` rows of a key lie within the window, then start over.
 
     Rows count in (time, id) order; both ends of the window belong to it. Returns
     ``group_key``, ``fired_at``, ``fired_id``, ``matched`` (the row count, always
-    the threshold) and ``evidence``, the times of the first rows that count.
+    the threshold) and ``evidence``, the times of the first rows that count. With
+    ``copies`` also ``fired_copy``: which of the key's rows of that time and id it was.
 
     Method. Number a key's rows. A row is a candidate when the row threshold - 1
     places before it is inside the window; it fires when it is also at least
@@ -198,7 +197,7 @@ def fire_and_reset(
     )
     if threshold == 1:
         # Each row fires at once: nothing to window, nothing to shuffle.
-        return _fires(rows.withColumn("evidence_us", F.array("us")), 1)
+        return _fires(rows.select("*", F.array("us").alias("evidence_us"), F.lit(1).alias("copy")), 1, copies)
 
     window_us = window_seconds * MICROS
     slice_us = window_us * LOOKBACKS_PER_SLICE
@@ -213,6 +212,7 @@ def fire_and_reset(
         F.array(*[F.lag("us", threshold - 1 - i).over(place) for i in range(shown)]).alias(
             "evidence_us"
         ),
+        (F.row_number().over(place) - F.rank().over(place) + 1).alias("copy"),
     )
     candidates = numbered.filter(
         F.col("_own") & (F.col("us") - F.col("evidence_us")[0] <= window_us)
@@ -260,16 +260,17 @@ def fire_and_reset(
         .withColumn("first", F.try_element_at("first_of_run", F.col("run")))
         .filter((F.col("n") >= F.col("first")) & ((F.col("n") - F.col("first")) % threshold == 0))
     )
-    return _fires(fired, threshold)
+    return _fires(fired, threshold, copies)
 
 
-def _fires(fired: DataFrame, threshold: int) -> DataFrame:
+def _fires(fired: DataFrame, threshold: int, copies: bool) -> DataFrame:
     return fired.select(
         "group_key",
         F.timestamp_micros("us").alias("fired_at"),
         F.col("id").alias("fired_id"),
         F.lit(threshold).alias("matched"),
         F.transform("evidence_us", F.timestamp_micros).alias("evidence"),
+        *([F.col("copy").alias("fired_copy")] if copies else []),
     )
 
 

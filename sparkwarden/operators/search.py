@@ -42,9 +42,9 @@ class TextQuery:
         return " ".join(p for p in parts if p)
 
 
-def check_page(limit: int, offset: int) -> None:
-    if not 1 <= limit <= MAX_PAGE:
-        raise ValueError(f"limit must be between 1 and {MAX_PAGE}")
+def check_page(limit: int, offset: int, most: int | None = MAX_PAGE) -> None:
+    if limit < 1 or (most is not None and limit > most):
+        raise ValueError("limit must be at least 1" if most is None else f"limit must be between 1 and {most}")
     if offset < 0:
         raise ValueError("offset must not be negative")
 
@@ -120,6 +120,11 @@ def event_filter(
     return events
 
 
+def _worded(terms: Sequence[str]) -> list[str]:
+    """Terms with a letter or digit; others say nothing about words and are ignored."""
+    return [t for t in terms if fold_term(t)]
+
+
 def text_matches(text: Column, query: TextQuery) -> Column:
     """Case- and accent-insensitive whole-word match of the whole text.
 
@@ -134,11 +139,11 @@ def text_matches(text: Column, query: TextQuery) -> Column:
             return norm.contains(f" {' '.join(folded)} ") if folded else F.lit(True)
 
         result = F.lit(True)
-        for term in query.all_of:
+        for term in _worded(query.all_of):
             result = result & has(term)
-        if query.any_of:
-            result = result & reduce(Column.__or__, [has(t) for t in query.any_of])
-        for term in query.none_of:
+        if any_of := _worded(query.any_of):
+            result = result & reduce(Column.__or__, [has(t) for t in any_of])
+        for term in _worded(query.none_of):
             result = result & ~has(term)
         if query.phrase:
             result = result & has(query.phrase)
@@ -206,9 +211,10 @@ def index_search(
 ) -> DataFrame:
     """The same answer as :func:`text_search`, read through a word index.
 
-    Postings of each wanted word are semi-joined on the unique row id, so a
-    frequent word spreads over all tasks. Phrases are checked on the text of the
-    rows left over.
+    The ids of the wanted words are joined among themselves first, the longest word
+    before the others, so that texts meet one narrow table of ids. Only the rows left
+    over have their text read: the test stands behind a generator, which keeps it from
+    being moved below the join.
     """
     index = spark.read.parquet(index_path)
 
@@ -221,17 +227,22 @@ def index_search(
         ]
         return reduce(Column.__or__, tests)
 
+    if len(query.text()) > MAX_QUERY:
+        raise ValueError("query is too long")
     terms = [w for t in (*query.all_of, query.phrase or "") for w in fold_term(t)]
-    hits = df
-    for word in dict.fromkeys(terms):
-        hits = hits.join(rows_with(one_of([word])), id_column, "left_semi")
-    leads = [fold_term(t)[:1] for t in query.any_of]
-    if leads and all(leads):
-        hits = hits.join(rows_with(one_of([w for (w,) in leads])), id_column, "left_semi")
+    # Long words are rare more often than short ones.
+    wanted = [rows_with(one_of([w])) for w in sorted(dict.fromkeys(terms), key=len, reverse=True)]
+    if leads := [fold_term(t)[0] for t in _worded(query.any_of)]:
+        wanted.append(rows_with(one_of(leads)).distinct())
     prefix = fold_term(query.prefix or "")
     if len(prefix) == 1:
-        hits = hits.join(rows_with(F.col("word").startswith(prefix[0])), id_column, "left_semi")
-    return text_search(hits, query, column)
+        wanted.append(rows_with(F.col("word").startswith(prefix[0])).distinct())
+    if not wanted:
+        return text_search(df, query, column)
+    ids = reduce(lambda some, more: some.join(more, id_column, "left_semi"), wanted)
+    hits = df.join(ids, id_column, "left_semi")
+    read = hits.select("*", F.inline(F.array(F.struct(text_matches(F.col(column), query).alias("_match")))))
+    return read.filter("_match").drop("_match")
 
 
 # Sort and page ------------------------------------------------------------------------
@@ -301,26 +312,45 @@ def search_events(
     limit: int = 50,
     offset: int = 0,
     severity_order: str = "lexical",
+    after: tuple[object, int] | None = None,
     **filters,
 ) -> tuple[DataFrame, DataFrame]:
-    """(page, total) of the events that pass all filters of :func:`event_filter`."""
+    """(page, total) of the events that pass all filters of :func:`event_filter`; ``after`` as in :func:`page_events`."""
     found = event_filter(events, **filters)
     if query is not None:
         found = text_search(found, query)
-    page = page_events(found, sort, order, limit, offset, severity_order=severity_order)
+    page = page_events(found, sort, order, limit, offset, after, severity_order)
     return page, total(found)
 
 
+def existing(found: DataFrame, what: str) -> DataFrame:
+    """`found`, or a LookupError when it has no row."""
+    if found.isEmpty():
+        raise LookupError(f"{what} not found")
+    return found
+
+
 def get_event(events: DataFrame, event_id: int | str) -> DataFrame:
-    """The event with this id; no row when there is none."""
-    return events.filter(has_id("event_id", event_id))
+    """The event with this id; an id that no event has is an error."""
+    return existing(events.filter(has_id("event_id", event_id)), f"event {event_id}")
 
 
 def list_anomalies(
-    events: DataFrame, min_score: float = 0.5, limit: int = 50, offset: int = 0
+    events: DataFrame,
+    min_score: float = 0.5,
+    limit: int = 50,
+    offset: int = 0,
+    after: tuple[float, int] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(page, total) of events scored at least ``min_score``, highest first."""
-    check_page(limit, offset)
+    """(page, total) of events scored at least ``min_score``, highest first.
+
+    ``after`` takes the (score, id) of the last row seen instead of an offset.
+    """
+    check_page(limit, offset, None)
     found = events.filter(F.col("anomaly_score") >= min_score)
-    ordered = found.orderBy(F.col("anomaly_score").desc(), F.col("event_id"))
+    rest = found
+    if after is not None:
+        score, last_id = F.col("anomaly_score"), F.lit(after[1])
+        rest = found.filter((score < after[0]) | ((score == after[0]) & (F.col("event_id") > last_id)))
+    ordered = rest.orderBy(F.col("anomaly_score").desc(), F.col("event_id"))
     return (ordered.offset(offset) if offset else ordered).limit(limit), total(found)

@@ -8,16 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.timestamps import instant, iso_text, sunday_first_day
-from ..schemas import SEVERITIES
 from .topk import newest
 
 TOP = 10
 
 
-def top_k(df: DataFrame, column: str, k: int = TOP) -> DataFrame:
-    """Most frequent non-null values, ties in value order."""
+def top_k(df: DataFrame, column: str, k: int = TOP, nulls: bool = False) -> DataFrame:
+    """Most frequent values, ties in value order; rows without one count as a value with ``nulls``."""
     return (
-        df.filter(F.col(column).isNotNull())
+        (df if nulls else df.filter(F.col(column).isNotNull()))
         .groupBy(column)
         .agg(F.count(F.lit(1)).alias("count"))
         .orderBy(F.col("count").desc(), F.col(column))
@@ -38,7 +37,8 @@ def top_source_ips(events: DataFrame, k: int = TOP) -> DataFrame:
 
 
 def top_event_types(events: DataFrame, k: int = TOP) -> DataFrame:
-    return top_k(events, "event_type", k)
+    """Events without a type are listed as one."""
+    return top_k(events, "event_type", k, nulls=True)
 
 
 def source_shares(top_sources: DataFrame) -> DataFrame:
@@ -59,10 +59,9 @@ def overview(events: DataFrame, alerts: DataFrame, as_of: datetime, k: int = TOP
 
     One scan feeds every card: grouping sets count severities, addresses, event
     types and the total side by side, with partial aggregation before the shuffle.
-    The ranking is cut while partial, so no long list reaches one task; the
-    five severities always stay.
+    The rankings of addresses and types are cut while partial, so no long list reaches
+    one task. Severities are listed all, and critical events are counted by themselves.
     """
-    kept = max(k, len(SEVERITIES))
     facets = ("severity", "source_ip", "event_type")
     recent = F.count_if(F.col("timestamp") >= instant(as_of) - F.expr("INTERVAL 1 HOUR"))
     counted = (
@@ -72,26 +71,29 @@ def overview(events: DataFrame, alerts: DataFrame, as_of: datetime, k: int = TOP
             F.grouping_id().alias("_set"),
             F.count(F.lit(1)).alias("count"),
             recent.alias("last_hour"),
+            F.count_if(F.col("severity") == "critical").alias("critical"),
         )
     )
     # grouping_id has one bit per facet, first facet highest, set when grouped away.
     sets = {"severity": 0b011, "source_ip": 0b101, "event_type": 0b110, "all": 0b111}
     value = F.coalesce(*facets)
+    # Each severity is a list of its own, so none is cut.
+    of_list = F.when(F.col("_set") == sets["severity"], F.coalesce("value", F.lit("")))
     rank = F.row_number().over(
-        Window.partitionBy("_set").orderBy(F.col("count").desc(), "value")
+        Window.partitionBy("_set", of_list).orderBy(F.col("count").desc(), "value")
     )
     ranked = (
         counted.withColumn("value", value)
         .filter((F.col("_set") != sets["source_ip"]) | F.col("source_ip").isNotNull())
         .withColumn("_rank", rank)
-        .filter(F.col("_rank") <= kept)
+        .filter(F.col("_rank") <= max(k, 2))
     )
 
     def top(name: str) -> Column:
         wanted = F.col("_set") == sets[name]
         if name != "severity":
             wanted = wanted & (F.col("_rank") <= k)
-        rows = F.collect_list(F.when(wanted, F.struct("_rank", "value", "count")))
+        rows = F.collect_list(F.when(wanted, F.struct((-F.col("count")).alias("_order"), "value", "count")))
         return F.transform(
             F.array_sort(rows),
             lambda r: F.struct(r["value"].alias("value"), r["count"].alias("count")),
@@ -101,11 +103,10 @@ def overview(events: DataFrame, alerts: DataFrame, as_of: datetime, k: int = TOP
         return F.coalesce(F.max(F.when(condition, F.col(column))), F.lit(0))
 
     is_all = F.col("_set") == sets["all"]
-    is_critical = (F.col("_set") == sets["severity"]) & (F.col("value") == "critical")
     row = ranked.agg(
         single(is_all, "count").alias("total_events"),
         single(is_all, "last_hour").alias("events_last_hour"),
-        single(is_critical, "count").alias("critical_events"),
+        single(is_all, "critical").alias("critical_events"),
         top("severity").alias("severity_breakdown"),
         top("source_ip").alias("top_source_ips"),
         top("event_type").alias("top_event_types"),

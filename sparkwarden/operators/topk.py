@@ -13,8 +13,9 @@ def newest(df: DataFrame, n: int, ts: str = "timestamp", tie: str = "event_id")
     """The ``n`` newest rows by (time, id), newest first.
 
     A top-k keeps up to n rows per task, so a large n would send tasks * n rows
-    to one reducer. For those a first pass counts rows per hour, finds the hour in
-    which the n-th newest row lies and lets the scan skip everything older.
+    to one reducer. For those a first pass counts rows per hour and finds the hour in
+    which the n-th newest row lies; the scan then skips everything older. Rows without
+    a time are older than all others and only stay if n reaches them.
     """
     order = [F.col(ts).desc(), F.col(tie).desc()]
     if n > _PLAIN_TOP_K:
@@ -27,8 +28,9 @@ def newest(df: DataFrame, n: int, ts: str = "timestamp", tie: str = "event_id")
         cutoff = (
             hours.withColumn("_newer", F.coalesce(F.sum("_rows").over(later), F.lit(0)))
             .filter(F.col("_newer") < n)
-            .agg(F.min("_hour").alias("_cutoff"))
+            .agg(F.min("_hour").alias("hour"), F.max(F.col("_hour").isNull()).alias("timeless"))
+            .first()
         )
-        # One row by construction.
-        df = df.join(F.broadcast(cutoff), F.col(ts) >= F.col("_cutoff")).drop("_cutoff")
+        kept = F.lit(False) if cutoff["hour"] is None else F.col(ts) >= F.lit(cutoff["hour"])
+        df = df.filter(kept | F.col(ts).isNull() if cutoff["timeless"] else kept)
     return df.orderBy(*order).limit(n)

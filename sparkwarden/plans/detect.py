@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime
 from functools import reduce
 
@@ -22,35 +22,52 @@ from ..sources.logs import route_sources
 PARSERS = {"auth": parse_auth, "syslog": parse_syslog}
 
 
+Parser = Callable[[DataFrame, datetime, bool], DataFrame]
+
+
 def checked_logs(
-    lines: dict[str, DataFrame], reference_ts: datetime, rollover: bool = False
+    lines: dict[str, DataFrame],
+    reference_ts: datetime,
+    rollover: bool = False,
+    parsers: dict[str, Parser] | None = None,
 ) -> DataFrame:
     """The lines of several sources, each parsed by its own parser.
 
+    ``parsers`` adds or replaces parsers by source: functions of (lines, reference
+    time, rollover) that return what ``parse_auth`` does.
+
     ``reject_reason`` is null for an event; else no format matched, there is no such
     date, or it names the table constraints that do not hold.
     """
-    parsed = {s: PARSERS[s](df, reference_ts, rollover) for s, df in lines.items()}
+    known = {**PARSERS, **(parsers or {})}
+    parsed = {s: known[s](df, reference_ts, rollover) for s, df in lines.items()}
     broken = F.nullif(F.array_join(event_violations(), ","), F.lit(""))
     return route_sources(parsed).withColumn("reject_reason", F.coalesce("reject_reason", broken))
 
 
 def normalise_logs(
-    lines: dict[str, DataFrame], reference_ts: datetime, rollover: bool = False
+    lines: dict[str, DataFrame],
+    reference_ts: datetime,
+    rollover: bool = False,
+    parsers: dict[str, Parser] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(valid events, rejects) of the lines of several sources.
 
     Using both results parses the lines twice; ``store_logs`` does it once.
     """
-    return split_parsed(checked_logs(lines, reference_ts, rollover))
+    return split_parsed(checked_logs(lines, reference_ts, rollover, parsers))
 
 
 def store_logs(
-    lines: dict[str, DataFrame], path: str, reference_ts: datetime, rollover: bool = False
+    lines: dict[str, DataFrame],
+    path: str,
+    reference_ts: datetime,
+    rollover: bool = False,
+    parsers: dict[str, Parser] | None = None,
 ) -> None:
     """Parse once and append events and rejects to one table, apart by folder."""
     (
-        checked_logs(lines, reference_ts, rollover)
+        checked_logs(lines, reference_ts, rollover, parsers)
         .withColumn("outcome", F.when(F.col("reject_reason").isNull(), "event").otherwise("reject"))
         .withColumn("event_date", F.to_date("timestamp"))
         .hint("rebalance", "outcome", "event_date")

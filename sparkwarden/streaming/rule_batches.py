@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -30,7 +30,7 @@ from ..operators.slices import MICROS
 _ROWS = "rule_id string, group_key string, timestamp timestamp, event_id bigint"
 _FIRES = (
     "rule_id string, group_key string, fired_at timestamp, fired_id bigint, matched int, "
-    "evidence array<timestamp>"
+    "evidence array<timestamp>, fired_copy int"
 )
 _CLOCK = "watermark_us bigint, late_rows bigint"
 
@@ -42,13 +42,17 @@ def _open_rows(passed: DataFrame, fires: DataFrame, rules: Sequence[Rule], water
     )
     reach = watermark_us - F.element_at(windows, F.col("rule_id"))
     last = fires.groupBy("rule_id", "group_key").agg(
-        F.max(F.struct("fired_at", "fired_id")).alias("last")
+        F.max(F.struct("fired_at", "fired_id", "fired_copy")).alias("last")
+    )
+    # Rows of one time and id are alike; as many of them are used as the firing one's place says.
+    alike = Window.partitionBy("rule_id", "group_key", "timestamp", "event_id").orderBy("event_id")
+    place = F.struct(
+        F.col("timestamp").alias("fired_at"), F.col("event_id").alias("fired_id"), F.row_number().over(alike).alias("fired_copy")
     )
-    place = F.struct(F.col("timestamp").alias("fired_at"), F.col("event_id").alias("fired_id"))
     return (
-        passed.filter(F.unix_micros("timestamp") >= reach)
+        passed.withColumn("place", place).filter(F.unix_micros("timestamp") >= reach)
         .join(last, ["rule_id", "group_key"], "left")
-        .filter(F.col("last").isNull() | (place > F.col("last")))
+        .filter(F.col("last").isNull() | (F.col("place") > F.col("last")))
         .select("rule_id", "group_key", "timestamp", "event_id")
     )
 
@@ -95,6 +99,7 @@ def run_rule_stream(
                     F.col("group_key"),
                     rule.window_seconds,
                     rule.threshold,
+                    copies=True,
                 )
                 fired.append(fires.select(F.lit(rule.rule_id).alias("rule_id"), "*"))
             fires_path = f"{path}/fires/batch={batch_id}"

@@ -307,8 +307,27 @@ def test_repeated_delivery(spark, make_events, tmp_path):
     path = str(tmp_path / "in")
     store(events, path)
     store(events, path)
-    out, _ = run(spark, jobs.drop_repeats(stream(spark, path, events.schema)), str(tmp_path))
+    sent = stream(spark, path, events.schema).withColumn("delivery", F.concat(F.lit("d"), "event_id"))
+    out, _ = run(spark, jobs.drop_repeats(sent, "delivery"), str(tmp_path))
     assert out.count() == 5
+    with pytest.raises(ValueError):
+        jobs.drop_repeats(events, "event_id")
+
+
+def test_rule_stream_counts_equal_rows(spark, make_events, tmp_path):
+    """Rows of one time and id are rows of their own: what a firing left over counts in the next batch."""
+    at = datetime(2026, 4, 9, 12)
+    rule = rules.Rule("R", "r", "event_type = 'ssh_failed'", "source_ip", "high", "none", 60, 3)
+    equal = [{"event_id": 7, "timestamp": at, "source_ip": "10.0.0.1"}] * 4
+    later = [{"event_id": 8 + i, "timestamp": at + timedelta(seconds=10 + i), "source_ip": "10.0.0.1"} for i in range(2)]
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    everything = make_events([*equal, *later])
+    for rows in (equal, later):
+        make_events(rows).coalesce(1).write.mode("append").parquet(path)
+        streamed = spark.readStream.schema(everything.schema).parquet(path)
+        rule_batches.run_rule_stream(streamed, out, str(tmp_path / "check"), [rule], delay_seconds=0).awaitTermination()
+    assert rules.rule_matches(everything, [rule]).count() == 2
+    assert rule_batches.read_rule_stream(spark, out, [rule]).count() == 2
 
 
 def test_log_stream_starts_after(spark, tmp_path):

@@ -212,3 +212,22 @@ def test_wire_json_keeps_nulls(make_events):
         "timestamp", "source", "event_type", "severity", "raw_message",
         "source_ip", "dest_ip", "dest_port", "metadata",
     ]
+
+
+@pytest.mark.parametrize("end", ["\u2028", "\u2029", "\u0085", "\r"])
+def test_other_line_ends_stand_inside_messages(spark, end):
+    head = "Apr  9 08:15:30 box "
+    lines = spark.createDataFrame([(f"{head}sudo: root : TTY=x{end} ; COMMAND=/bin/ls{end}-l",)], "value string")
+    auth = parse_auth(lines, datetime(2026, 5, 1)).first()
+    assert auth.event_type == "sudo_command" and auth.metadata["command"] == f"/bin/ls{end}-l"
+    lines = spark.createDataFrame([(f"{head}app[1]: first{end}then an error",)], "value string")
+    assert parse_syslog(lines, datetime(2026, 5, 1)).first().severity == "medium"
+
+
+def test_own_parser(spark):
+    def parse_words(lines, reference_ts, rollover=False):
+        return parse_syslog(lines.withColumn("value", F.concat(F.lit("Apr  9 08:15:30 h words: "), "value")), reference_ts, rollover)
+
+    lines = {"syslog": spark.createDataFrame([("hello",)], "value string")}
+    events, rejects = normalise_logs(lines, datetime(2026, 5, 1), parsers={"syslog": parse_words})
+    assert events.first().event_type == "syslog_words" and rejects.count() == 0

@@ -100,8 +100,9 @@ def test_pages_by_offset_and_by_key_agree(events, order):
 
 def test_lookup(events):
     assert ids(search.get_event(events, "7")) == [7]
-    assert ids(search.get_event(events, 99999)) == []
-    assert ids(search.get_event(events, "9" * 20)) == []
+    for missing in (99999, "9" * 20):
+        with pytest.raises(LookupError):
+            search.get_event(events, missing)
     for bad in ("abc", "1" * 21, "-1"):
         with pytest.raises(ValueError):
             search.get_event(events, bad)
@@ -188,6 +189,45 @@ def test_narrative_and_preview(spark):
     assert (shown[0], shown[200], shown[3], shown[4]) == ("No narrative", "", "xxx", "xxx...")
     with pytest.raises(ValueError):
         al.alert_narrative(alert_rows(spark), "x1")
+    with pytest.raises(LookupError):
+        al.alert_narrative(alert_rows(spark), 999)
+
+
+def test_alerts_and_anomalies_by_key(spark, events):
+    first, _ = search.list_anomalies(events, 0.0, limit=1000)
+    rows = first.collect()
+    assert len(rows) == 40
+    rest, _ = search.list_anomalies(events, 0.0, limit=1000, after=(rows[9].anomaly_score, rows[9].event_id))
+    assert rest.collect() == rows[10:]
+    page, _ = al.list_alerts(alert_rows(spark), limit=1000)
+    listed = page.collect()
+    after, _ = al.list_alerts(alert_rows(spark), limit=1000, after=(listed[0].created_at, listed[0].alert_id))
+    assert after.collect() == listed[1:]
+
+
+def test_terms_without_words_are_ignored(make_events):
+    events = make_events([{"raw_message": "alpha beta"}, {"raw_message": "gamma"}])
+    found = lambda **q: ids(search.text_search(events, search.TextQuery(**q)))
+    assert found(none_of=["--"]) == found(all_of=["--"]) == found(any_of=["--"]) == [0, 1]
+    assert found(any_of=["alpha", "--"]) == [0]
+
+
+def test_index_reads_texts_of_hits_only(spark, make_events, tmp_path):
+    events = make_events([{"raw_message": f"word{i % 7} common text number{i}"} for i in range(100)])
+    path, index = str(tmp_path / "events"), str(tmp_path / "index")
+    events.write.parquet(path)
+    search.write_word_index(events, index)
+    stored = spark.read.parquet(path)
+    for query in (
+        search.TextQuery(all_of=["common", "word3"]),
+        search.TextQuery(phrase="common text", none_of=["word1"]),
+        search.TextQuery(any_of=["number5", "--", "number17"], prefix="comm"),
+    ):
+        got = search.index_search(spark, index, stored, query)
+        assert sorted(ids(got)) == sorted(ids(search.text_search(stored, query)))
+    plan = search.index_search(spark, index, stored, search.TextQuery(all_of=["word3"]))._jdf.queryExecution().optimizedPlan().toString()
+    # The text's test is above the join: it stands before it in the plan.
+    assert plan.index("exists") < plan.index("Join LeftSemi")
 
 
 def test_index_is_searched_through_pushed_filters(spark, events, tmp_path):

@@ -129,3 +129,23 @@ def test_shares(make_events):
         stats.overview(make_events(rows), make_events([]).select(
             F.col("event_id").alias("alert_id"), F.lit(0).alias("acknowledged")), START)
     ).first().total_events == 5
+
+
+def test_overview_lists_every_severity(spark, make_events):
+    events = make_events(
+        [{"severity": f"odd{i}"} for i in range(15) for _ in range(2)]
+        + [{"severity": "critical"}, {"event_type": None}, {"event_type": None}, {"timestamp": None}]
+    )
+    alerts = spark.createDataFrame([], "alert_id long, acknowledged int")
+    row = stats.overview(events, alerts, datetime(2026, 4, 9, 13)).first()
+    assert len(row.severity_breakdown) == 17 and row.critical_events == 1
+    assert {(s.value, s["count"]) for s in row.severity_breakdown} == {(s.severity, s["count"]) for s in stats.severity_breakdown(events).collect()}
+    assert [(t.value, t["count"]) for t in row.top_event_types] == [(t.event_type, t["count"]) for t in stats.top_event_types(events).collect()]
+    assert (None, 2) in [(t.value, t["count"]) for t in row.top_event_types]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 1000, 1001])
+def test_newest_keeps_rows_without_time(make_events, n):
+    at = datetime(2026, 4, 9, 12)
+    events = make_events([{"timestamp": at}, {"timestamp": None}, {"timestamp": at.replace(hour=3)}])
+    assert [r.event_id for r in newest(events, n).collect()] == [0, 2, 1][:n]
