@@ -174,8 +174,8 @@ def word_postings(
     )
 
 
-def _word_bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(WORD_BUCKETS)).cast("int")
+def _word_bucket(word: Column, buckets: Column) -> Column:
+    return F.pmod(F.xxhash64(word), buckets).cast("int")
 
 
 def write_word_index(
@@ -184,19 +184,24 @@ def write_word_index(
     id_column: str = "event_id",
     column: str = "raw_message",
     mode: str = "append",
+    buckets: int = WORD_BUCKETS,
 ) -> None:
     """Persist the postings in folders by word hash, sorted by word.
 
+    The number of folders is part of the folders' names, so an index may be appended to
+    with another number, and a lookup reads one folder of each.
+
     A lookup reads one folder, and in it the row groups of the word. Rebalancing
     lets Spark split the folder of a frequent word over several files.
     """
     (
         word_postings(df, id_column, column)
-        .withColumn("bucket", _word_bucket(F.col("word")))
+        .withColumn("buckets", F.lit(buckets))
+        .withColumn("bucket", _word_bucket(F.col("word"), F.col("buckets")))
         .hint("rebalance", "bucket")
         .sortWithinPartitions("bucket", "word", "id")
         .write.mode(mode)
-        .partitionBy("bucket")
+        .partitionBy("buckets", "bucket")
         .parquet(path)
     )
 
@@ -223,7 +228,7 @@ def index_search(
 
     def one_of(found: list[str]) -> Column:
         tests = [
-            (F.col("bucket") == _word_bucket(F.lit(w))) & (F.col("word") == w) for w in found
+            (F.col("bucket") == _word_bucket(F.lit(w), F.col("buckets"))) & (F.col("word") == w) for w in found
         ]
         return reduce(Column.__or__, tests)
 

@@ -710,7 +710,7 @@ def _replayed(spark: SparkSession, sf_dir: str, burst: bool) -> tuple[DataFrame,
     """The event table as a finite stream that ends with a late sentinel event."""
     work = shared_dir(spark, "replay")
     batch = fx.sec_burst(spark, sf_dir) if burst else fx.sec_events(spark, sf_dir)
-    jobs.time_sentinel(batch).write.parquet(f"{work}/sentinel")
+    fx.time_sentinel(batch).write.parquet(f"{work}/sentinel")
     stored = fx.stream_events(spark, sf_dir, burst)
     sentinel = spark.readStream.schema(stored.schema).parquet(f"{work}/sentinel")
     return stored.unionByName(sentinel), work

@@ -112,27 +112,28 @@ def stream_live_feed(
     """Keep the ``n`` newest events, one small table per micro-batch.
 
     A batch merges the feed of the batch before with its own events. Repeating a
-    failed batch overwrites its table with the same rows.
+    failed batch overwrites its table with the same rows. A mark is written after the
+    table: a feed counts once it is there.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         rows = batch.select(*EVENT_COLUMNS)
         if batch_id > 0:
             before = batch.sparkSession.read.schema(rows.schema).parquet(
-                f"{path}/batch={batch_id - 1}"
+                f"{path}/feed/batch={batch_id - 1}"
             )
             rows = rows.unionByName(before)
-        newest(rows, n).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        newest(rows, n).write.mode("overwrite").parquet(f"{path}/feed/batch={batch_id}")
+        batch.sparkSession.range(1).write.mode("overwrite").parquet(f"{path}/done/batch={batch_id}")
 
     writer = events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def read_live_feed(spark: SparkSession, path: str) -> DataFrame:
-    """The feed as of the last micro-batch."""
-    feeds = spark.read.parquet(path)
-    last = feeds.agg(F.max("batch")).first()[0]
-    return feeds.filter(F.col("batch") == last).drop("batch")
+    """The feed as of the last finished micro-batch."""
+    last = spark.read.parquet(f"{path}/done").agg(F.max("batch")).first()[0]
+    return spark.read.parquet(f"{path}/feed/batch={last}")
 
 
 def events_processed(query: StreamingQuery) -> int:
@@ -147,24 +148,3 @@ def late_rows(query: StreamingQuery) -> int:
         for p in query.recentProgress
         for op in p["stateOperators"]
     )
-
-
-def time_sentinel(events: DataFrame, after: str = "1 day") -> DataFrame:
-    """One network event, in no group with others, later than all of ``events``.
-
-    Read along with the stream it moves the watermark past every real row, so a
-    replay of stored events ends with nothing pending.
-    """
-    return events.agg(F.max("timestamp").alias("last")).select(
-        F.lit(-1).cast("bigint").alias("event_id"),
-        (F.col("last") + F.expr(f"INTERVAL {after}")).alias("timestamp"),
-        F.lit("network").alias("source"),
-        F.lit("clock").alias("event_type"),
-        F.lit("info").alias("severity"),
-        F.lit("clock").alias("source_ip"),
-        F.lit(None).cast("string").alias("dest_ip"),
-        F.lit(None).cast("int").alias("dest_port"),
-        F.lit("").alias("raw_message"),
-        F.lit(0.0).alias("anomaly_score"),
-        F.lit(None).cast("map<string,string>").alias("metadata"),
-    )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sparkwarden.operators import narratives, rules, stats, traffic
 from sparkwarden.operators.normalise import parse_auth, split_parsed
 from sparkwarden.plans.detect import detect, score_events, with_progress
+from sparkwarden.plans.fixtures import time_sentinel
 from sparkwarden.session import shared_dir
 from sparkwarden.sources import logs, tables
 from sparkwarden.streaming import jobs, rule_batches
@@ -172,7 +173,7 @@ def mixed(make_events, n=240):
 def test_stream_equals_batch(spark, make_events, tmp_path):
     events = mixed(make_events)
     path = str(tmp_path / "in")
-    store(events.unionByName(jobs.time_sentinel(events)), path,
+    store(events.unionByName(time_sentinel(events)), path,
           START + timedelta(minutes=3), START + timedelta(minutes=20), START + timedelta(days=1))
     out, query = run(
         spark, stream_rule_matches(stream(spark, path, events.schema), delay="1 minute"),
@@ -191,7 +192,7 @@ def test_stream_resumes_from_its_checkpoint(spark, make_events, tmp_path):
     fires = stream_rule_matches(stream(spark, path, events.schema), [rules.BUILT_IN_RULES[0]], "0 seconds")
     out, _ = run(spark, fires, str(tmp_path))
     assert out.count() == 0
-    store(events.filter("event_id >= 6").unionByName(jobs.time_sentinel(events)), path,
+    store(events.filter("event_id >= 6").unionByName(time_sentinel(events)), path,
           START + timedelta(hours=1))
     out, query = run(spark, fires, str(tmp_path))
     assert [r.fired_id for r in out.collect()] == [9]
@@ -218,7 +219,7 @@ def test_late_events_are_counted_not_used(spark, make_events, tmp_path):
 def test_rule_batches_equal_batch(spark, make_events, tmp_path):
     events = mixed(make_events)
     path, out = str(tmp_path / "in"), str(tmp_path / "out")
-    store(events.unionByName(jobs.time_sentinel(events)), path,
+    store(events.unionByName(time_sentinel(events)), path,
           START + timedelta(minutes=4), START + timedelta(days=1))
     used = [r for r in rules.BUILT_IN_RULES if r.rule_id != "SCAN_001"]
     rule_batches.run_rule_stream(
@@ -275,7 +276,7 @@ def test_detect_stream(spark, make_events, tmp_path):
         )
     )
     path = str(tmp_path / "in")
-    store(events.unionByName(jobs.time_sentinel(events)), path, START + timedelta(days=1))
+    store(events.unionByName(time_sentinel(events)), path, START + timedelta(days=1))
     past = traffic.baseline_stats(traffic.traffic_snapshots(events))
     queries = jobs.detect_stream(
         stream(spark, path, events.schema),
