@@ -19,6 +19,7 @@ of which aggregate partially. So a host with a third of all pages needs no large
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -106,6 +107,8 @@ def token_classes(tokens: DataFrame) -> DataFrame:
         F.sum("chars").alias("chars"),
     )
     # A page counts once for its host: by its first tag or text, whichever it has, the pages of the most frequent token.
+    # What stands in one page only is in no template, and is most of all tokens: it goes before rows meet by host.
+    vectors = vectors.where((F.col("kind") == _BOX) | (F.col("pages") >= math.ceil(MIN_PAGES * MIN_SHARE)))
     hosts = vectors.groupBy("host").agg(F.max("pages").alias("pages_of_host"))
     frequent = vectors.join(hosts, "host").where(
         (F.col("pages_of_host") >= MIN_PAGES) & ((F.col("kind") == _BOX) | (F.col("pages") >= F.col("pages_of_host") * MIN_SHARE))
