@@ -324,18 +324,17 @@ def parse_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejected
 
 
-@query
-def ingest_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lines written as log files, read back, parsed, checked and counted."""
+def _log_files(spark: SparkSession, sf_dir: str) -> str:
+    """All lines as log files, by source; returns their folder."""
     folder = shared_dir(spark, "logs")
     lines = fx.sec_events(spark, sf_dir).select("source", F.col("raw_message").alias("value"))
     for name, wanted in (("auth", "source = 'auth'"), ("syslog", "source <> 'auth'")):
         lines.filter(wanted).select("value").write.text(f"{folder}/{name}")
-    found = logs.read_existing(
-        spark, {"auth": f"{folder}/auth", "syslog": f"{folder}/syslog"}
-    )
-    plan.store_logs(found, f"{folder}/table", fx.AS_OF)
-    events, rejected = plan.stored_logs(spark, f"{folder}/table")
+    return folder
+
+
+def _stored_kinds(spark: SparkSession, path: str) -> DataFrame:
+    events, rejected = plan.stored_logs(spark, path)
     kinds = events.select("source", "event_type", "severity").unionByName(
         rejected.select(
             "source", F.col("reject_reason").alias("event_type"), F.lit("").alias("severity")
@@ -346,6 +345,31 @@ def ingest_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def ingest_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines written as log files, read back, parsed, checked and counted."""
+    folder = _log_files(spark, sf_dir)
+    found = logs.read_existing(
+        spark, {"auth": f"{folder}/auth", "syslog": f"{folder}/syslog"}
+    )
+    plan.store_logs(found, f"{folder}/table", fx.AS_OF)
+    return _stored_kinds(spark, f"{folder}/table")
+
+
+@query
+def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the continuous intake, one file of a source to a micro-batch."""
+    folder = _log_files(spark, sf_dir)
+    streams = {
+        name: logs.stream_logs(spark, f"{folder}/{name}", max_files_per_trigger=1)
+        for name in ("auth", "syslog")
+    }
+    running = plan.store_log_streams(streams, f"{folder}/table", f"{folder}/checkpoint", fx.AS_OF)
+    for intake in running:
+        intake.awaitTermination()
+    return _stored_kinds(spark, f"{folder}/table")
+
+
 @query
 def syslog_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (

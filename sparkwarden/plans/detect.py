@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.alerts import dns_alerts, login_alerts, traffic_alerts
 from ..operators.dns import DnsForest, classify_dns, dns_queries
@@ -66,18 +67,47 @@ def store_logs(
     parsers: dict[str, Parser] | None = None,
 ) -> None:
     """Parse once and append events and rejects to one table, apart by folder."""
+    _store(checked_logs(lines, reference_ts, rollover, parsers), path, "append")
+
+
+def _store(checked: DataFrame, path: str, mode: str) -> None:
     (
-        checked_logs(lines, reference_ts, rollover, parsers)
-        .withColumn("outcome", F.when(F.col("reject_reason").isNull(), "event").otherwise("reject"))
+        checked.withColumn("outcome", F.when(F.col("reject_reason").isNull(), "event").otherwise("reject"))
         .withColumn("event_date", F.to_date("timestamp"))
         .hint("rebalance", "outcome", "event_date")
         .sortWithinPartitions("outcome", "event_date", "timestamp", "event_id")
-        .write.mode("append")
+        .write.mode(mode)
         .partitionBy("outcome", "event_date")
         .parquet(path)
     )
 
 
+def store_log_streams(
+    lines: dict[str, DataFrame],
+    path: str,
+    checkpoint: str,
+    reference_ts: datetime,
+    rollover: bool = False,
+    parsers: dict[str, Parser] | None = None,
+    once: bool = True,
+) -> list[StreamingQuery]:
+    """Continuous intake: the lines of each source (``stream_logs``) parsed, checked and stored as they arrive.
+
+    One query per source. A micro-batch has a folder of its own, so a repeated batch
+    replaces what it had written. ``stored_logs`` reads the table of all sources.
+    """
+
+    def start(source: str, stream: DataFrame) -> StreamingQuery:
+        def step(batch: DataFrame, batch_id: int) -> None:
+            checked = checked_logs({source: batch}, reference_ts, rollover, parsers)
+            _store(checked, f"{path}/origin={source}/batch={batch_id}", "overwrite")
+
+        writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{checkpoint}/{source}")
+        return (writer.trigger(availableNow=True) if once else writer).start()
+
+    return [start(source, stream) for source, stream in lines.items()]
+
+
 def stored_logs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(events, rejects) of a table written by ``store_logs``; each reads its own folder."""
     table = spark.read.parquet(path)

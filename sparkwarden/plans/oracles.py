@@ -310,7 +310,7 @@ def _severities(*names: str) -> str:
 def oracle_statements() -> dict[str, str]:
     """One statement per query; queries on fitted forests have none."""
     burst_ip = "(partition by source_ip order by timestamp "
-    return {
+    statements = {
         "search_page": _with(
             f"select {PAGE} from sec_events where source = 'auth' and severity = 'medium' "
             "order by timestamp desc, event_id desc limit 100 offset 50"
@@ -682,3 +682,6 @@ def oracle_statements() -> dict[str, str]:
             "and timestamp '2024-01-20 23:59:59' group by 1, 2"
         ),
     }
+    # The stream stores what the batch job stores.
+    statements["ingest_stream"] = statements["ingest_logs"]
+    return statements

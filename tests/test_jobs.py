@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 
 from sparkwarden.operators import narratives, rules, stats, traffic
 from sparkwarden.operators.normalise import parse_auth, split_parsed
-from sparkwarden.plans.detect import detect, score_events, with_progress
+from sparkwarden.plans.detect import (
+    detect,
+    score_events,
+    store_log_streams,
+    store_logs,
+    stored_logs,
+    with_progress,
+)
 from sparkwarden.plans.fixtures import time_sentinel
 from sparkwarden.session import shared_dir
 from sparkwarden.sources import logs, tables
@@ -357,3 +364,22 @@ def test_route_needs_a_source(spark, empty):
         a = spark.createDataFrame([(1,)], "x int")
         b = spark.createDataFrame([(2, 3)], "x int, y int")
         assert logs.route_sources({"a": a, "b": b}).count() == 2
+
+
+def test_continuous_intake_equals_batch(spark, tmp_path):
+    line = "Apr  9 08:15:30 box sshd[7]: Failed password for a from 192.0.2.{} port 5"
+    folder = tmp_path / "auth"
+    folder.mkdir()
+    streams = {"auth": logs.stream_logs(spark, str(folder), max_files_per_trigger=1)}
+    table, check = str(tmp_path / "table"), str(tmp_path / "check")
+    for k in range(3):
+        (folder / f"auth.{k}").write_text("\n".join([line.format(k), line.format(k), "junk", ""]))
+        if k != 1:
+            for intake in store_log_streams(streams, table, check, datetime(2026, 5, 1)):
+                intake.awaitTermination()
+    events, rejects = stored_logs(spark, table)
+    assert (events.count(), rejects.count()) == (6, 3)
+    assert sorted({r.source_ip for r in events.collect()}) == ["192.0.2.0", "192.0.2.1", "192.0.2.2"]
+    batch = tmp_path / "batch"
+    store_logs({"auth": logs.read_logs(spark, str(folder))}, str(batch), datetime(2026, 5, 1))
+    assert sorted(r.event_id for r in stored_logs(spark, str(batch))[0].collect()) == sorted(r.event_id for r in events.collect())
