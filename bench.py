@@ -48,6 +48,15 @@ HEADLINE = [
     "cluster_digest",
     "detect",
     "stream_brute",
+    "detect_stream",
+    "stream_rule_batches",
+    "stream_rules",
+    "text_index_search",
+    "ingest_logs",
+    "ingest_stream",
+    "dns_forest",
+    "traffic_forest_scores",
+    "score_events",
 ]
 
 
