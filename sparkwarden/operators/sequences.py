@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,16 +15,22 @@ def _us(ts: str) -> Column:
 
 
 def rolling_count(
-    df: DataFrame, key: Column, window_seconds: int, ts: str = "timestamp", out: str = "rolling"
+    df: DataFrame,
+    key: Column,
+    window_seconds: int,
+    ts: str = "timestamp",
+    out: str = "rolling",
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """Adds the number of the key's rows in the window that ends at each row.
 
     A row counts from its time until the window length after it, so the number is a
     running sum of +1 at each row and -1 just after it leaves. That is linear in the
     rows, where a sliding frame would visit every row of the window for each row.
+    ``columns`` are those that go through the shuffle and come out; default all.
     """
     window_us = window_seconds * MICROS
-    keyed = df.select(key.alias("_key"), _us(ts).alias("_us"), F.struct("*").alias("_row"))
+    keyed = df.select(key.alias("_key"), _us(ts).alias("_us"), F.struct(*(columns or df.columns)).alias("_row"))
     sliced = with_slices(keyed, "_us", window_us, window_us * LOOKBACKS_PER_SLICE)
     comes = F.struct(
         F.col("_us").alias("at"), F.lit(1).alias("delta"), F.when(F.col("_own"), F.col("_row")).alias("row")
@@ -49,12 +57,15 @@ def followed_by(
     within_seconds: int = 180,
     ts: str = "timestamp",
     tie: str = "event_id",
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """``then`` rows with an earlier ``first`` row of the same key, and that row's time.
 
     The nearest earlier row counts. One window pass, no self-join; rows that are
-    neither first nor then are dropped before the shuffle.
+    neither first nor then are dropped before the shuffle. ``columns`` are those that go
+    through it and come out, ``tie`` always; default all.
     """
+    carried = list(dict.fromkeys([*(columns or df.columns), tie]))
     within_us = within_seconds * MICROS
     keyed = (
         df.withColumn("_first", F.coalesce(first, F.lit(False)))
@@ -62,6 +73,7 @@ def followed_by(
         .filter("_first or _then")
         .withColumn("_key", key)
         .withColumn("_us", _us(ts))
+        .select(*carried, "_first", "_then", "_key", "_us")
     )
     sliced = with_slices(keyed, "_us", within_us, within_us * LOOKBACKS_PER_SLICE)
     before = slice_window(["_key"], "_us", tie).rowsBetween(Window.unboundedPreceding, -1)

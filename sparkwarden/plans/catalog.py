@@ -467,7 +467,7 @@ def recent_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rolling_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = sequences.rolling_count(fx.sec_burst(spark, sf_dir), F.col("source_ip"), 5)
+    counted = sequences.rolling_count(fx.sec_burst(spark, sf_dir), F.col("source_ip"), 5, columns=["event_id"])
     return counted.select("event_id", "rolling")
 
 
@@ -480,6 +480,7 @@ def sudo_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type") == "sudo_command",
         normalise.metadata_get("username"),
         within_seconds=3,
+        columns=["event_id", "timestamp"],
     )
     return plain_times(found.select("event_id", "timestamp", "first_at"))
 
