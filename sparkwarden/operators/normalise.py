@@ -42,6 +42,13 @@ AUTH_FORMATS = (
     ),
 )
 
+# A failed sudo password as PAM logs it; tried after the others, and only if asked for.
+SUDO_FAILED = (
+    _TIME
+    + r"\S+\s+sudo(?:\[\d+\])?:\s+pam_unix\(sudo:auth\): authentication failure;[^\n]*\suser=(\S+)"
+)
+SUDO_FAILED_FORMAT = ("sudo_failed", "medium", "pam_unix(sudo:auth)", SUDO_FAILED, False)
+
 _PARSED = (
     "struct<time_text:string,event_type:string,severity:string,source_ip:string,"
     "dest_port:int,metadata:map<string,string>>"
@@ -56,6 +63,9 @@ def _auth_format(line: Column, kind: str, severity: str, pattern: str, has_port:
         command = strip(group(3))
         ip, port = F.lit(None), F.lit(None)
         metadata = F.create_map(F.lit("username"), group(2), F.lit("command"), command)
+    elif kind == "sudo_failed":
+        ip, port = F.lit(None), F.lit(None)
+        metadata = F.create_map(F.lit("username"), group(2))
     else:
         ip, port = group(3), F.lit(22)
         pairs = [F.lit("username"), group(2)]
@@ -112,9 +122,14 @@ def _events(
     )
 
 
-def parse_auth(lines: DataFrame, reference_ts: datetime, rollover: bool = False) -> DataFrame:
+def parse_auth(
+    lines: DataFrame, reference_ts: datetime, rollover: bool = False, sudo_failures: bool = False
+) -> DataFrame:
     """Authentication log lines (column ``value``) to events.
 
+    With ``sudo_failures`` failed sudo passwords are events too, so that a failure
+    followed by a command can be found (``sequences.followed_by``).
+
     Formats are searched anywhere in the line and in a fixed order. A cheap
     substring test guards each pattern, so most lines meet one regex only.
     """
@@ -124,7 +139,10 @@ def parse_auth(lines: DataFrame, reference_ts: datetime, rollover: bool = False)
             line.contains(marker) & line.rlike(pattern),
             _auth_format(line, kind, severity, pattern, has_port),
         )
-        for kind, severity, marker, pattern, has_port in AUTH_FORMATS
+        for kind, severity, marker, pattern, has_port in (
+            *AUTH_FORMATS,
+            *([SUDO_FAILED_FORMAT] if sudo_failures else []),
+        )
     ]
     parsed = F.coalesce(*tried)
     return _events(lines, "auth", parsed, F.col("severity"), reference_ts, rollover)

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from sparkwarden.functions.severity import severity_rank
 from sparkwarden.functions.timestamps import iso_text, syslog_timestamp
+from sparkwarden.operators import sequences
 from sparkwarden.operators.normalise import (
+    metadata_get,
     parse_auth,
     parse_syslog,
     split_parsed,
@@ -231,3 +233,19 @@ def test_own_parser(spark):
     lines = {"syslog": spark.createDataFrame([("hello",)], "value string")}
     events, rejects = normalise_logs(lines, datetime(2026, 5, 1), parsers={"syslog": parse_words})
     assert events.first().event_type == "syslog_words" and rejects.count() == 0
+
+
+def test_sudo_failure_then_command(spark):
+    lines = [
+        "Apr  9 08:15:30 box sudo: pam_unix(sudo:auth): authentication failure; logname=ann uid=1000 euid=0 tty=/dev/pts/0 ruser=ann rhost=  user=ann",
+        "Apr  9 08:16:30 box sudo: ann : TTY=pts/0 ; PWD=/ ; USER=root ; COMMAND=/bin/ls",
+        "Apr  9 08:16:40 box sudo: bob : TTY=pts/0 ; PWD=/ ; USER=root ; COMMAND=/bin/ls",
+    ]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    assert [r.event_type for r in parse_auth(df, NOW).orderBy("raw_message").collect()].count(None) == 1
+    events, rejected = split_parsed(parse_auth(df, NOW, sudo_failures=True))
+    assert rejected.count() == 0
+    found = sequences.followed_by(
+        events, F.col("event_type") == "sudo_failed", F.col("event_type") == "sudo_command", metadata_get("username"), 180
+    ).collect()
+    assert [r.metadata["username"] for r in found] == ["ann"]
