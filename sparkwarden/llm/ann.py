@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import small_batches, stored
 
 NEIGHBOURS = 20
 
@@ -283,7 +283,7 @@ def nearest_neighbours(
     without usable vectors gives no rows.
     """
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    small_batches(spark, rows=4096)
     # One more than k, for the query's own id.
     distinct = stored(distinct_vectors(vectors, k + 1, id_col, vector_col), "vectors")
     asked = vectors.where(F.coalesce(is_query, F.lit(False))).select(

@@ -308,7 +308,7 @@ def read_archives(spark: SparkSession, folder: str, *, payloads: bool = True) ->
     A revisit has no payload of its own (null); its length and digest are those of
     the payload it refers to.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is a bundle here
+    small_batches(spark)  # by bytes: a bundle or two at a time
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(folder)
     return files.select("path", "content").mapInArrow(_reader(payloads), RECORD_SCHEMA)
 
