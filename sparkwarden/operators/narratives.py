@@ -9,37 +9,49 @@ from pyspark.sql import functions as F
 
 NO_EVENTS = "No events to analyze."
 
-TEMPLATES = {
+# What is found, what shows it, what to do next; by the type of a cluster's first event.
+PARTS = {
     "ssh_failed": (
-        "{count} SSH logins from {source_ip} to port {dest_port} failed within {window} minutes, "
-        "which looks like password guessing. Check whether the address is known, look for "
-        "accounts that were opened, and limit or block further attempts."
+        "Password guessing over SSH",
+        "{count} wrong passwords sent by {source_ip} to port {dest_port}, all in {window} minutes",
+        "ask who owns the address, and rate-limit it until somebody answers",
     ),
     "ssh_brute_force": (
-        "SSH brute-force attack: {source_ip} ran into the retry limit {count} times. "
-        "Block {source_ip} now and review the accounts it tried."
+        "SSH brute-force attempt",
+        "the server cut {source_ip} off {count} times for too many tries",
+        "drop packets of {source_ip}, then reset the accounts it aimed at",
     ),
     "ssh_invalid_user": (
-        "User names are being probed: {source_ip} tried {count} logins for accounts that do not "
-        "exist. Block the address and make sure SSH does not reveal which names are valid."
+        "Search for account names",
+        "{source_ip} asked {count} times for users this machine does not have",
+        "shut the address out and compare its names with the real ones",
     ),
     "connection_attempt": (
-        "Possible port scan: {count} connection attempts by {source_ip} within {window} minutes. "
-        "Block the address, check the firewall rules and look for connections that succeeded."
+        "Port scan",
+        "{source_ip} knocked {count} times in {window} minutes",
+        "list the ports that answered and close those nobody needs",
     ),
     "dns_query": (
-        "Unusual DNS traffic: {count} queries by {source_ip} look like {attack_type}. Random "
-        "looking names may carry data out. Inspect the queries, block the domains and "
-        "examine the host."
+        "Odd DNS names",
+        "{count} queries of {source_ip}, rated {attack_type}",
+        "decode a few of the names and isolate the machine if they carry data",
     ),
 }
-DEFAULT_TEMPLATE = (
-    "{count} {event_type} events of {severity} severity from {source_ip} within {window} minutes, "
-    "consistent with {attack_type}. Review what the address did and block it if it has no "
-    "business here."
+DEFAULT_PARTS = (
+    "Unusual run of {event_type}",
+    "{count} events, severity {severity}, from {source_ip} in {window} minutes; {attack_type}",
+    "find out what the address is used for",
 )
 
 
+def _sentence(finding: str, evidence: str, action: str) -> str:
+    return f"{finding}: {evidence}. Next step: {action}."
+
+
+TEMPLATES = {event_type: _sentence(*parts) for event_type, parts in PARTS.items()}
+DEFAULT_TEMPLATE = _sentence(*DEFAULT_PARTS)
+
+
 def event_clusters(events: DataFrame, key: Column, window_minutes: int) -> DataFrame:
     """Events grouped by key and time window, with the facts of their first event.
 
