@@ -5,7 +5,9 @@ lists is put into all of them (its nearest lists, as far as their distance ratio
 allows), so a query needs few lists to meet its neighbours. Centroids are the leaves
 of a balanced bisection of a bounded sample; they are searched through a graph of
 near centroids that every task holds in memory. A query takes the lists whose
-centroids are at most a ratio farther than the nearest one.
+centroids are at most a ratio farther than the nearest one. How far that goes is
+fitted to the table: the true neighbours of some queries are found by comparing
+them with every vector, and more lists are read until these queries meet them.
 
 Distances to centroids are Euclidean in a space with one more dimension, where the
 largest inner product is the least distance: that dimension brings all vectors to
@@ -38,9 +40,16 @@ MAX_CENTROIDS = 16384
 REPLICA_RATIO = 1.4
 REPLICAS = 8
 
-# A query reads the lists at most so much farther than its nearest one.
+# A query reads the lists at most so much farther than its nearest one, and so many. Both grow by
+# WIDER until FITTED queries meet this share of their true neighbours, if need be to all lists.
 LIST_RATIO = 1.4
-MIN_LISTS, MAX_LISTS = 8, 64
+MIN_LISTS, USUAL_LISTS = 8, 64
+RECALL = 0.95
+FITTED = 256
+WIDER = 1.25
+
+# Where more than one in so many centroids is wanted, all are compared: that is less work than the links.
+SCANNED = 16
 
 # Vectors of a list that one task compares with the list's queries: longer lists are cut.
 CHUNK = 4096
@@ -112,6 +121,8 @@ class CentroidGraph:
         """(centroids, distances), nearest first: a beam search along the links, for all rows at once."""
         n = len(self.centroids)
         wanted = min(wanted, n)
+        if wanted * SCANNED >= n:
+            return self._scanned(x, wanted)
         beam = min(n, wanted + wanted // 2 + 24)
         rows = np.arange(len(x))[:, None]
         squares = (x**2).sum(axis=1)[:, None]
@@ -153,6 +164,19 @@ class CentroidGraph:
         dist = np.take_along_axis(dist, order, axis=1)
         return np.take_along_axis(nodes, order, axis=1), np.sqrt(np.maximum(dist, 0))
 
+    def _scanned(self, x: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+        """As `nearest`, by comparing all centroids."""
+        nodes, found = np.empty((len(x), wanted), np.int64), np.empty((len(x), wanted), np.float32)
+        squares = (self.centroids**2).sum(axis=1)
+        for at in range(0, len(x), 256):
+            block = x[at : at + 256]
+            d = (block**2).sum(axis=1)[:, None] + squares[None, :] - 2 * block @ self.centroids.T
+            best = np.argpartition(d, wanted - 1, axis=1)[:, :wanted]
+            dist = np.take_along_axis(d, best, axis=1)
+            order = np.argsort(dist, axis=1, kind="stable")
+            nodes[at : at + 256], found[at : at + 256] = np.take_along_axis(best, order, axis=1), np.take_along_axis(dist, order, axis=1)
+        return nodes, np.sqrt(np.maximum(found, 0))
+
     def among(self, filled: Iterable[int]) -> CentroidGraph:
         """The graph with what is known of its lists."""
         holds = np.zeros(len(self.centroids), bool)
@@ -223,6 +247,71 @@ def _assigned(graph: CentroidGraph, ratio: float, least: int, most: int, queries
     return assign
 
 
+def _true_neighbours(queries: np.ndarray, keep: int):
+    """(query, score, data): of each task's vectors the `keep` with the largest inner products with each query but equal ones."""
+    wanted = queries.astype(np.float64)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores, data = np.empty((len(wanted), 0)), np.empty((0, queries.shape[1]), np.float32)
+        held = np.empty((len(wanted), 0), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _matrix(batch.column(0))
+            fresh = wanted @ x.astype(np.float64).T
+            row_of = {v.tobytes(): i for i, v in enumerate(x)}
+            for i, q in enumerate(queries):
+                if (same := row_of.get(q.tobytes())) is not None:
+                    fresh[i, same] = -np.inf
+            scores = np.concatenate([scores, fresh], axis=1)
+            held = np.concatenate([held, np.broadcast_to(np.arange(len(data), len(data) + len(x)), fresh.shape)], axis=1)
+            data = np.concatenate([data, x])
+            if scores.shape[1] > keep:
+                best = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
+                scores, held = np.take_along_axis(scores, best, axis=1), np.take_along_axis(held, best, axis=1)
+            rows, at = np.unique(held, return_inverse=True)
+            data, held = data[rows], at.reshape(held.shape)
+        query, place = np.nonzero(np.isfinite(scores))
+        columns = [pa.array(query.astype(np.int32)), pa.array(scores[query, place]), pa.array([data[r].tobytes() for r in held[query, place]], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["query", "score", "data"])
+
+    return search
+
+
+def fitted_reach(
+    graph: CentroidGraph, distinct: DataFrame, query_vectors: DataFrame, k: int, ratio: float, most: int, recall: float
+) -> tuple[float, int]:
+    """(ratio, number of lists) at which sampled queries meet the share `recall` of their k true neighbours; at least those given.
+
+    Collected are FITTED queries and their neighbours, whatever the size of the table.
+    """
+    sample = query_vectors.orderBy(F.xxhash64("hash"), "first").limit(FITTED).select("vector").toArrow().column("vector")
+    if not len(sample):
+        return ratio, most
+    queries = _matrix(sample)
+    by_query = Window.partitionBy("query").orderBy(F.desc("score"), "data")
+    found = distinct.select("vector").mapInArrow(_true_neighbours(queries, k), "query int, score double, data binary")
+    truth = found.withColumn("_place", F.row_number().over(by_query)).where(F.col("_place") <= k).select("query", "data").toArrow()
+    if not truth.num_rows:
+        return ratio, most
+    owner = truth.column("query").to_numpy()
+    vectors = np.frombuffer(b"".join(truth.column("data").to_pylist()), np.float32).reshape(len(owner), -1)
+    parts = []
+    for at in range(0, len(vectors), 256):
+        row, lists = graph.lists(graph.augmented(vectors[at : at + 256]), REPLICA_RATIO, 1, REPLICAS)
+        parts.append((row + at, lists))
+    row, lists = (np.concatenate(v) for v in zip(*parts))
+    aimed, n = graph.aimed(queries), len(graph.centroids)
+    while True:
+        read = np.zeros((len(queries), n), bool)
+        read[graph.lists(aimed, ratio, MIN_LISTS, most)] = True
+        met = np.zeros(len(owner), bool)
+        np.logical_or.at(met, row, read[owner[row], lists])
+        if met.mean() >= recall or (most >= n and ratio == np.inf):
+            return ratio, most
+        most, ratio = int(np.ceil(most * WIDER)), np.inf if most >= n else ratio * WIDER
+
+
 def _compared(keep: int):
     def compare(key: tuple, wanted: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -273,14 +362,16 @@ def nearest_neighbours(
     vector_col: str = "embedding",
     list_size: int = LIST_SIZE,
     list_ratio: float = LIST_RATIO,
-    max_lists: int = MAX_LISTS,
+    usual_lists: int = USUAL_LISTS,
+    recall: float = RECALL,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row for which `is_query` holds, among all rows but its own id.
 
     Null and zero vectors, vectors with null or non-finite components and rows without
     id take no part, neither as queries nor as candidates. Ties go to the smaller id.
     A repeated row counts once. Fewer than k candidates are all returned; a table
-    without usable vectors gives no rows.
+    without usable vectors gives no rows. A query reads `usual_lists` lists at most, or
+    as many more as sampled queries need to meet the share `recall` of their neighbours.
     """
     spark = vectors.sparkSession
     small_batches(spark, rows=4096)
@@ -306,7 +397,9 @@ def nearest_neighbours(
     # A list longer than CHUNK is compared in several chunks. One row per centroid: bounded by MAX_CENTROIDS.
     chunks = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     query_vectors = distinct.join(asked.select("vector").distinct(), "vector", "left_semi").select("vector", "first", "hash")
-    queries = query_vectors.mapInArrow(_assigned(graph.among(r["list"] for r in chunks.collect()), list_ratio, MIN_LISTS, max_lists, True), listed)
+    known = graph.among(r["list"] for r in chunks.collect())
+    ratio, most = fitted_reach(known, distinct, query_vectors, k, list_ratio, usual_lists, recall)
+    queries = query_vectors.mapInArrow(_assigned(known, ratio, MIN_LISTS, most, True), listed)
 
     placed = postings.join(F.broadcast(chunks), "list").withColumn("chunk", F.pmod(F.xxhash64("first", "hash"), "chunks").cast("int"))
     spread = queries.join(F.broadcast(chunks), "list").withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)")))

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from sparkwarden.llm import ann
@@ -90,3 +92,34 @@ def test_graph_finds_the_nearest_centroids(count):
     assert nodes.shape == exact.shape
     assert np.mean(dist <= exact + 1e-2) > 0.95
     assert all(len(set(row)) == len(row) for row in nodes.tolist())
+
+
+def _isotropic(tmp_path, spark, count, size=64):
+    """A table of `count` unit vectors in no groups, and the vectors."""
+    x = np.random.default_rng(count).normal(size=(count, size))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    values = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, size, dtype=np.int32)), pa.array(x.ravel()))
+    pq.write_table(pa.table({"vec_id": pa.array(np.arange(count)), "embedding": values}), str(tmp_path / "vectors.parquet"), row_group_size=20000)
+    return spark.read.parquet(str(tmp_path / "vectors.parquet")), x
+
+
+def _recall(table, x, every, **how):
+    got = answers(nearest_neighbours(table, F.col("vec_id") % every == 0, **how).collect())
+    asked = np.arange(0, len(x), every)
+    scores = x[asked].astype(float) @ x.T.astype(float)
+    scores[np.arange(len(asked)), asked] = -np.inf
+    want = np.argpartition(-scores, 20, axis=1)[:, :20]
+    return np.mean([len(set(got[q]) & set(w)) / 20 for q, w in zip(asked.tolist(), want.tolist())])
+
+
+def test_recall_holds_on_many_vectors_without_groups(spark, tmp_path):
+    """With the constants of the query, which once read 64 lists at most."""
+    table, x = _isotropic(tmp_path, spark, 150_000)
+    assert _recall(table, x, 400) >= 0.9
+
+
+def test_lists_read_follow_the_table(spark, tmp_path):
+    table, x = _isotropic(tmp_path, spark, 6000)
+    assert _recall(table, x, 20, list_size=8, usual_lists=8) >= 0.9
+    assert _recall(table, x, 20, list_size=8, usual_lists=8, list_ratio=1.0) >= 0.9
+    assert _recall(table, x, 20, list_size=8, usual_lists=8, recall=0.0) < 0.9
