@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 import xxhash
 from conftest_llm import LONG, ODD
-from sparkwarden.llm.quality import THRESHOLD, gram_counts, judge, judged_documents, log_ratios, trusted_ids
+from sparkwarden.llm.quality import THRESHOLD, _repeat_places, gram_counts, judge, judged_documents, log_ratios, trusted_ids
 
 BUCKETS = 512
 
@@ -105,3 +105,24 @@ def test_ratios_without_trust_decide_nothing(spark, make_docs):
     with pytest.raises(ValueError):
         judge(docs, [])
     assert len(words_of(LONG)) == 90000
+
+
+@pytest.mark.parametrize("count", [20_000, 100])
+def test_windows_of_a_long_text_are_told_apart_by_the_whole_hash(spark, count):
+    """Hashes that differ only in the bits a place takes are different windows; true repeats are found."""
+    hashes = [k << 20 for k in range(count)]
+    hashes[5], hashes[9] = hashes[7] | 1, hashes[3]
+    hashes[30], hashes[40] = hashes[50], hashes[50]
+    frame = spark.createDataFrame([(1, hashes), (2, hashes[:2]), (3, [])], "id int, _w array<long>")
+    want = {1: [3, 9, 30, 40, 50], 2: [], 3: []}
+    assert {r["id"]: r["_at"] for r in _repeat_places(frame, 10).collect()} == want
+    if count > 16384:
+        assert {r["id"]: r["_at"] for r in _repeat_places(frame).collect()} == want
+    # In one number the two are mistaken for a repeat.
+    assert {r["id"]: r["_at"] for r in _repeat_places(frame, 1 << 30).collect()}[1] == [3, 5, 7, 9, 30, 40, 50]
+
+
+def test_counts_of_a_long_text(spark, make_docs):
+    text = " ".join(f"w{i * i % 20011}" for i in range(40_000))
+    got = judge(make_docs([(1, text)]), [0.0] * BUCKETS).collect()[0]
+    assert (got["n_words"], got["n_repeat_words"]) == (plain_counts(text)[0], plain_counts(text)[4])
