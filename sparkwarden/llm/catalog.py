@@ -16,6 +16,7 @@ from .sharding import interleaved_shards
 from .simhash import near_duplicates
 from .tables import read_table
 from .template import main_texts
+from .topk import exact_top_k
 from .warc import archived_pages
 
 
@@ -66,6 +67,10 @@ def proportional_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleaved_shards(read_table(spark, sf_dir, "documents"), shards=24)
 
 
+def columnar_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     "op1_posting_list_search": posting_list_search,
     "op2_quality_rules": quality_rules,
@@ -77,4 +82,5 @@ QUERIES = {
     "op8_proportional_shards": proportional_shards,
     "op9_best_two_fit": best_two_fit,
     "op10_prefix_token_counts": prefix_token_counts,
+    "op11_columnar_top_k": columnar_top_k,
 }
