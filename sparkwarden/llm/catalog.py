@@ -10,8 +10,10 @@ from .ann import nearest_neighbours
 from .bpe import round_trip_digests
 from .counts import token_counts
 from .langid import held_out, identified
+from .merkle import verified_rows
 from .packing import packed_documents
 from .quality import judged_documents
+from .runs import run_digests
 from .sharding import interleaved_shards
 from .simhash import near_duplicates
 from .tables import read_table
@@ -71,6 +73,14 @@ def columnar_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def word_run_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(read_table(spark, sf_dir, "documents"))
+
+
+def merkle_witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified_rows(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_posting_list_search": posting_list_search,
     "op2_quality_rules": quality_rules,
@@ -83,4 +93,6 @@ QUERIES = {
     "op9_best_two_fit": best_two_fit,
     "op10_prefix_token_counts": prefix_token_counts,
     "op11_columnar_top_k": columnar_top_k,
+    "op12_word_runs": word_run_digests,
+    "op13_merkle_witnesses": merkle_witnesses,
 }
