@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -120,12 +119,8 @@ def load_rules(table: DataFrame) -> list[Rule]:
     return [Rule(**row.asDict()) for row in table.collect()]
 
 
-def match_rules(events: DataFrame, rules: Sequence[Rule] = BUILT_IN_RULES) -> DataFrame:
-    """(rule_id, group_key, event) for every rule an event counts for; no shuffle.
-
-    The time takes part in the test, so that on a stream it is made after the
-    watermark has seen the event, whatever the rules are.
-    """
+def rule_hits(rules: Sequence[Rule] = BUILT_IN_RULES) -> Column:
+    """The (rule_id, group_key) of every rule an event counts for; none for an event without a time."""
     hits = [
         F.when(
             F.expr(r.predicate) & F.col("timestamp").isNotNull(),
@@ -133,34 +128,73 @@ def match_rules(events: DataFrame, rules: Sequence[Rule] = BUILT_IN_RULES) -> Da
         )
         for r in check_rules(rules)
     ]
+    return F.array_compact(F.array(*hits))
+
+
+def match_rules(events: DataFrame, rules: Sequence[Rule] = BUILT_IN_RULES) -> DataFrame:
+    """(rule_id, group_key, event) for every rule an event counts for; no shuffle.
+
+    The time takes part in the test, so that on a stream it is made after the
+    watermark has seen the event, whatever the rules are.
+    """
+    return events.withColumn("_hit", F.explode(rule_hits(rules))).select("*", "_hit.rule_id", "_hit.group_key").drop("_hit")
+
+
+# Slices whose maps one row holds while a chain is followed: a longer chain is folded block by block.
+CHAIN_BLOCK = 512
+
+
+def _may_fire_from(runs: str, start: str, threshold: int) -> str:
+    """SQL for the row number from which a key may fire again after these runs, if it may from ``start`` on."""
+    first = "greatest(run.lo, free)"
     return (
-        events.withColumn("_hit", F.explode(F.array_compact(F.array(*hits))))
-        .select("*", "_hit.rule_id", "_hit.group_key")
-        .drop("_hit")
+        f"aggregate({runs}, {start}, (free, run) -> if({first} <= run.hi, "
+        f"{first} + ((run.hi - {first}) div {threshold}) * {threshold} + {threshold}, free))"
     )
 
 
-def _first_fires(batches: Iterator[pd.DataFrame], threshold: int) -> Iterator[pd.DataFrame]:
-    """First firing row of each run (row numbers ``lo`` to ``hi``), or -1.
+def _after(maps: str, start: str) -> str:
+    return f"aggregate({maps}, {start}, (free, step) -> element_at(step.after, cast(free as int)))"
+
+
+def _entered(slices: DataFrame, totals: DataFrame, threshold: int) -> DataFrame:
+    """Adds ``free``: the row of the slice (from 1) from which its key may fire, after all earlier slices.
 
-    Runs come sorted by key and place, in batches: only the current key and the
-    row from which it may fire again are remembered.
+    What a slice does to that number is a map of 1 to ``threshold`` to itself, worked out
+    for each slice alone. Maps compose. A slice that forgets where it started (its map is
+    constant) begins a chain of its own; within a chain, maps are composed by blocks of
+    slices, then the few blocks are gone through, then the slices of each block.
     """
-    key, allowed = None, 0
-    for pdf in batches:
-        first = []
-        for k, lo, hi in zip(
-            pdf["group_key"].tolist(), pdf["lo"].tolist(), pdf["hi"].tolist(), strict=True
-        ):
-            if k != key:
-                key, allowed = k, 0
-            start = max(lo, allowed)
-            if start <= hi:
-                first.append(start)
-                allowed = start + (hi - start) // threshold * threshold + threshold
-            else:
-                first.append(-1)
-        yield pdf.assign(first=pd.Series(first, dtype="int64", index=pdf.index))
+    by_key = Window.partitionBy("group_key").orderBy("_slice")
+    met = slices.join(totals, ["group_key", "_slice"]).withColumn("skip", F.lead("before").over(by_key) - F.col("before"))
+    after = f"greatest(1, least({threshold}, {_may_fire_from('runs', 'start', threshold)} - coalesce(skip, {threshold} + 0L)))"
+    mapped = met.withColumn("after", F.expr(f"transform(sequence(1L, {threshold}L), start -> cast({after} as bigint))"))
+    forgets = F.array_min("after") == F.array_max("after")
+    # The slice after one that forgets starts a chain, and knows where.
+    starts = F.lag(F.when(forgets, F.element_at("after", 1)), 1).over(by_key)
+    chained = mapped.withColumn("known", F.when(F.row_number().over(by_key) == 1, F.lit(1).cast("bigint")).otherwise(starts))
+    chained = chained.withColumn("chain", F.count("known").over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
+    in_chain = Window.partitionBy("group_key", "chain").orderBy("_slice")
+    chained = chained.withColumn("block", F.floor((F.row_number().over(in_chain) - 1) / CHAIN_BLOCK))
+    blocks = chained.groupBy("group_key", "chain", "block").agg(
+        F.array_sort(F.collect_list(F.struct("_slice", "before", "runs", "after"))).alias("steps"), F.max("known").alias("known")
+    )
+    blocks = blocks.withColumn("after", F.expr(f"transform(sequence(1L, {threshold}L), start -> {_after('steps', 'start')})"))
+    # One row for each block of a chain: where it starts follows from the blocks before it.
+    earlier = F.collect_list(F.struct("block", "after", "known")).over(
+        Window.partitionBy("group_key", "chain").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    entered = blocks.withColumn("earlier", earlier).withColumn(
+        "start", F.expr(f"if(size(earlier) = 0, known, {_after('earlier', 'earlier[0].known')})")
+    )
+    followed = (
+        "aggregate(steps, named_struct('free', start, 'seen', cast(array() as array<bigint>)), (acc, step) -> "
+        "named_struct('free', element_at(step.after, cast(acc.free as int)), 'seen', concat(acc.seen, array(acc.free))), acc -> acc.seen)"
+    )
+    return (
+        entered.select("group_key", F.explode(F.arrays_zip("steps", F.expr(followed).alias("free"))).alias("s"))
+        .select("group_key", "s.steps._slice", "s.steps.before", "s.steps.runs", "s.free")
+    )
 
 
 def fire_and_reset(
@@ -179,25 +213,28 @@ def fire_and_reset(
     the threshold) and ``evidence``, the times of the first rows that count. With
     ``copies`` also ``fired_copy``: which of the key's rows of that time and id it was.
 
-    Method. Number a key's rows. A row is a candidate when the row threshold - 1
-    places before it is inside the window; it fires when it is also at least
-    ``threshold`` rows after the last firing row. Candidates form runs of adjacent
+    Rows without a time do not count. Method. Number a key's rows. A row is a candidate when the row
+    threshold - 1 places before it is inside the window; it fires when it is also at
+    least ``threshold`` rows after the last firing row. Candidates form runs of adjacent
     rows, and within a run every threshold-th row fires, so a run only needs to
     know its first firing row, which follows from the runs before it.
 
-    Rows are windowed by (key, slice), see ``slices``. What is left to go through
-    key by key is one row per run, in order and in batches: fewer than ``threshold``
-    gaps fit into one window length, so runs follow the time span of a key, not the
-    number of its rows.
+    Rows are windowed by (key, slice), see ``slices``; runs are gone through within each
+    slice. From slice to slice only the number of rows until the key may fire again
+    matters, see ``_entered``: what meets per key is one row per slice.
     """
     rows = df.select(
         key.alias("group_key"),
         F.unix_micros(F.col(ts).cast("timestamp")).alias("us"),
         F.col(tie).alias("id"),
-    )
+    ).filter(F.col("us").isNotNull())
     if threshold == 1:
-        # Each row fires at once: nothing to window, nothing to shuffle.
-        return _fires(rows.select("*", F.array("us").alias("evidence_us"), F.lit(1).alias("copy")), 1, copies)
+        # Each row fires at once: nothing to window, and nothing to shuffle unless alike rows are to be numbered.
+        copy = F.lit(1)
+        if copies:
+            rows = rows.groupBy("group_key", "us", "id").agg(F.count(F.lit(1)).cast("int").alias("rows"))
+            copy = F.explode(F.sequence(F.lit(1), F.col("rows")))
+        return _fires(rows.select("*", F.array("us").alias("evidence_us"), copy.alias("copy")), 1, copies)
 
     window_us = window_seconds * MICROS
     slice_us = window_us * LOOKBACKS_PER_SLICE
@@ -226,34 +263,26 @@ def fire_and_reset(
         "rows",
         "before",
     )
-    runs = (
+    slices = (
         candidates.groupBy("group_key", "_slice", "run")
         .agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-        .join(offsets, ["group_key", "_slice"])
-        .select(
-            "group_key",
-            "_slice",
-            "run",
-            "before",
-            (F.col("lo") + F.col("before")).alias("lo"),
-            (F.col("hi") + F.col("before")).alias("hi"),
-        )
+        .groupBy("group_key", "_slice")
+        .agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "run"))).alias("runs"))
     )
-    first_fires = (
-        runs.repartition("group_key")
-        .sortWithinPartitions("group_key", "lo")
-        .mapInPandas(
-            lambda batches: _first_fires(batches, threshold),
-            "group_key string, _slice bigint, run bigint, before bigint, lo bigint, hi bigint, "
-            "first bigint",
-        )
-        .filter("first >= 0")
-    )
-    # One row per slice, so that the candidates keep their partitioning in the join.
-    starts = first_fires.groupBy("group_key", "_slice").agg(
-        F.map_from_entries(
-            F.collect_list(F.struct("run", F.col("first") - F.col("before")))
-        ).alias("first_of_run")
+    # Where each run fires first, if at all; one row per slice, as the candidates are partitioned.
+    first = "greatest(run.lo, acc.free)"
+    starts = _entered(slices, offsets, threshold).select(
+        "group_key",
+        "_slice",
+        F.expr(
+            f"""map_from_entries(aggregate(runs,
+              named_struct('free', free, 'firsts', cast(array() as array<struct<run: bigint, first: bigint>>)),
+              (acc, run) -> if({first} <= run.hi,
+                named_struct('free', {first} + ((run.hi - {first}) div {threshold}) * {threshold} + {threshold},
+                  'firsts', concat(acc.firsts, array(named_struct('run', run.run, 'first', {first})))),
+                acc),
+              acc -> acc.firsts))"""
+        ).alias("first_of_run"),
     )
     fired = (
         candidates.join(starts, ["group_key", "_slice"])
@@ -290,6 +319,7 @@ def with_rule_facts(fires: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         "group_key",
         "fired_at",
         "fired_id",
+        "fired_copy",
         "matched",
         "evidence",
     )
@@ -299,7 +329,7 @@ def rule_matches(events: DataFrame, rules: Sequence[Rule] = BUILT_IN_RULES) -> D
     """All firings of all enabled rules.
 
     Each rule scans with its own pushed-down predicate and only the columns it
-    needs; rules of threshold 1 do not shuffle.
+    needs. ``fired_copy`` tells firings of alike rows (key, time, id) apart.
     """
     active = check_rules(rules)
     if not active:
@@ -307,7 +337,7 @@ def rule_matches(events: DataFrame, rules: Sequence[Rule] = BUILT_IN_RULES) -> D
     branches = []
     for rule in active:
         relevant = events.filter(F.expr(rule.predicate))
-        fires = fire_and_reset(relevant, F.expr(rule.key), rule.window_seconds, rule.threshold)
+        fires = fire_and_reset(relevant, F.expr(rule.key), rule.window_seconds, rule.threshold, copies=True)
         branches.append(fires.select(F.lit(rule.rule_id).alias("rule_id"), "*"))
     return with_rule_facts(reduce(DataFrame.unionByName, branches), active)
 
@@ -323,7 +353,7 @@ def matches_to_alerts(matches: DataFrame) -> DataFrame:
         "response",
     )
     return matches.select(
-        F.xxhash64("rule_id", "group_key", "fired_at", "fired_id").alias("alert_id"),
+        F.xxhash64("rule_id", "group_key", "fired_at", "fired_id", "fired_copy").alias("alert_id"),
         F.transform("evidence", iso_text).alias("event_cluster"),
         "severity",
         narrative.alias("narrative"),

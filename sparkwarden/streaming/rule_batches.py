@@ -22,7 +22,7 @@ from ..operators.rules import (
     Rule,
     check_rules,
     fire_and_reset,
-    match_rules,
+    rule_hits,
     with_rule_facts,
 )
 from ..operators.slices import MICROS
@@ -80,16 +80,15 @@ def run_rule_stream(
             kept = spark.read.schema(_ROWS).parquet(f"{path}/rows/batch={batch_id - 1}")
             clock = spark.read.schema(_CLOCK).parquet(f"{path}/clock/batch={batch_id - 1}")
             before_us = clock.first()["watermark_us"]
-        batch = batch.persist()
+        # What the passes over the batch need is narrow: which rules an event counts for, and its time.
+        batch = batch.select("us", "timestamp", "event_id", rule_hits(active).alias("hits")).persist()
         try:
             late = F.lit(False) if before_us is None else F.col("us") <= before_us
             seen = batch.agg(F.max("us").alias("newest"), F.count_if(late).alias("late")).first()
             reached = [before_us, None if seen.newest is None else seen.newest - delay_seconds * MICROS]
             reached = [us for us in reached if us is not None]
             watermark_us = max(reached) if reached else -(2**62)
-            rows = match_rules(batch.filter(~late), active).select(
-                "rule_id", "group_key", "timestamp", "event_id"
-            )
+            rows = batch.filter(~late).select(F.inline("hits"), "timestamp", "event_id")
             rows = rows if kept is None else rows.unionByName(kept)
             passed = F.unix_micros("timestamp") <= watermark_us
             fired = []

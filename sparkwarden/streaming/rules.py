@@ -20,7 +20,7 @@ from ..operators.rules import (
 from ..operators.slices import MICROS
 
 _FIRES = (
-    "rule_id string, group_key string, fired_us bigint, fired_id bigint, evidence_us array<bigint>"
+    "rule_id string, group_key string, fired_us bigint, fired_id bigint, fired_copy int, evidence_us array<bigint>"
 )
 # Rows the watermark has not passed yet, and the open window's times.
 _STATE = "pending_us array<bigint>, pending_id array<bigint>, open_us array<bigint>"
@@ -28,14 +28,16 @@ _STATE = "pending_us array<bigint>, pending_id array<bigint>, open_us array<bigi
 
 def _fold(
     rows: list[tuple[int, int]], open_us: list[int], window_us: int, threshold: int
-) -> tuple[list[tuple[int, int, list[int]]], list[int]]:
+) -> tuple[list[tuple[int, int, int, list[int]]], list[int]]:
     """Fires among rows in order, and the window left open."""
-    fires = []
+    fires, last, copy = [], None, 0
     for us, row_id in rows:
+        # Rows of one time pass the watermark together, so copies are numbered here.
+        last, copy = (us, row_id), copy + 1 if last == (us, row_id) else 1
         open_us.append(us)
         open_us = [t for t in open_us if t >= us - window_us]
         if len(open_us) >= threshold:
-            fires.append((us, row_id, open_us[:EVIDENCE]))
+            fires.append((us, row_id, copy, open_us[:EVIDENCE]))
             open_us = []
     return fires, open_us
 
@@ -51,7 +53,9 @@ def stream_rule_matches(
     is the rows younger than the watermark and fewer than ``threshold`` times; an
     idle key is dropped one window after its last row. Rows later than ``delay``
     are not counted. Rules of threshold 1 need no state: they read the source a
-    second time instead of sending their rows through it.
+    second time instead of sending their rows through it. Without state they cannot
+    number alike rows (key, time, id): those of one such rule all have ``fired_copy`` 1,
+    where ``rule_batches`` numbers them.
     """
     active = check_rules(rules)
     limits = {r.rule_id: (r.window_seconds * MICROS, r.threshold) for r in active}
@@ -90,7 +94,8 @@ def stream_rule_matches(
                     "group_key": group_key,
                     "fired_us": [f[0] for f in fires],
                     "fired_id": [f[1] for f in fires],
-                    "evidence_us": [f[2] for f in fires],
+                    "fired_copy": [f[2] for f in fires],
+                    "evidence_us": [f[3] for f in fires],
                 }
             )
 
@@ -122,6 +127,7 @@ def stream_rule_matches(
                 "group_key",
                 F.col("us").alias("fired_us"),
                 F.col("id").alias("fired_id"),
+                F.lit(1).alias("fired_copy"),
                 F.array("us").alias("evidence_us"),
             )
         )
@@ -134,6 +140,7 @@ def stream_rule_matches(
             "group_key",
             F.timestamp_micros("fired_us").alias("fired_at"),
             "fired_id",
+            "fired_copy",
             F.element_at(limit_of, F.col("rule_id")).alias("matched"),
             F.transform("evidence_us", F.timestamp_micros).alias("evidence"),
         ),

@@ -4,7 +4,6 @@ import random
 from collections import defaultdict
 from datetime import datetime, timedelta
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,18 +98,39 @@ def test_same_instant_in_one_key(spark):
     assert [r[2] for r in fired(spark, rows, 300, 10)] == list(range(9, 95, 10))
 
 
-@pytest.mark.parametrize("size", [1, 2, 6])
-def test_first_fires_across_batches(size):
-    runs = pd.DataFrame(
-        {
-            "group_key": ["a", "a", "a", "b", "b", "b"],
-            "lo": [1, 6, 20, 1, 4, 6],
-            "hi": [4, 9, 21, 2, 4, 6],
-        }
-    )
-    batches = (runs.iloc[i : i + size] for i in range(0, len(runs), size))
-    out = pd.concat(rules._first_fires(batches, 4))
-    assert out["first"].tolist() == [1, 6, 20, 1, -1, 6]
+@pytest.mark.parametrize("block", [1, 2, 512])
+def test_chains_over_many_slices(spark, block, monkeypatch):
+    """A key that never pauses: what a slice leaves for the next one goes through blocks of a chain."""
+    monkeypatch.setattr(rules, "CHAIN_BLOCK", block)
+    rng, us, rows = random.Random(block), 1_700_000_000_000_000, []
+    for i in range(3000):
+        # Some 7 rows a window of 4 s; holes come and go, so runs and their places differ.
+        us += rng.choice([100_000, 600_000, 900_000, 1_300_000] if i % 50 else [2_000_000])
+        rows.append(("hot" if i % 10 else "other", us, i))
+    assert fired(spark, rows, 4, 6) == simulate(rows, 4_000_000, 6)
+
+
+def test_one_key_with_nine_rows_of_ten_stays_out_of_python(spark):
+    rows = [("hot" if i % 10 else f"k{i % 7}", 1_700_000_000_000_000 + 300_000 * i, i) for i in range(4000)]
+    assert fired(spark, rows, 5, 10) == simulate(rows, 5_000_000, 10)
+    df = spark.createDataFrame(rows, "key string, us bigint, event_id bigint").withColumn("timestamp", F.timestamp_micros("us"))
+    plan = rules.fire_and_reset(df, F.col("key"), 5, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "Python" not in plan and "InArrow" not in plan
+
+
+def test_rows_without_time_do_not_count(make_events):
+    sudo = {"event_type": "sudo_command", "metadata": {"username": "u"}}
+    events = make_events([{**sudo, "timestamp": None}, sudo])
+    assert rules.match_rules(events).count() == 1
+    assert [r.fired_id for r in rules.rule_matches(events).collect()] == [1]
+
+
+def test_alike_rows_have_alerts_of_their_own(make_events):
+    sudo = {"event_type": "sudo_command", "metadata": {"username": "u"}, "event_id": 5}
+    failed = {"source_ip": "1.1.1.1", "event_id": 6}
+    events = make_events([sudo] * 3 + [failed] * 20)
+    alerts = rules.matches_to_alerts(rules.rule_matches(events)).collect()
+    assert len(alerts) == 5 and len({a.alert_id for a in alerts}) == 5
 
 
 def by_rule(matches):
