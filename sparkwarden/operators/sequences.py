@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .slices import LOOKBACKS_PER_SLICE, MICROS, home_slice, slice_offsets, slice_window, with_slices
@@ -156,6 +156,55 @@ def distinct_in_window(
     )
 
 
+def bucket_totals(df: DataFrame, host: Column, amount: Column, bucket: str = "1 hour", ts: str = "timestamp") -> DataFrame:
+    """(host, bucket, total): the amounts of each host in each bucket of time."""
+    return (
+        df.groupBy(host.alias("host"), F.window(F.col(ts), bucket).alias("w"))
+        .agg(F.sum(amount).alias("total"))
+        .select("host", F.col("w.start").alias("bucket"), "total")
+    )
+
+
+def _moments(window: WindowSpec) -> Column:
+    """Count, mean and sum of squared deviations of the totals, as Spark updates them row by row."""
+    n = F.count("total").over(window)
+    return F.struct(
+        n.cast("double").alias("n"),
+        F.coalesce(F.avg("total").over(window), F.lit(0.0)).alias("mean"),
+        F.coalesce(F.var_pop("total").over(window) * n, F.lit(0.0)).alias("m2"),
+    )
+
+
+def deviating_buckets(totals: DataFrame, n_std: float = 3.0, history: int = 720, min_samples: int = 30) -> DataFrame:
+    """Of (host, bucket, total) the buckets more than ``n_std`` deviations above the host's past.
+
+    The past are the ``history`` buckets before. A host's buckets are cut into blocks of
+    that many; a past is then the end of one block and the begin of the next. Moments of
+    all begins and all ends of a block are running values, and two of them are merged
+    (count, mean, squared deviations), so the work is linear in the buckets and nothing
+    is ever subtracted: large totals lose no precision.
+    """
+    by_host = Window.partitionBy("host").orderBy("bucket")
+    numbered = totals.withColumn("_n", F.row_number().over(by_host) - 1).withColumn("_block", F.floor(F.col("_n") / history))
+    block = Window.partitionBy("host", "_block")
+    begins = _moments(block.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    ends = _moments(block.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    halves = numbered.withColumn("_end", ends).withColumn("_a", begins).withColumn("_b", F.lag("_end", history).over(by_host))
+    none = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    halves = halves.withColumn("_b", F.coalesce("_b", none))
+    n = F.col("_a.n") + F.col("_b.n")
+    delta = F.col("_b.mean") - F.col("_a.mean")
+    mean = F.col("_a.mean") + delta * F.col("_b.n") / n
+    m2 = F.col("_a.m2") + F.col("_b.m2") + delta * delta * F.col("_a.n") * F.col("_b.n") / n
+    return (
+        halves.withColumn("samples", n.cast("bigint"))
+        .filter((F.col("samples") >= min_samples) & (F.col("samples") > 0))
+        .withColumns({"mean": mean, "std": F.sqrt(m2 / n)})
+        .filter(F.col("total") > F.col("mean") + n_std * F.col("std"))
+        .select("host", "bucket", "total", "samples", "mean", "std")
+    )
+
+
 def deviation_from_baseline(
     df: DataFrame,
     host: Column,
@@ -170,20 +219,6 @@ def deviation_from_baseline(
 
     The baseline is the mean and population deviation of up to ``history`` earlier
     buckets of the host, once there are ``min_samples`` of them. Events are summed
-    before the window, whose partitions hold one row per bucket.
+    before the windows, whose partitions hold one row per bucket.
     """
-    totals = (
-        df.groupBy(host.alias("host"), F.window(F.col(ts), bucket).alias("w"))
-        .agg(F.sum(amount).alias("total"))
-        .select("host", F.col("w.start").alias("bucket"), "total")
-    )
-    past = Window.partitionBy("host").orderBy("bucket").rowsBetween(-history, -1)
-    return (
-        totals.withColumn("samples", F.count("total").over(past))
-        .withColumn("mean", F.avg("total").over(past))
-        .withColumn("std", F.stddev_pop("total").over(past))
-        .filter(
-            (F.col("samples") >= min_samples)
-            & (F.col("total") > F.col("mean") + n_std * F.col("std"))
-        )
-    )
+    return deviating_buckets(bucket_totals(df, host, amount, bucket, ts), n_std, history, min_samples)

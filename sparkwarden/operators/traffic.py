@@ -24,52 +24,48 @@ MIN_SNAPSHOTS = 30
 Z_LIMIT = 3.0
 
 
-def traffic_snapshots(
-    events: DataFrame, width_seconds: int = 3600, by: Column | None = None, approx: bool = False
-) -> DataFrame:
+def traffic_snapshots(events: DataFrame, width_seconds: int = 3600, by: Column | None = None) -> DataFrame:
     """One row per time window (and host): rates, distinct targets, protocol shares.
 
-    The exact distinct counts first reduce events to one row per window, target
-    address and port, so a busy window is not collected in one task. ``approx``
-    uses sketches, as a stream must.
+    Exact on a table and on a watermarked stream, in two steps that both can do: events
+    become one row per window and target (an address or a port), partly aggregated before
+    the shuffle, and the targets are counted and summed by window. So a busy window is
+    not collected in one task, and no sketch is needed.
     """
     keys = ["window_start"] + (["host"] if by is not None else [])
     width = f"{int(width_seconds)} seconds"
     protocol = metadata_get("protocol", None)
-    network = events.filter(F.col("source") == "network").select(
+
+    def target(kind: str) -> Column:
+        once = F.lit(int(kind == "dest_ip"))
+        return F.struct(F.lit(kind).alias("kind"), F.col(kind).cast("string").alias("value"), once.alias("once"))
+
+    # The time takes part in the test: a stream's watermark then sees all events.
+    network = events.filter(F.when(F.col("timestamp").isNotNull(), F.col("source") == "network")).select(
         F.window("timestamp", width).alias("w"),
         *([by.alias("host")] if by is not None else []),
-        "dest_ip",
-        "dest_port",
+        F.inline(F.array(target("dest_ip"), target("dest_port"))),
         F.coalesce(metadata_get("bytes", None).try_cast("double"), F.lit(0.0)).alias("bytes"),
-        (protocol == "tcp").cast("int").alias("tcp"),
-        (protocol == "udp").cast("int").alias("udp"),
+        F.coalesce(protocol == "tcp", F.lit(False)).cast("int").alias("tcp"),
+        F.coalesce(protocol == "udp", F.lit(False)).cast("int").alias("udp"),
     )
     groups = ["w"] + (["host"] if by is not None else [])
-    if approx:
-        totals = network.groupBy(*groups).agg(
-            F.count(F.lit(1)).alias("packets"),
-            F.sum("bytes").alias("bytes"),
-            F.coalesce(F.sum("tcp"), F.lit(0)).alias("tcp"),
-            F.coalesce(F.sum("udp"), F.lit(0)).alias("udp"),
-            F.approx_count_distinct("dest_ip").alias("unique_dest_ips"),
-            F.approx_count_distinct("dest_port").alias("unique_dest_ports"),
-        )
-    else:
-        targets = network.groupBy(*groups, "dest_ip", "dest_port").agg(
-            F.count(F.lit(1)).alias("packets"),
-            F.sum("bytes").alias("bytes"),
-            F.sum("tcp").alias("tcp"),
-            F.sum("udp").alias("udp"),
-        )
-        totals = targets.groupBy(*groups).agg(
-            F.sum("packets").alias("packets"),
-            F.sum("bytes").alias("bytes"),
-            F.coalesce(F.sum("tcp"), F.lit(0)).alias("tcp"),
-            F.coalesce(F.sum("udp"), F.lit(0)).alias("udp"),
-            F.count_distinct("dest_ip").alias("unique_dest_ips"),
-            F.count_distinct("dest_port").alias("unique_dest_ports"),
-        )
+    # Each event counts through its address only; its port is there to be told apart.
+    targets = network.groupBy(*groups, "kind", "value").agg(
+        F.sum("once").alias("packets"),
+        F.sum(F.col("once") * F.col("bytes")).alias("bytes"),
+        F.sum(F.col("once") * F.col("tcp")).alias("tcp"),
+        F.sum(F.col("once") * F.col("udp")).alias("udp"),
+    )
+    known = F.col("value").isNotNull()
+    totals = targets.groupBy(*groups).agg(
+        F.sum("packets").alias("packets"),
+        F.sum("bytes").alias("bytes"),
+        F.sum("tcp").alias("tcp"),
+        F.sum("udp").alias("udp"),
+        F.count_if((F.col("kind") == "dest_ip") & known).alias("unique_dest_ips"),
+        F.count_if((F.col("kind") == "dest_port") & known).alias("unique_dest_ports"),
+    )
     seconds = float(width_seconds)
     return totals.withColumn("window_start", F.col("w.start")).select(
         *keys,

@@ -16,9 +16,10 @@ from ..operators import sequences, stats, traffic
 from ..schemas import EVENT_COLUMNS
 from ..session import shared_dir
 from ..sources import logs, tables
-from ..streaming import jobs
+from ..streaming import jobs, sliding
 from ..streaming.rule_batches import read_rule_stream, run_rule_stream
 from ..streaming.rules import stream_rule_matches
+from ..streaming.sequences import stream_followed_by
 from . import detect as plan
 from . import fixtures as fx
 
@@ -28,6 +29,7 @@ QUERIES: dict[str, Query] = {}
 PAGE_COLUMNS = ("event_id", "timestamp", "source", "event_type", "severity", "source_ip")
 BURST_RULES = {r.rule_id: r for r in rules.BUILT_IN_RULES}
 BASELINE_END = datetime(2024, 1, 25)
+EXFIL_HOST = "concat('host', cast(pmod(event_id, 3) as string))"
 
 
 def query(fn: Query) -> Query:
@@ -485,6 +487,29 @@ def sudo_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain_times(found.select("event_id", "timestamp", "first_at"))
 
 
+def _sudo_lines(events: DataFrame) -> DataFrame:
+    """Events of the log lines, failed sudo passwords included."""
+    parsed = normalise.parse_auth(fx.sudo_lines(events), fx.AS_OF, sudo_failures=True)
+    return parsed.filter(F.col("reject_reason").isNull()).select(*EVENT_COLUMNS)
+
+
+SUDO_FAILED = "event_type = 'sudo_failed'"
+SUDO_COMMAND = "event_type = 'sudo_command'"
+
+
+@query
+def sudo_failure_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sudo commands of a user within three minutes after a failed sudo password of the user."""
+    found = sequences.followed_by(
+        _sudo_lines(fx.sec_events(spark, sf_dir)),
+        F.expr(SUDO_FAILED),
+        F.expr(SUDO_COMMAND),
+        normalise.metadata_get("username"),
+        columns=["event_id", "timestamp"],
+    )
+    return plain_times(found.select("event_id", "timestamp", "first_at"))
+
+
 @query
 def port_scan_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sequences.distinct_in_window(
@@ -502,7 +527,7 @@ def exfil_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
     network = fx.sec_events(spark, sf_dir).filter("source = 'network'")
     found = sequences.deviation_from_baseline(
         network,
-        F.expr("concat('host', cast(pmod(event_id, 3) as string))"),
+        F.expr(EXFIL_HOST),
         normalise.metadata_get("bytes", None).cast("double"),
         n_std=2.0,
     )
@@ -801,7 +826,52 @@ def stream_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, work = _replayed(spark, sf_dir, burst=False)
     closed = _run(jobs.stream_snapshots(events), work)
     floats = ["packets_per_second", "bytes_per_second", "tcp_ratio", "udp_ratio"]
-    return plain_times(_rounded(closed, *floats).select("window_start", *floats))
+    return plain_times(_rounded(closed, *floats))
+
+
+@query
+def stream_sudo_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``sudo_failure_sequence`` as a join of two streams of log lines."""
+    events, work = _replayed(spark, sf_dir, burst=False)
+    found = stream_followed_by(
+        _sudo_lines(events).unionByName(events.filter("source_ip = 'clock'").select(*EVENT_COLUMNS)),
+        F.expr(SUDO_FAILED),
+        F.expr(SUDO_COMMAND),
+        normalise.metadata_get("username"),
+        columns=["event_id", "timestamp"],
+    )
+    return plain_times(_run(found, work).select("event_id", "timestamp", "first_at"))
+
+
+@query
+def stream_port_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``port_scan_distinct`` on the stream."""
+    events, work = _replayed(spark, sf_dir, burst=True)
+    sliding.run_distinct_stream(
+        events.filter("source = 'network'"),
+        f"{work}/out",
+        f"{work}/checkpoint",
+        F.col("source_ip"),
+        F.col("dest_port"),
+        threshold=25,
+    ).awaitTermination()
+    return plain_times(sliding.read_sliding_stream(spark, f"{work}/out", sliding.DISTINCT))
+
+
+@query
+def stream_exfil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``exfil_deviation`` on the stream."""
+    events, work = _replayed(spark, sf_dir, burst=False)
+    sliding.run_deviation_stream(
+        events.filter(F.when(F.col("timestamp").isNotNull(), F.col("source") == "network")),
+        f"{work}/out",
+        f"{work}/checkpoint",
+        F.expr(EXFIL_HOST),
+        normalise.metadata_get("bytes", None).cast("double"),
+        n_std=2.0,
+    ).awaitTermination()
+    found = sliding.read_sliding_stream(spark, f"{work}/out", sliding.DEVIATION)
+    return plain_times(found.select("host", "bucket", *[F.round(c, 3).alias(c) for c in ("total", "mean", "std")], "samples"))
 
 
 @query

@@ -18,6 +18,7 @@ from ..operators.normalise import event_violations, parse_auth, parse_syslog, sp
 from ..operators.rules import BUILT_IN_RULES, Rule, matches_to_alerts, rule_matches
 from ..operators.traffic import analyze_traffic
 from ..schemas import EVENT_COLUMNS
+from ..session import query_id
 from ..sources.logs import route_sources
 
 PARSERS = {"auth": parse_auth, "syslog": parse_syslog}
@@ -93,14 +94,17 @@ def store_log_streams(
 ) -> list[StreamingQuery]:
     """Continuous intake: the lines of each source (``stream_logs``) parsed, checked and stored as they arrive.
 
-    One query per source. A micro-batch has a folder of its own, so a repeated batch
-    replaces what it had written. ``stored_logs`` reads the table of all sources.
+    One query per source. A micro-batch has a folder of its own, named by its number and
+    by its query, whose id stays with the checkpoint: a repeated batch replaces what it
+    had written, and an intake with another checkpoint into the same table replaces
+    nothing. ``stored_logs`` reads the table of all sources.
     """
 
     def start(source: str, stream: DataFrame) -> StreamingQuery:
         def step(batch: DataFrame, batch_id: int) -> None:
             checked = checked_logs({source: batch}, reference_ts, rollover, parsers)
-            _store(checked, f"{path}/origin={source}/batch={batch_id}", "overwrite")
+            run = query_id(batch.sparkSession, f"{checkpoint}/{source}")
+            _store(checked, f"{path}/origin={source}/run={run}/batch={batch_id}", "overwrite")
 
         writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{checkpoint}/{source}")
         return (writer.trigger(availableNow=True) if once else writer).start()

@@ -165,6 +165,17 @@ def sec_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sec_events(spark, sf_dir).select("event_id", F.col("raw_message").alias("value"))
 
 
+def sudo_lines(events: DataFrame) -> DataFrame:
+    """The log lines of events; those of CRON jobs with an odd id are failed sudo passwords instead. Batch or stream."""
+    failed = F.concat(
+        F.date_format("timestamp", "MMM d HH:mm:ss"),
+        F.lit(" host1 sudo[77]: pam_unix(sudo:auth): authentication failure; logname= uid=0 user="),
+        F.element_at("metadata", "username"),
+    )
+    planted = (F.col("event_type") == "syslog_CRON") & (F.col("event_id") % 2 == 1)
+    return events.select("event_id", F.when(planted, failed).otherwise(F.col("raw_message")).alias("value"))
+
+
 def sec_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = F.expr("cast((event_id * 37) % 101 as double) / 100")
     return sec_events(spark, sf_dir).withColumn("anomaly_score", score)

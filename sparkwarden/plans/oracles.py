@@ -527,6 +527,14 @@ def oracle_statements() -> dict[str, str]:
             "where event_type in ('ssh_failed', 'sudo_command')) where event_type = 'sudo_command' "
             "and timestamp - first_at <= interval 3 seconds"
         ),
+        "sudo_failure_sequence": _with(
+            "select event_id, happened as timestamp, first_at from (select *, last_value(case when failed "
+            "then happened end ignore nulls) over (partition by username order by happened, event_id rows between "
+            "unbounded preceding and 1 preceding) as first_at from (select event_id, username, "
+            "date_trunc('second', timestamp) as happened, event_type = 'syslog_CRON' as failed from sec_events "
+            "where event_type = 'sudo_command' or (event_type = 'syslog_CRON' and event_id % 2 = 1))) "
+            "where not failed and happened - first_at <= interval 180 seconds"
+        ),
         "port_scan_distinct": _with(
             "select group_key, timestamp, event_id, distinct_items from (select source_ip "
             "as group_key, timestamp, event_id, count(distinct dest_port) over "
@@ -671,10 +679,7 @@ def oracle_statements() -> dict[str, str]:
             f"select {PAGE} from sec_events order by timestamp desc, event_id desc limit 200"
         ),
         "stream_traffic": _with(
-            "select window_start, round(packets_per_second, 6) as packets_per_second, "
-            "round(bytes_per_second, 6) as bytes_per_second, round(tcp_ratio, 6) as tcp_ratio, "
-            "round(udp_ratio, 6) as udp_ratio from snapshots",
-            _SNAPSHOTS,
+            f"select window_start, {_SNAPSHOT_COLUMNS} from snapshots", _SNAPSHOTS
         ),
         "stored_events": _with(
             "select cast(timestamp as date) as event_date, source, count(*) as count "
@@ -684,4 +689,8 @@ def oracle_statements() -> dict[str, str]:
     }
     # The stream stores what the batch job stores.
     statements["ingest_stream"] = statements["ingest_logs"]
+    # And finds what the batch operators find.
+    statements["stream_sudo_sequence"] = statements["sudo_failure_sequence"]
+    statements["stream_port_scan"] = statements["port_scan_distinct"]
+    statements["stream_exfil"] = statements["exfil_deviation"]
     return statements

@@ -23,3 +23,14 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         root = tempfile.mkdtemp(prefix="sparkwarden-")
         sc.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the streaming query that owns a checkpoint; it stays when the query is started again."""
+    return spark.read.json(f"{checkpoint}/metadata").first()["id"]
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there, in whatever store Spark finds it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -17,7 +17,7 @@ from ..operators.rules import BUILT_IN_RULES, Rule, matches_to_alerts
 from ..operators.topk import newest
 from ..operators.traffic import analyze_traffic, traffic_snapshots
 from ..plans.detect import row_alerts
-from ..schemas import ALERT_SCHEMA, EVENT_COLUMNS
+from ..schemas import ALERT_SCHEMA, EVENT_COLUMNS, EVENT_SCHEMA
 from .rule_batches import read_rule_stream, run_rule_stream
 
 
@@ -51,10 +51,8 @@ def stream_snapshots(
     by: Column | None = None,
     delay: str = "10 minutes",
 ) -> DataFrame:
-    """Traffic snapshots of closed windows; distinct counts are sketches."""
-    return traffic_snapshots(
-        events.withWatermark("timestamp", delay), width_seconds, by, approx=True
-    )
+    """Traffic snapshots of closed windows, as exact as those of a table."""
+    return traffic_snapshots(events.withWatermark("timestamp", delay), width_seconds, by)
 
 
 def detect_stream(
@@ -131,8 +129,13 @@ def stream_live_feed(
 
 
 def read_live_feed(spark: SparkSession, path: str) -> DataFrame:
-    """The feed as of the last finished micro-batch."""
-    last = spark.read.parquet(f"{path}/done").agg(F.max("batch")).first()[0]
+    """The feed as of the last finished micro-batch; before the first one an empty feed."""
+    try:
+        last = spark.read.parquet(f"{path}/done").agg(F.max("batch")).first()[0]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], EVENT_SCHEMA).select(*EVENT_COLUMNS)
     return spark.read.parquet(f"{path}/feed/batch={last}")
 
 

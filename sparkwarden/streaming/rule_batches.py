@@ -26,6 +26,7 @@ from ..operators.rules import (
     with_rule_facts,
 )
 from ..operators.slices import MICROS
+from ..session import drop_folder
 
 _ROWS = "rule_id string, group_key string, timestamp timestamp, event_id bigint"
 _FIRES = (
@@ -116,6 +117,9 @@ def run_rule_stream(
             spark.createDataFrame([(watermark_us, seen.late)], _CLOCK).write.mode(
                 "overwrite"
             ).parquet(f"{path}/clock/batch={batch_id}")
+            # This batch may be repeated and reads the one before; older rows are done with.
+            if batch_id > 1:
+                drop_folder(spark, f"{path}/rows/batch={batch_id - 2}")
         finally:
             batch.unpersist()
 

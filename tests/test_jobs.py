@@ -1,14 +1,15 @@
 from __future__ import annotations
 
 import os
+import random
 import time
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from sparkwarden.operators import narratives, rules, stats, traffic
-from sparkwarden.operators.normalise import parse_auth, split_parsed
+from sparkwarden.operators import narratives, rules, sequences, stats, traffic
+from sparkwarden.operators.normalise import metadata_get, parse_auth, split_parsed
 from sparkwarden.plans.detect import (
     detect,
     score_events,
@@ -20,8 +21,9 @@ from sparkwarden.plans.detect import (
 from sparkwarden.plans.fixtures import time_sentinel
 from sparkwarden.session import shared_dir
 from sparkwarden.sources import logs, tables
-from sparkwarden.streaming import jobs, rule_batches
+from sparkwarden.streaming import jobs, rule_batches, sliding
 from sparkwarden.streaming.rules import stream_rule_matches
+from sparkwarden.streaming.sequences import stream_followed_by
 
 START = datetime(2026, 4, 9, 12)
 
@@ -383,3 +385,100 @@ def test_continuous_intake_equals_batch(spark, tmp_path):
     batch = tmp_path / "batch"
     store_logs({"auth": logs.read_logs(spark, str(folder))}, str(batch), datetime(2026, 5, 1))
     assert sorted(r.event_id for r in stored_logs(spark, str(batch))[0].collect()) == sorted(r.event_id for r in events.collect())
+
+
+def test_new_checkpoint_replaces_no_stored_event(spark, tmp_path):
+    line = "Apr  9 08:15:30 box sshd[7]: Failed password for a from 192.0.2.{} port 5"
+    table = str(tmp_path / "table")
+    for k, count in enumerate((3, 2)):
+        folder = tmp_path / f"auth{k}"
+        folder.mkdir()
+        (folder / "log").write_text("\n".join(line.format(10 * k + i) for i in range(count)))
+        streams = {"auth": logs.stream_logs(spark, str(folder))}
+        for _ in range(2):
+            for intake in store_log_streams(streams, table, str(tmp_path / f"check{k}"), datetime(2026, 5, 1)):
+                intake.awaitTermination()
+    assert stored_logs(spark, table)[0].count() == 5
+
+
+def test_feed_before_the_first_batch(spark, tmp_path):
+    assert jobs.read_live_feed(spark, str(tmp_path / "feed")).count() == 0
+
+
+def waves(make_events, rows, spark, tmp_path):
+    """Rows stored in several files, as their waves arrive, with a last one that moves the watermark on."""
+    path = str(tmp_path / "in")
+    for wave in rows:
+        make_events(wave).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    return stream(spark, path, make_events([{}]).schema)
+
+
+def end():
+    return [{"event_id": -1, "timestamp": START + timedelta(days=3), "event_type": "clock", "source_ip": "clock"}]
+
+
+def test_sudo_sequence_on_a_stream(spark, make_events, tmp_path):
+    def event(i, seconds, kind, user="u"):
+        return {"event_id": i, "timestamp": START + timedelta(seconds=seconds), "event_type": kind, "metadata": {"username": user}}
+
+    first = [event(1, 0, "sudo_failed"), event(2, 100, "sudo_failed"), event(3, 100, "sudo_command"), event(4, 280, "sudo_command")]
+    first += [event(5, 281, "sudo_command"), event(6, 10, "sudo_command", "other"), event(7, 50, "sudo_failed", "other")]
+    # Out of order, but inside the delay; then one that is too late.
+    second = [event(8, 5000, "sudo_command"), event(9, 4900, "sudo_failed"), event(10, 4950, "sudo_failed")]
+    late = [event(11, 60, "sudo_command"), event(12, 9000, "sudo_failed"), event(13, 9000, "sudo_command"), event(14, 9180, "sudo_command")]
+    args = (F.col("event_type") == "sudo_failed", F.col("event_type") == "sudo_command", metadata_get("username"))
+    streamed = waves(make_events, [first, second, end()], spark, tmp_path)
+    out, _ = run(spark, stream_followed_by(streamed, *args, columns=["event_id", "timestamp"]), str(tmp_path))
+    want = sequences.followed_by(make_events(first + second), *args, columns=["event_id", "timestamp"])
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.select(*out.columns).collect()))
+    assert sorted(r.event_id for r in out.collect()) == [3, 4, 8]
+    (tmp_path / "again").mkdir()
+    # A row is late when the watermark of the micro-batch before had passed it.
+    tick = [event(15, 5001, "tick")]
+    streamed = waves(make_events, [first, second, tick, late, end()], spark, tmp_path / "again")
+    out, query = run(spark, stream_followed_by(streamed, *args), str(tmp_path / "again"))
+    assert sorted(r.event_id for r in out.collect()) == [3, 4, 8, 13, 14] and jobs.late_rows(query) >= 1
+
+
+def test_distinct_items_on_a_stream(spark, make_events, tmp_path):
+    rng = random.Random(3)
+    rows = [
+        {"event_id": i, "timestamp": START + timedelta(seconds=i + rng.randint(-40, 40)), "source": "network",
+         "source_ip": rng.choice("aaab"), "dest_port": rng.randint(1, 30)}
+        for i in range(400)
+    ]
+    key, item = F.col("source_ip"), F.col("dest_port")
+    streamed = waves(make_events, [rows[:150], rows[150:300], rows[300:], end()], spark, tmp_path)
+    out = str(tmp_path / "out")
+    sliding.run_distinct_stream(streamed, out, str(tmp_path / "check"), key, item, 30, 8, delay_seconds=100).awaitTermination()
+    got = sliding.read_sliding_stream(spark, out, sliding.DISTINCT)
+    want = sequences.distinct_in_window(make_events(rows), key, item, 30, 8)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+    assert got.count() > 50
+    # One window of rows is kept, and old folders are gone.
+    kept = sorted(p.name for p in (tmp_path / "out").glob("rows/run=*/*"))
+    assert kept == ["batch=2", "batch=3"]
+    assert spark.read.parquet(str(next((tmp_path / "out").glob("rows/run=*/batch=2")))).count() < 250
+    assert sliding.read_sliding_stream(spark, str(tmp_path / "none"), sliding.DISTINCT).count() == 0
+
+
+def test_deviation_on_a_stream(spark, make_events, tmp_path):
+    rng = random.Random(4)
+    rows = [
+        {"event_id": h, "timestamp": START + timedelta(minutes=60 * h + 7), "source_ip": f"h{h % 2}",
+         "metadata": {"bytes": str(1e9 + (5000 if h % 17 == 0 else rng.randint(0, 900)))}}
+        for h in range(160)
+    ]
+    host, amount = F.col("source_ip"), metadata_get("bytes", None).cast("double")
+    last = [{"event_id": -1, "timestamp": START + timedelta(days=30), "source_ip": "clock"}]
+    streamed = waves(make_events, [rows[:60], rows[60:100], rows[100:], last], spark, tmp_path)
+    out = str(tmp_path / "out")
+    sliding.run_deviation_stream(
+        streamed, out, str(tmp_path / "check"), host, amount, history=25, min_samples=10
+    ).awaitTermination()
+    got = sliding.read_sliding_stream(spark, out, sliding.DEVIATION)
+    want = sequences.deviation_from_baseline(make_events(rows), host, amount, history=25, min_samples=10)
+    rounded = [F.round(c, 3).alias(c) if c in ("mean", "std") else F.col(c) for c in got.columns]
+    assert sorted(map(tuple, got.select(*rounded).collect())) == sorted(map(tuple, want.select(*rounded).collect()))
+    assert got.count() >= 4

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import math
 import random
 from collections import defaultdict
 from datetime import datetime, timedelta
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -311,6 +313,28 @@ def test_deviation_from_own_past(make_events):
     ]
 
 
+@pytest.mark.parametrize(("history", "offset"), [(3, 0.0), (7, 1e12), (100, 1e9)])
+def test_deviation_equals_brute_force_and_keeps_precision(spark, history, offset):
+    """Every past worked out anew with exact fractions; large totals lose nothing."""
+    rng = random.Random(history)
+    rows = [(f"h{i % 2}", i, offset + rng.choice([1.0, 2.0, 4.5, 30.0])) for i in range(300)]
+    totals = spark.createDataFrame(rows, "host string, bucket int, total double")
+    got = {(r.host, r.bucket): r for r in sequences.deviating_buckets(totals, 1.5, history, 3).collect()}
+    want = {}
+    for h in ("h0", "h1"):
+        series = [(b, t) for host, b, t in rows if host == h]
+        for i, (b, t) in enumerate(series):
+            past = [Fraction(x) for _, x in series[max(0, i - history) : i]]
+            if len(past) >= 3:
+                mean = sum(past) / len(past)
+                std = math.sqrt(sum((x - mean) ** 2 for x in past) / len(past))
+                if float(Fraction(t) - mean) > 1.5 * std:
+                    want[h, b] = (len(past), float(mean), std)
+    assert got.keys() == want.keys() and len(want) > 10
+    for k, (n, mean, std) in want.items():
+        assert got[k].samples == n and math.isclose(got[k].mean, mean, rel_tol=1e-12) and math.isclose(got[k].std, std, rel_tol=1e-3)
+
+
 def test_no_window_over_a_whole_key(make_events):
     """Windows over events are cut by time slice; only per-slice rows meet per key."""
     events = make_events([{}])
