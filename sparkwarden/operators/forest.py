@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -36,17 +37,35 @@ class IsolationForest:
     offset: float
 
 
+# Random numbers are read from an MD5 of what they are for, so that any engine can draw them again.
+DIGITS = 13
+
+
+def _drawn(*parts: object) -> float:
+    """A number in [0, 1) for these parts."""
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:DIGITS], 16) / 16.0**DIGITS
+
+
+def _draw(*parts: Column) -> Column:
+    """``_drawn`` as a column."""
+    text = F.concat_ws(":", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, DIGITS), 16, 10).cast("bigint") / F.lit(16.0**DIGITS)
+
+
 def _grow(pdf: pd.DataFrame, n_features: int, sample_size: int, seed: int) -> pd.DataFrame:
-    """One tree from the rows of one tree, in an order that does not depend on Spark."""
+    """One tree from the rows of one tree, in an order that does not depend on Spark.
+
+    ``_sampled`` draws a few rows more than wanted: the tree takes those with the lowest draws.
+    """
     pdf = pdf.sort_values(["pick", "id"]).head(sample_size)
     tree = int(pdf["tree"].iloc[0])
     x = np.array(pdf["x"].tolist(), dtype=float).reshape(len(pdf), n_features)
-    rng = np.random.default_rng([seed, tree])
     limit = math.ceil(math.log2(max(len(x), 2)))
     nodes: list[list] = []
-    todo = [(np.arange(len(x)), 0, -1, 0)]
+    # A node's place: 1 for the root, 2p and 2p + 1 below the place p.
+    todo = [(np.arange(len(x)), 0, -1, 0, 1)]
     while todo:
-        rows, depth, parent, side = todo.pop()
+        rows, depth, parent, side, place = todo.pop()
         me = len(nodes)
         if parent >= 0:
             nodes[parent][4 + side] = me
@@ -55,15 +74,15 @@ def _grow(pdf: pd.DataFrame, n_features: int, sample_size: int, seed: int) -> pd
         usable = np.flatnonzero(high > low)
         if depth >= limit or len(rows) < 2 or not len(usable):
             continue
-        feature = int(rng.choice(usable))
-        split = rng.uniform(low[feature], high[feature])
+        feature = int(usable[int(_drawn(seed, "feature", tree, place) * len(usable))])
+        split = low[feature] + _drawn(seed, "split", tree, place) * (high[feature] - low[feature])
         left = x[rows, feature] < split
         if left.all() or not left.any():
             split = float(high[feature])
             left = x[rows, feature] < split
         nodes[me][2], nodes[me][3] = feature, float(split)
-        todo.append((rows[~left], depth + 1, me, 1))
-        todo.append((rows[left], depth + 1, me, 0))
+        todo.append((rows[~left], depth + 1, me, 1, 2 * place + 1))
+        todo.append((rows[left], depth + 1, me, 0, 2 * place))
     return pd.DataFrame(nodes, columns=[c.split()[0] for c in _NODES.split(", ")])
 
 
@@ -72,33 +91,31 @@ def _sampled(
 ) -> DataFrame:
     """About ``size`` rows (a few more) for each tree, chosen by hashes of the row id.
 
-    A large table is sampled with one hash per row, which names at most one tree.
-    A table too small to give every tree its own rows is hashed once per tree.
+    Each row takes part in each tree with the same chance, independently, at every size of
+    the table. Trees are not tried one by one: each draw says how many trees the row
+    leaves out before the next one it is in. In a large table nearly all rows
+    leave out all trees by their first draw, so a row costs one hash.
     """
     share = min(1.0, (size + 6.0 * math.sqrt(size)) / n)
-    span = float(2**63)
-
-    def uniform(*parts: Column) -> Column:
-        h = F.xxhash64(*parts, F.lit(seed))
-        return (h.bitwiseAND(F.lit(2**63 - 1))) / F.lit(span)
-
-    rows = df.select(row_id.alias("id"), vector.alias("x"))
-    if share * n_trees <= 1.0:
-        drawn = (
-            rows.withColumn("pick", uniform(F.col("id")))
-            .filter(F.col("pick") < share * n_trees)
-            .withColumn("tree", F.least(F.floor(F.col("pick") / share), F.lit(n_trees - 1)))
-            .withColumn("tree", F.col("tree").cast("int"))
-            # Inside a tree the order must be independent of the choice of the tree.
-            .withColumn("pick", uniform(F.col("id"), F.col("tree")))
-        )
-        return drawn
-    trees = F.filter(
-        F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: uniform(F.col("id"), t) < share
-    )
-    return rows.withColumn("tree", F.explode(trees)).withColumn(
-        "pick", uniform(F.col("id"), F.col("tree"))
+    rows = df.select(row_id.cast("string").alias("id"), vector.alias("x"))
+
+    def left_out(i: Column) -> Column:
+        if share >= 1.0:
+            return F.lit(0).cast("bigint")
+        u = _draw(F.lit(seed), F.lit("rows"), F.col("id"), i) + F.lit(16.0**-DIGITS)
+        return F.floor(F.log(u) / F.lit(math.log(1.0 - share)))
+
+    chosen = rows.withColumn("first", left_out(F.lit(0))).filter(F.col("first") < n_trees)
+    trees = F.aggregate(
+        F.sequence(F.lit(1), F.lit(n_trees)),
+        F.array("first"),
+        lambda trees, i: F.when(F.element_at(trees, -1) >= n_trees - 1, trees).otherwise(
+            F.concat(trees, F.array(F.element_at(trees, -1) + 1 + left_out(i)))
+        ),
     )
+    drawn = chosen.select("id", "x", F.explode(trees).alias("tree")).filter(F.col("tree") < n_trees)
+    drawn = drawn.withColumn("tree", F.col("tree").cast("int"))
+    return drawn.withColumn("pick", _draw(F.lit(seed), F.lit("order"), F.col("id"), F.col("tree")))
 
 
 def fit_isolation_forest(

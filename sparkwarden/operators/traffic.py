@@ -131,7 +131,8 @@ def zscore_flags(
 
 
 def fit_traffic_model(snapshots: DataFrame) -> IsolationForest | None:
-    row_id = F.xxhash64(*[c for c in ("window_start", "host") if c in snapshots.columns])
+    host = [F.col("host")] if "host" in snapshots.columns else []
+    row_id = F.concat_ws(":", F.unix_seconds("window_start").cast("string"), *host)
     return fit_isolation_forest(snapshots, TRAFFIC_FEATURES, row_id, MIN_SNAPSHOTS)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.alerts import dns_alerts, login_alerts, traffic_alerts
+from ..operators.alerts import LOGIN_THRESHOLD, dns_alerts, login_alerts, traffic_alerts
 from ..operators.dns import DnsForest, classify_dns, dns_queries
 from ..operators.forest import IsolationForest
 from ..operators.login import LOGIN_TYPES, score_logins
@@ -133,11 +133,12 @@ def row_alerts(
     events: DataFrame,
     login_model: IsolationForest | None = None,
     dns_model: DnsForest | None = None,
+    login_threshold: float = LOGIN_THRESHOLD,
 ) -> DataFrame:
     """Alerts that one event decides; works on a stream as well."""
     alerts = dns_alerts(classify_dns(dns_queries(events), dns_model))
     if login_model is not None:
-        alerts = login_alerts(score_logins(events, login_model)).unionByName(alerts)
+        alerts = login_alerts(score_logins(events, login_model), login_threshold).unionByName(alerts)
     return alerts
 
 
@@ -149,6 +150,7 @@ def detect(
     snapshots: DataFrame | None = None,
     baseline: DataFrame | None = None,
     traffic_model: IsolationForest | None = None,
+    login_threshold: float = LOGIN_THRESHOLD,
 ) -> DataFrame:
     """All alerts of a batch of events.
 
@@ -157,7 +159,7 @@ def detect(
     """
     branches = [
         matches_to_alerts(rule_matches(events, rules)),
-        row_alerts(events, login_model, dns_model),
+        row_alerts(events, login_model, dns_model, login_threshold),
     ]
     if snapshots is not None and baseline is not None:
         branches.append(traffic_alerts(analyze_traffic(snapshots, baseline, traffic_model)))

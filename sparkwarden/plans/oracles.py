@@ -209,14 +209,47 @@ _SNAPSHOT_COLUMNS = (
 _SNAPSHOTS = {"snapshots": _traffic(3600, "date_trunc('hour', timestamp)")}
 
 
+def _half_up(number: str, digits: int) -> str:
+    """The number as text, halves rounded up."""
+    return f"printf('%.{digits}f', floor({number} * {10**digits} + 0.5) / {10**digits})"
+
+
+_NARRATED = "if(len(flags) > 0, concat('Statistical outliers: ', array_to_string(flags, ', ')), 'Normal traffic pattern')"
+# Alert rows of each detector: severity, narrative, created_at.
+_TRAFFIC_ALERTS = (
+    f"select 'high' as severity, concat('Anomalous network traffic (score: ', "
+    f"{_half_up('least(1.0, len(flags) * 0.3)', 2)}, '): ', {_NARRATED}) as narrative, window_start as created_at "
+    "from flagged where len(flags) >= 2"
+)
+_DNS_ALERTS = (
+    "select case when label = 'tunneling_suspect' then 'high' else 'medium' end as severity, "
+    "concat('Suspicious DNS query: ', domain, ' classified as ', label, ' (confidence: ', "
+    f"{_half_up('confidence * 100', 0)}, '%). Subdomain entropy: ', {_half_up('entropy', 2)}, '.') as narrative, "
+    "timestamp as created_at from sec_events join dns_l using (domain) "
+    "where event_type = 'dns_query' and label <> 'normal'"
+)
+_LOGIN_ALERTS = (
+    "select 'high' as severity, concat('Anomalous login detected (score: ', "
+    f"{_half_up('score', 2)}, '). Source IP: ', coalesce(source_ip, 'None'), ', User: ', "
+    "coalesce(username, 'unknown'), '. This login deviates from established baseline patterns.') as narrative, "
+    "timestamp as created_at from logins join login_scores using (x) where score >= 0.52"
+)
+_RULE_ALERTS = (
+    "select severity, concat('Rule ''', name, ''' triggered: ', cast(matched as string), "
+    "' matching events from ', group_key, ' within ', cast(secs as string), "
+    f"'s window. Recommended action: ', response) as narrative, fired_at as created_at from ({_ALL_FIRES})"
+)
+
+
 def _flagged(limit: float, where: str = "") -> dict[str, str]:
     stats = ", ".join(
         f"avg({f}) as {f}_m, case when stddev_pop({f}) < 1e-12 then 1 else stddev_pop({f}) "
         f"end as {f}_s"
         for f in _FEATURES
     )
+    off = "abs(({0} - {0}_m) / {0}_s)"
     flags = ", ".join(
-        f"case when n >= 30 and abs(({f} - {f}_m) / {f}_s) > {limit} then '{f}' end"
+        f"case when n >= 30 and {off.format(f)} > {limit} then concat('{f} (', {_half_up(off.format(f), 1)}, 'σ)') end"
         for f in _FEATURES
     )
     return {
@@ -229,6 +262,108 @@ def _flagged(limit: float, where: str = "") -> dict[str, str]:
     }
 
 
+def _draw(*parts: str) -> str:
+    text = f"concat_ws(':', {', '.join(parts)})"
+    return f"('0x' || substr(md5({text}), 1, 13))::bigint / {16**13}::double"
+
+
+_SAMPLE = 256
+_PATH = (
+    "case when {0} > 2 then 2 * (ln({0} - 1.0) + 0.5772156649015329) - 2 * ({0} - 1.0) / {0} "
+    "when {0} = 2 then 1.0 else 0.0 end"
+)
+
+
+def _forest(p: str, features: int, train: str, rows: str) -> dict[str, str]:
+    """A forest grown and walked in SQL: ``train`` gives (id, x), ``rows`` the x to score.
+
+    A row's trees are the places its draws lead to; samples are split node by node; every
+    row then goes down every tree. ``{p}_scores`` has (x, score).
+    """
+    lows = ", ".join(f"min(x[{i + 1}]) over w" for i in range(features))
+    highs = ", ".join(f"max(x[{i + 1}]) over w" for i in range(features))
+    gap = f"case when share >= 1 then 0 else floor(ln({_draw('42', chr(39) + 'rows' + chr(39), 'id', '{0}')} + {16.0**-13!r}) / ln(1 - share))::bigint end"
+    split = (
+        f"select *, case when len(usable) > 0 and depth < ceil(log2(greatest(psi, 2))) and n > 1 then "
+        f"usable[1 + floor({_draw('42', chr(39) + 'feature' + chr(39), 'tree', 'node')} * len(usable))::int] end as f, "
+        f"{_draw('42', chr(39) + 'split' + chr(39), 'tree', 'node')} as u from (select *, "
+        f"list_filter(range(1, {features + 1}), lambda i: hi[i] > lo[i]) as usable from "
+        f"(select *, count(*) over w as n, [{lows}] as lo, [{highs}] as hi from {{0}} window w as (partition by tree, node)))"
+    )
+    cut = "case when lo[f] + u * (hi[f] - lo[f]) <= lo[f] or lo[f] + u * (hi[f] - lo[f]) > hi[f] then hi[f] else lo[f] + u * (hi[f] - lo[f]) end"
+    columns = f"tree, node, depth, x, psi, n, f, {cut} as split"
+    return {
+        f"{p}_train": train,
+        f"{p}_share": (
+            f"select least(1.0, (least({_SAMPLE}, count(*)) + 6 * sqrt(least({_SAMPLE}, count(*)))) / count(*)) as share, "
+            f"least({_SAMPLE}, count(*)) as size from {p}_train"
+        ),
+        f"{p}_draws": (
+            f"select id, x, 0 as i, {gap.format(0)} as tree from {p}_train, {p}_share union all "
+            f"select id, x, i + 1, tree + 1 + {gap.format('i + 1')} from {p}_draws, {p}_share where tree < 99"
+        ),
+        f"{p}_sample": (
+            f"select *, count(*) over (partition by tree) as psi from (select tree, 1::bigint as node, 0 as depth, x from {p}_draws, {p}_share "
+            f"where tree < 100 qualify row_number() over (partition by tree order by {_draw('42', chr(39) + 'order' + chr(39), 'id', 'tree')}, id) <= size)"
+        ),
+        f"{p}_grown": (
+            f"select {columns} from ({split.format(f'{p}_sample')}) union all select {columns} from ("
+            + split.format(
+                f"(select tree, node * 2 + (x[f] >= split)::int as node, depth + 1 as depth, x, psi from {p}_grown where f is not null)"
+            )
+            + ")"
+        ),
+        f"{p}_nodes": (
+            f"select distinct tree, node, f, split, (depth + {_PATH.format('n')}) / greatest({_PATH.format('psi')}, 1.0) as path from {p}_grown"
+        ),
+        f"{p}_rows": f"select distinct x from (select x from {p}_train union all {rows})",
+        f"{p}_walk": (
+            f"select x, tree, 1::bigint as node from {p}_rows, (select distinct tree from {p}_nodes) union all "
+            f"select w.x, w.tree, w.node * 2 + (w.x[n.f] >= n.split)::int from {p}_walk w join {p}_nodes n "
+            "on w.tree = n.tree and w.node = n.node where n.f is not null"
+        ),
+        f"{p}_raw": (
+            f"select w.x, pow(2, -avg(n.path)) as raw from {p}_walk w join {p}_nodes n on w.tree = n.tree and w.node = n.node "
+            "where n.f is null group by w.x"
+        ),
+        f"{p}_offset": f"select quantile_cont(round(raw, 6), 0.95) as q from {p}_train join {p}_raw using (x)",
+        f"{p}_scores": f"select x, least(greatest(0.5 - (q - raw), 0.0), 1.0) as score from {p}_raw, {p}_offset",
+    }
+
+
+_LOGINS = {
+    "logins": (
+        "select event_id, timestamp, source_ip, username, [hour(timestamp)::double, (isodow(timestamp) - 1)::double, "
+        "(isodow(timestamp) >= 6)::int::double, "
+        "(('0x' || substr(md5(coalesce(nullif(source_ip, ''), 'unknown')), 1, 8))::bigint % 1000)::double, "
+        "(event_type = 'ssh_success')::int::double, "
+        "(('0x' || substr(md5(coalesce(nullif(username, ''), 'unknown')), 1, 8))::bigint % 1000)::double] as x "
+        "from sec_events where source = 'auth' and event_type in ('ssh_failed', 'ssh_success', 'ssh_invalid_user')"
+    )
+}
+
+
+def _login_forest(until: str, view: str = "sec_events") -> dict[str, str]:
+    train = (
+        f"select event_id::varchar as id, x from logins where timestamp >= timestamp '{until}' - interval 30 days "
+        f"and timestamp < timestamp '{until}'"
+    )
+    logins = {"logins": _LOGINS["logins"].replace("sec_events", view)}
+    return {**logins, **_forest("login", 6, train, "select x from logins")}
+
+
+_TRAFFIC_X = f"[{', '.join(f'{f}::double' for f in _FEATURES)}] as x"
+_TRAFFIC_FOREST = {
+    **_flagged(3.0),
+    **_forest(
+        "traffic",
+        6,
+        f"select epoch(window_start)::bigint::varchar as id, {_TRAFFIC_X} from snapshots where window_start < timestamp '2024-01-25'",
+        f"select {_TRAFFIC_X} from snapshots",
+    ),
+}
+
+
 def _template(text: str) -> str:
     values = {
         "count": "cast(n as string)",
@@ -308,7 +443,7 @@ def _severities(*names: str) -> str:
 
 
 def oracle_statements() -> dict[str, str]:
-    """One statement per query; queries on fitted forests have none."""
+    """One statement per query; the forest of Spark ML (`dns_forest`) has none."""
     burst_ip = "(partition by source_ip order by timestamp "
     statements = {
         "search_page": _with(
@@ -575,12 +710,7 @@ def oracle_statements() -> dict[str, str]:
             _DNS,
         ),
         "dns_heuristic": _with("select domain, label, confidence from dns_l", _DNS),
-        "dns_alerts": _with(
-            "select case when label = 'tunneling_suspect' then 'high' else 'medium' end "
-            "as severity, timestamp as created_at from sec_events join dns_l using (domain) "
-            "where event_type = 'dns_query' and label <> 'normal'",
-            _DNS,
-        ),
+        "dns_alerts": _with(_DNS_ALERTS, _DNS),
         "traffic_snapshots": _with(
             f"select window_start, {_SNAPSHOT_COLUMNS} from snapshots", _SNAPSHOTS
         ),
@@ -598,13 +728,27 @@ def oracle_statements() -> dict[str, str]:
         ),
         "traffic_analysis": _with(
             "select window_start, round(least(1.0, len(flags) * 0.3), 6)::double as anomaly_score, "
-            "len(flags) >= 2 as is_anomalous, len(flags) = 0 as is_normal from flagged",
+            "len(flags) >= 2 as is_anomalous, "
+            f"{_NARRATED} as description from flagged",
             _flagged(2.0),
         ),
-        "traffic_alerts": _with(
-            "select 'high' as severity, window_start as created_at from flagged "
-            "where len(flags) >= 2",
-            _flagged(1.5),
+        "traffic_alerts": _with(_TRAFFIC_ALERTS, _flagged(1.5)),
+        "login_forest_scores": _with(
+            "select event_id, round(score, 6) as anomaly_score, score > 0.5 as is_anomaly "
+            "from logins join login_scores using (x) where timestamp >= timestamp '2024-01-25'",
+            _login_forest("2024-01-25"),
+        ),
+        "login_alerts": _with(_LOGIN_ALERTS, _login_forest("2024-01-25")),
+        "score_events": _with(
+            "select event_id, round(coalesce(score, 0.0), 6) as anomaly_score from sec_events "
+            "left join (select event_id, score from logins join login_scores using (x)) using (event_id)",
+            _login_forest("2024-01-31"),
+        ),
+        "traffic_forest_scores": _with(
+            "select window_start, round(greatest(score, least(1.0, len(flags) * 0.3)), 6)::double as anomaly_score, "
+            "greatest(score, least(1.0, len(flags) * 0.3)) > 0.5 or len(flags) >= 2 as is_anomalous "
+            f"from (select window_start, {_TRAFFIC_X} from snapshots) join traffic_scores using (x) join flagged using (window_start)",
+            _TRAFFIC_FOREST,
         ),
         "alerts_list": _with(
             "select alert_id, severity, acknowledged, created_at from alert_state "
@@ -645,34 +789,25 @@ def oracle_statements() -> dict[str, str]:
             "order by timestamp, event_id) as f from sec_events group by 1, 2)"
         ),
         "detect": _with(
-            f"select severity, count(*) as count from (select severity from ({_ALL_FIRES}) "
-            "union all select case when label = 'tunneling_suspect' then 'high' else 'medium' end "
-            "from sec_events join dns_l using (domain) where label <> 'normal' "
-            "union all select 'high' from flagged where len(flags) >= 2) group by severity",
-            {**_ALL_RULES, **_DNS, **_flagged(3.0)},
+            " union all ".join([_RULE_ALERTS, _LOGIN_ALERTS, _DNS_ALERTS.replace("sec_events", "sec_burst"), _TRAFFIC_ALERTS]),
+            {**_ALL_RULES, **_DNS, **_flagged(3.0), **_login_forest("2024-01-31", "sec_burst")},
         ),
         "stream_brute": _with(
             "select 'BRUTE_001' as rule_id, group_key, fired_at, fired_id, matched "
             "from brute_001_fires",
             _of_rule("BRUTE_001"),
         ),
-        "stream_rules": _with(
-            "select rule_id, count(*) as fires, cast(sum(fired_id) as bigint) as id_sum "
-            f"from ({_ALL_FIRES}) group by rule_id",
-            _ALL_RULES,
-        ),
+        "stream_rules": _with(f"select rule_id, group_key, fired_at, fired_id from ({_ALL_FIRES})", _ALL_RULES),
         "stream_rule_batches": _with(
             f"select rule_id, group_key, fired_at, fired_id from ({_ALL_FIRES})", _ALL_RULES
         ),
         "detect_stream": _with(
-            f"select severity, count(*) as count from (select severity from ({_ALL_FIRES}) "
-            "union all select case when label = 'tunneling_suspect' then 'high' else 'medium' end "
-            "from sec_events join dns_l using (domain) where label <> 'normal' "
-            "union all select 'high' from flagged where len(flags) >= 2) group by severity",
+            " union all ".join([_RULE_ALERTS, _LOGIN_ALERTS, _DNS_ALERTS, _TRAFFIC_ALERTS]),
             {
                 **{n: b for r in _RULES for n, b in _of_rule(r, "sec_events").items()},
                 **_DNS,
                 **_flagged(3.0, "where window_start < timestamp '2024-01-25'"),
+                **_login_forest("2024-01-25"),
             },
         ),
         "stream_feed": _with(

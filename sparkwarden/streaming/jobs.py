@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.alerts import traffic_alerts
+from ..operators.alerts import LOGIN_THRESHOLD, traffic_alerts
 from ..operators.dns import DnsForest
 from ..operators.forest import IsolationForest
 from ..operators.rules import BUILT_IN_RULES, Rule, matches_to_alerts
@@ -66,6 +66,7 @@ def detect_stream(
     traffic_model: IsolationForest | None = None,
     delay_seconds: int = 600,
     once: bool = True,
+    login_threshold: float = LOGIN_THRESHOLD,
 ) -> list[StreamingQuery]:
     """Start the detection queries; each writes to its own folder of ``alerts_path``.
 
@@ -77,7 +78,7 @@ def detect_stream(
             events, f"{alerts_path}/rules", f"{checkpoint}/rules", rules, delay_seconds, once
         )
     ]
-    jobs = {"rows": row_alerts(events, login_model, dns_model)}
+    jobs = {"rows": row_alerts(events, login_model, dns_model, login_threshold)}
     if traffic_baseline is not None:
         closed = stream_snapshots(events, delay=f"{delay_seconds} seconds")
         jobs["traffic"] = traffic_alerts(
