@@ -7,6 +7,8 @@ from string import Formatter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .slices import MICROS, home_slice
+
 NO_EVENTS = "No events to analyze."
 
 # What is found, what shows it, what to do next; by the type of a cluster's first event.
@@ -76,6 +78,48 @@ def event_clusters(events: DataFrame, key: Column, window_minutes: int) -> DataF
     )
 
 
+def session_clusters(events: DataFrame, key: Column, gap_minutes: int) -> DataFrame:
+    """Events grouped by key into sessions, which end when ``gap_minutes`` pass without an event.
+
+    The same columns as ``event_clusters``; ``window_minutes`` are those from the first to
+    the last event, begun ones in full. Events without a time are in no session. On
+    a table, events first become one row per key and gap-long cell, partly aggregated: those of
+    a cell are in one session anyway, so a busy key meets in one task as cells, not as
+    events. On a watermarked stream Spark keeps the open sessions as its state.
+    """
+    gap_us = gap_minutes * 60 * MICROS
+    us = F.unix_micros("timestamp")
+    facts = F.struct("event_type", "source_ip", "dest_port")
+    place = F.struct(us.alias("us"), F.col("event_id").alias("id"))
+    merged = [
+        F.count(F.lit(1)).alias("count"),
+        F.min(F.struct(place.alias("place"), facts.alias("facts"))).alias("first"),
+        F.max(us).alias("last_us"),
+    ]
+    keyed = events.filter(F.col("timestamp").isNotNull()).withColumn("cluster_key", key)
+    if events.isStreaming:
+        window = F.session_window("timestamp", f"{int(gap_minutes)} minutes")
+        sessions = keyed.groupBy("cluster_key", window.alias("w")).agg(*merged)
+    else:
+        cells = keyed.groupBy("cluster_key", home_slice("unix_micros(timestamp)", gap_us).alias("cell")).agg(*merged)
+        in_order = Window.partitionBy("cluster_key").orderBy("cell")
+        begins = F.coalesce(F.col("first.place.us") - F.lag("last_us").over(in_order) > gap_us, F.lit(True))
+        numbered = cells.withColumn("begins", begins.cast("int")).withColumn(
+            "session", F.sum("begins").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+        )
+        sessions = numbered.groupBy("cluster_key", "session").agg(
+            F.sum("count").alias("count"), F.min("first").alias("first"), F.max("last_us").alias("last_us")
+        )
+    minutes = F.ceil((F.col("last_us") - F.col("first.place.us")) / (60 * MICROS)).cast("int")
+    return sessions.select(
+        "cluster_key",
+        F.timestamp_micros("first.place.us").alias("window_start"),
+        "count",
+        "first.facts.*",
+        F.greatest(minutes, F.lit(1)).alias("window_minutes"),
+    )
+
+
 def _fill(template: str, values: dict[str, Column]) -> Column:
     parts = []
     for text, name, _, _ in Formatter().parse(template):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.severity import severity_from_text, severity_rank
 from ..functions.timestamps import instant, iso_text
 from ..operators import alerts as al
-from ..operators import dns, forest, graph, login, narratives, normalise, rules, search
-from ..operators import sequences, stats, traffic
+from ..operators import dns, forest, graph, login, narratives, normalise, rollups, rules, search
+from ..operators import sequences, stats, textindex, traffic
 from ..schemas import EVENT_COLUMNS
 from ..session import shared_dir
 from ..sources import logs, tables
@@ -162,6 +163,15 @@ def text_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def text_index_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phrase, a word and an exclusion from a stored positional index of all log lines."""
+    index = shared_dir(spark, "lines")
+    textindex.write_text_index(fx.sec_events(spark, sf_dir), index)
+    wanted = search.TextQuery(phrase="failed password for invalid user", all_of=["host1"], none_of=["user3"])
+    return _page(textindex.text_index_search(spark, index, wanted))
+
+
 @query
 def word_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per word of the word index of all log lines."""
@@ -267,15 +277,44 @@ def live_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def wire_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields read back from the JSON form of every event."""
+    """Fields read back from the JSON form of every event, and where it says null."""
     value = F.col("value")
-    fields = ["timestamp", "source", "event_type", "severity", "source_ip", "raw_message"]
+    fields = ["timestamp", "source", "event_type", "severity", "source_ip", "raw_message", "dest_ip", "dest_port"]
+    entries = ["username", "protocol", "bytes", "domain"]
     return tables.to_wire_json(fx.sec_events(spark, sf_dir)).select(
         *[F.get_json_object(value, f"$.{f}").alias(f) for f in fields],
-        F.get_json_object(value, "$.metadata.username").alias("username"),
+        *[F.get_json_object(value, f"$.metadata.{f}").alias(f) for f in entries],
+        value.contains('"source_ip":null').alias("no_source"),
+        value.contains('"dest_port":null').alias("no_port"),
     )
 
 
+def _rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all events as a stream keeps them."""
+    work = shared_dir(spark, "rollup")
+    rollups.run_rollup_stream(fx.stream_events(spark, sf_dir), f"{work}/counts", f"{work}/checkpoint").awaitTermination()
+    return rollups.read_rollup(spark, f"{work}/counts")
+
+
+@query
+def rollup_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``overview`` from stored counts, as of a time inside an hour."""
+    state, _ = al.acknowledge(fx.sec_alerts(spark, sf_dir), fx.sec_acks(spark, sf_dir))
+    row = rollups.overview(_rollup(spark, sf_dir), fx.sec_events(spark, sf_dir), state, datetime(2024, 1, 29, 12, 20))
+    lists = [_pairs(c) for c in ("severity_breakdown", "top_source_ips", "top_event_types")]
+    return row.select("total_events", "events_last_hour", "critical_events", "open_alerts", *lists)
+
+
+@query
+def rollup_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.heatmap(_rollup(spark, sf_dir), fx.sec_events(spark, sf_dir), fx.AS_OF)
+
+
+@query
+def rollup_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.timeline_labels(rollups.timeline(_rollup(spark, sf_dir)))
+
+
 # Log lines -----------------------------------------------------------------------------
 
 
@@ -700,6 +739,17 @@ def alerts_ack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.select("alert_id", "acknowledged")
 
 
+@query
+def alerts_ack_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of alerts from two tables bucketed by id."""
+    path = shared_dir(spark, "alerts")
+    names = [f"{kind}_{uuid.uuid4().hex}" for kind in ("alerts", "acks")]
+    for name, rows in zip(names, (fx.sec_alerts(spark, sf_dir), fx.sec_acks(spark, sf_dir)), strict=True):
+        tables.write_alert_table(rows, name, f"{path}/{name}")
+    state, _ = al.acknowledge(spark.table(names[0]), spark.table(names[1]))
+    return state.select("alert_id", "acknowledged")
+
+
 @query
 def alerts_ack_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, unknown = al.acknowledge(fx.sec_alerts(spark, sf_dir), fx.sec_acks(spark, sf_dir))
@@ -734,6 +784,13 @@ def cluster_narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain_times(told.drop("dest_port", "window_minutes"))
 
 
+@query
+def session_narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of each source that end after an hour without events."""
+    told = narratives.narrate(narratives.session_clusters(fx.sec_events(spark, sf_dir), F.col("source_ip"), 60))
+    return plain_times(told)
+
+
 @query
 def detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts of all detectors."""
@@ -849,6 +906,14 @@ def stream_sudo_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain_times(_run(found, work).select("event_id", "timestamp", "first_at"))
 
 
+@query
+def stream_session_narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``session_narratives`` on the stream."""
+    events, work = _replayed(spark, sf_dir, burst=False)
+    sessions = narratives.session_clusters(events.withWatermark("timestamp", "10 minutes"), F.col("source_ip"), 60)
+    return plain_times(narratives.narrate(_run(sessions, work)))
+
+
 @query
 def stream_port_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``port_scan_distinct`` on the stream."""

@@ -7,9 +7,7 @@ share nothing with the Spark operators but the derived input columns.
 from __future__ import annotations
 
 import re
-from string import Formatter
 
-from ..operators.narratives import DEFAULT_TEMPLATE, TEMPLATES
 from .fixtures import duckdb_views
 
 _VIEWS = duckdb_views()
@@ -364,30 +362,22 @@ _TRAFFIC_FOREST = {
 }
 
 
-def _template(text: str) -> str:
-    values = {
-        "count": "cast(n as string)",
-        "severity": "'medium'",
-        "event_type": "f.event_type",
-        "source_ip": "coalesce(nullif(f.source_ip, ''), 'unknown source')",
-        "window": "'1440'",
-        "attack_type": "'suspicious activity'",
-        "dest_port": "coalesce(cast(nullif(f.dest_port, 0) as string), 'N/A')",
-    }
-    parts = []
-    for literal, name, _, _ in Formatter().parse(text):
-        if literal:
-            parts.append("'" + literal.replace("'", "''") + "'")
-        if name:
-            parts.append(values[name])
-    return f"concat({', '.join(parts)})"
-
-
-_NARRATIVE = (
-    "case f.event_type "
-    + " ".join(f"when '{k}' then {_template(v)}" for k, v in TEMPLATES.items())
-    + f" else {_template(DEFAULT_TEMPLATE)} end"
-)
+# Expected sentences, by the type of the first event.
+_SOURCE = "coalesce(nullif(f.source_ip, ''), 'unknown source')"
+_PORT = "coalesce(cast(nullif(f.dest_port, 0) as varchar), 'N/A')"
+_NARRATIVE = f"""case f.event_type
+when 'ssh_failed' then concat('Password guessing over SSH: ', n, ' wrong passwords sent by ', {_SOURCE}, ' to port ', {_PORT},
+  ', all in ', window_minutes, ' minutes. Next step: ask who owns the address, and rate-limit it until somebody answers.')
+when 'ssh_brute_force' then concat('SSH brute-force attempt: the server cut ', {_SOURCE}, ' off ', n,
+  ' times for too many tries. Next step: drop packets of ', {_SOURCE}, ', then reset the accounts it aimed at.')
+when 'ssh_invalid_user' then concat('Search for account names: ', {_SOURCE}, ' asked ', n,
+  ' times for users this machine does not have. Next step: shut the address out and compare its names with the real ones.')
+when 'connection_attempt' then concat('Port scan: ', {_SOURCE}, ' knocked ', n, ' times in ', window_minutes,
+  ' minutes. Next step: list the ports that answered and close those nobody needs.')
+when 'dns_query' then concat('Odd DNS names: ', n, ' queries of ', {_SOURCE},
+  ', rated suspicious activity. Next step: decode a few of the names and isolate the machine if they carry data.')
+else concat('Unusual run of ', f.event_type, ': ', n, ' events, severity medium, from ', {_SOURCE}, ' in ', window_minutes,
+  ' minutes; suspicious activity. Next step: find out what the address is used for.') end"""
 
 _ALERT_STATE = {
     "alert_state": (
@@ -492,6 +482,27 @@ def oracle_statements() -> dict[str, str]:
             "where list_contains(w, 'the') and list_contains(w, 'and') "
             "and not list_contains(w, 'of')"
         ),
+        "text_index_phrase": _with(
+            f"select {PAGE} from sec_events where contains({LINE_TEXT}, ' failed password for invalid user ') "
+            f"and list_contains({LINE_WORDS}, 'host1') and not list_contains({LINE_WORDS}, 'user3')"
+        ),
+        "rollup_overview": _with(
+            "select (select count(*) from sec_events) as total_events, (select count(*) from sec_events "
+            "where timestamp >= timestamp '2024-01-29 11:20:00') as events_last_hour, "
+            "(select count(*) from sec_events where severity = 'critical') as critical_events, "
+            "(select count(*) from alert_state where acknowledged = 0) as open_alerts, "
+            f"{_facet('sev', 'severity_breakdown')}, {_facet('ips', 'top_source_ips')}, {_facet('types', 'top_event_types')}",
+            _ALERT_STATE,
+        ),
+        "session_narratives": _with(
+            f"select cluster_key, window_start, n as count, f.event_type, f.source_ip, f.dest_port, window_minutes, {_NARRATIVE} as narrative "
+            "from (select source_ip as cluster_key, min(timestamp) as window_start, count(*) as n, "
+            "greatest(1, ceil(epoch_us(max(timestamp) - min(timestamp)) / 60000000))::int as window_minutes, "
+            "first({'event_type': event_type, 'source_ip': source_ip, 'dest_port': dest_port} order by timestamp, event_id) as f "
+            "from (select *, count(*) filter (begins) over (partition by source_ip order by timestamp, event_id) as session "
+            "from (select *, coalesce(timestamp - lag(timestamp) over (partition by source_ip order by timestamp, event_id) "
+            "> interval 60 minutes, true) as begins from sec_events)) group by source_ip, session)"
+        ),
         "word_postings": _with(
             f"select word, count(*) as rows from (select unnest(list_distinct({LINE_WORDS})) "
             "as word from sec_events) where word <> '' group by word"
@@ -563,7 +574,8 @@ def oracle_statements() -> dict[str, str]:
         ),
         "wire_json": _with(
             f"select {_iso('timestamp')} as timestamp, source, event_type, severity, source_ip, "
-            "line as raw_message, username from sec_events"
+            "line as raw_message, dest_ip, cast(dest_port as varchar) as dest_port, username, protocol, "
+            "cast(bytes as varchar) as bytes, domain, source_ip is null as no_source, dest_port is null as no_port from sec_events"
         ),
         "parse_auth": _with(
             f"select event_id, {_stamp(_group(1, False))} as timestamp, kind as event_type, "
@@ -783,10 +795,10 @@ def oracle_statements() -> dict[str, str]:
         "cluster_narratives": _with(
             "select key as cluster_key, day as window_start, n as count, f.event_type, "
             "f.source_ip, "
-            f"{_NARRATIVE} as narrative from (select source_ip as key, "
+            f"{_NARRATIVE} as narrative from (select *, 1440 as window_minutes from (select source_ip as key, "
             "date_trunc('day', timestamp) as day, count(*) as n, "
             "first({'event_type': event_type, 'source_ip': source_ip, 'dest_port': dest_port} "
-            "order by timestamp, event_id) as f from sec_events group by 1, 2)"
+            "order by timestamp, event_id) as f from sec_events group by 1, 2))"
         ),
         "detect": _with(
             " union all ".join([_RULE_ALERTS, _LOGIN_ALERTS, _DNS_ALERTS.replace("sec_events", "sec_burst"), _TRAFFIC_ALERTS]),
@@ -827,5 +839,9 @@ def oracle_statements() -> dict[str, str]:
     # And finds what the batch operators find.
     statements["stream_sudo_sequence"] = statements["sudo_failure_sequence"]
     statements["stream_port_scan"] = statements["port_scan_distinct"]
+    statements["stream_session_narratives"] = statements["session_narratives"]
+    statements["rollup_heatmap"] = statements["heatmap"]
+    statements["rollup_timeline"] = statements["timeline"]
+    statements["alerts_ack_bucketed"] = statements["alerts_ack"]
     statements["stream_exfil"] = statements["exfil_deviation"]
     return statements

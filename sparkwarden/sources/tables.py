@@ -18,12 +18,26 @@ def _with_columns(df: DataFrame) -> DataFrame:
     return df.withColumn("anomaly_score", F.coalesce("anomaly_score", F.lit(0.0)))
 
 
+# Columns of point lookups, and the distinct values a row group's filter is made for.
+LOOKED_UP = {"event_id": 1_000_000, "source_ip": 100_000}
+
+
+def _bloom_filters() -> dict[str, str]:
+    options = {}
+    for column, values in LOOKED_UP.items():
+        options[f"parquet.bloom.filter.enabled#{column}"] = "true"
+        options[f"parquet.bloom.filter.expected.ndv#{column}"] = str(values)
+    # A filter is cut to what a row group's values need.
+    return {**options, "parquet.bloom.filter.adaptive.enabled": "true"}
+
+
 def write_events(events: DataFrame, path: str) -> None:
     """Append events to Parquet by day.
 
     Rebalancing by day lets Spark split a busy day over several files and join quiet
     ones in a task. Rows are sorted by time in each file, for tight statistics on the
-    time column. An event without a time would end up in no day, so
+    time column; Bloom filters on the columns of ``LOOKED_UP`` let a lookup skip the row
+    groups that do not hold its value. An event without a time would end up in no day, so
     ``validate_events`` first.
     """
     (
@@ -33,6 +47,7 @@ def write_events(events: DataFrame, path: str) -> None:
         .hint("rebalance", "event_date")
         .sortWithinPartitions("event_date", "timestamp", "event_id")
         .write.mode("append")
+        .options(**_bloom_filters())
         .partitionBy("event_date")
         .parquet(path)
     )
@@ -71,6 +86,25 @@ def read_alerts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+ALERT_BUCKETS = 32
+
+
+def write_alert_table(df: DataFrame, name: str, path: str, buckets: int = ALERT_BUCKETS) -> None:
+    """Append alerts, or acknowledgements of alerts, to a table bucketed and sorted by ``alert_id``.
+
+    Two such tables with the same number of buckets are joined bucket by bucket:
+    ``acknowledge`` over them moves no alert.
+    """
+    (
+        df.repartition(buckets, "alert_id")
+        .write.mode("append")
+        .bucketBy(buckets, "alert_id")
+        .sortBy("alert_id")
+        .option("path", path)
+        .saveAsTable(name)
+    )
+
+
 def to_wire_json(events: DataFrame) -> DataFrame:
     """One JSON text per event in column ``value``, nulls written out."""
     body = F.struct(
