@@ -8,7 +8,7 @@ from html import unescape
 
 # Fixed names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes template svg math".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes template svg".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol option p pre section select summary "
@@ -28,6 +28,12 @@ OUTSIDE_WORDS = frozenset(
     "notice notices pager pagination popup promo recommended related replies reply respond search share sharing sidebar signup "
     "skip social sponsor sponsored subscribe toolbar widget".split()
 )
+# Words beside those above that say nothing of their own: "share-links" is outside, "related-work" is not.
+NEUTRAL_WORDS = frozenset(
+    "area article articles bar block body bottom box button buttons container content entry form group header holder icon icons "
+    "inline inner item items left link links list main message module outer page panel post posts region right row section "
+    "site slot small stories story text top unit wrap wrapper zone".split()
+)
 INSIDE_WORDS = frozenset("article articlebody content entry main post story".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
@@ -60,8 +66,17 @@ class _Open:
     outside: str  # why the element is outside the article, or empty
 
 
+def _named_outside(value: str) -> bool:
+    """Whether one of the names in a class or id says outside, and nothing else."""
+    for token in value.split():
+        words = {w.lower() for w in _WORDS.findall(token)}
+        if words & OUTSIDE_WORDS and words <= OUTSIDE_WORDS | NEUTRAL_WORDS:
+            return True
+    return False
+
+
 def _opened(name: str, attributes: str, parent: _Open) -> _Open:
-    label, words, role = name, set(), ""
+    label, words, role, named = name, set(), "", False
     if attributes:
         for kind, value in _ATTRIBUTE.findall(attributes):
             value = unescape(value.strip("\"'"))
@@ -69,6 +84,7 @@ def _opened(name: str, attributes: str, parent: _Open) -> _Open:
                 role = value.lower()
             else:
                 words.update(w.lower() for w in _WORDS.findall(value))
+                named = named or _named_outside(value)
                 if kind.lower() != "itemprop":
                     label += "." + _DIGITS.sub("#", value)
     level = parent.level
@@ -88,9 +104,9 @@ def _opened(name: str, attributes: str, parent: _Open) -> _Open:
             outside = "" if level or words & INSIDE_WORDS else "header"
         elif name == "form":
             outside = "form"
-        elif words & OUTSIDE_WORDS and name not in ("article", "main"):
+        elif named and name not in ("article", "main"):
             outside = "name"
-        elif name == "article" and words & OUTSIDE_WORDS and not words & (INSIDE_WORDS - {"article"}):
+        elif name == "article" and named and not words & (INSIDE_WORDS - {"article"}):
             outside = "name"
     path = parent.path if name in PLAIN and not outside else f"{parent.path}/{label}"
     return _Open(name, path, level, outside)

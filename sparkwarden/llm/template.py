@@ -10,10 +10,13 @@ the path around them. Slots of the article are extracted, block by block.
 Which slots are the article's: those inside an article or main element, or else an
 element named so; a host that marks none has the slot that holds most of its text
 outside links. Elements that are never the article (menus, footers, adverts,
-comments and so on) hold none.
+comments and so on) hold none. The template holds at every level: a notice that stands in
+the articles of a host is dropped from them. Pages of the same content are one page
+to the template, and where it would take more than half of an article, that is no template
+but a copy, and the article stays whole.
 
 A vector is never brought together: it is represented by the number of its pages,
-the sum of its counts, and an exclusive-or of hashes of its (page, count) pairs, all
+the sum of its counts, and sums of hashes of its (page, count) pairs, all
 of which aggregate partially. So a host with a third of all pages needs no large group.
 """
 
@@ -37,6 +40,9 @@ MIN_PAGES = 3
 MIN_SHARE = 0.6
 MIN_TOKENS = 2
 
+# A template that takes more of an article is a copy.
+MOST = 0.5
+
 _TAG, _TEXT, _BOX = 0, 1, 2
 
 TOKEN_SCHEMA = "host string, kind int, token long, label string, page long, n long, chars long, place double"
@@ -61,8 +67,9 @@ def _page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
     for batch in batches:
         rows = []
-        for host, page, html in zip(*(c.to_pylist() for c in batch.columns)):
+        for host, html in zip(*(c.to_pylist() for c in batch.columns)):
             tags, blocks = read_page(html or "")
+            page = _hash("\n".join(b.text for b in blocks if not b.outside))
             found: dict[tuple[int, int], list] = {}
             for label, place in tags:
                 entry = found.setdefault((_TAG, _hash(label)), [label, 0, 0, 0])
@@ -85,10 +92,10 @@ def _page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def page_tokens(pages: DataFrame) -> DataFrame:
     """Tokens of every page with host: how often each stands there, and where on average.
 
-    Besides tags (kind 0) and texts (1), boxes (2): the paths around text, with its characters outside links.
+    `page` stands for the page's content without what is never an article's. Besides tags (kind 0) and texts (1), boxes (2): the paths around text, with its characters outside links.
     """
     small_batches(pages.sparkSession)
-    named = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("page"), F.col("html"))
+    named = pages.select(host_of(F.col("url")).alias("host"), F.col("html"))
     return named.where("host <> ''").mapInArrow(_page_tokens, TOKEN_SCHEMA)
 
 
@@ -98,22 +105,26 @@ def token_classes(tokens: DataFrame) -> DataFrame:
     `class` stands for the occurrence vector. Kept are tokens of enough of their host's
     pages (at most as many as the tokens of 1 / MIN_SHARE pages) and all boxes' totals.
     """
-    vectors = tokens.groupBy("host", "kind", "token").agg(
+    # Pages of the same content count once. The two halves of a hash add up without overflow.
+    once = tokens.groupBy("host", "kind", "token", "page").agg(*[F.max(c).alias(c) for c in ("label", "n", "place", "chars")])
+    pair = F.xxhash64("page", "n")
+    vectors = once.groupBy("host", "kind", "token").agg(
         F.max("label").alias("label"),
         F.count(F.lit(1)).alias("pages"),
         F.sum("n").alias("occurrences"),
-        F.expr("bit_xor(xxhash64(page, n))").alias("vector"),
+        F.sum(F.shiftright(pair, 32)).alias("high"),
+        F.sum(pair.bitwiseAND(F.lit((1 << 32) - 1))).alias("low"),
         F.avg("place").alias("place"),
         F.sum("chars").alias("chars"),
     )
-    # A page counts once for its host: by its first tag or text, whichever it has, the pages of the most frequent token.
+    # A page counts once for its host: the pages of the most frequent token.
     # What stands in one page only is in no template, and is most of all tokens: it goes before rows meet by host.
     vectors = vectors.where((F.col("kind") == _BOX) | (F.col("pages") >= math.ceil(MIN_PAGES * MIN_SHARE)))
     hosts = vectors.groupBy("host").agg(F.max("pages").alias("pages_of_host"))
     frequent = vectors.join(hosts, "host").where(
         (F.col("pages_of_host") >= MIN_PAGES) & ((F.col("kind") == _BOX) | (F.col("pages") >= F.col("pages_of_host") * MIN_SHARE))
     )
-    return frequent.withColumn("class", F.xxhash64("pages", "occurrences", "vector")).drop("vector")
+    return frequent.withColumn("class", F.xxhash64("pages", "occurrences", "high", "low")).drop("high", "low")
 
 
 TEMPLATE_SCHEMA = "host string, pages_of_host long, texts array<long>, tags array<long>, classes int, depth int, main_path string"
@@ -161,7 +172,7 @@ def _template(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def host_templates(pages: DataFrame) -> DataFrame:
-    """One row per host with enough pages: the template's text and tag tokens in page order, its number of classes and
+    """One row per host with enough pages of different content (repeated rows and pages without host add nothing): the template's text and tag tokens in page order, its number of classes and
     levels of nesting, and the path of the slot that holds most text outside links.
 
     What meets per host are its frequent tokens and its largest box, whose number
@@ -175,28 +186,26 @@ def host_templates(pages: DataFrame) -> DataFrame:
     return ranked.groupBy("host").applyInPandas(_template, TEMPLATE_SCHEMA)
 
 
-def slots(blocks: list[Block], texts: frozenset[int]) -> dict[str, list[Block]]:
-    """What a page has besides its template, by the path around it.
+def article(blocks: list[Block], texts: frozenset[int], main_path: str | None) -> list[Block]:
+    """The blocks of the article's slots in page order.
 
-    A text of the template is no slot's, unless the page marks it as its article's: copies
-    of one article on most pages of a host are still an article.
+    The page's own marks tell where the article is, else the slot of the host's template
+    with most text. What the template has is no slot's, unless it has most of the article.
     """
-    found: dict[str, list[Block]] = {}
-    for b in blocks:
-        if not b.outside and (b.level == IN_ARTICLE or text_token(b) not in texts):
-            found.setdefault(b.path, []).append(b)
-    return found
-
-
-def article(found: dict[str, list[Block]], main_path: str | None) -> list[Block]:
-    """The blocks of the article's slots in page order: as the page marks them, else as the host's template tells."""
-    level = max((b.level for own in found.values() for b in own), default=NOWHERE)
+    inside = [b for b in blocks if not b.outside]
+    level = max((b.level for b in inside), default=NOWHERE)
+    rest = [b for b in inside if text_token(b) not in texts] if texts else inside
     if level > NOWHERE:
-        chosen = [b for own in found.values() for b in own if b.level == level]
+        chosen, kept = ([b for b in some if b.level == level] for some in (inside, rest))
     else:
-        below = [] if main_path is None else [p for p in found if p == main_path or p.startswith(main_path + "/")]
-        chosen = [b for p in below or found for b in found[p]]
-    return sorted(chosen, key=lambda b: b.place)
+
+        def below(some: list[Block]) -> list[Block]:
+            slot = [b for b in some if main_path and (b.path == main_path or b.path.startswith(main_path + "/"))]
+            return slot or some
+
+        chosen, kept = below(inside), below(rest)
+    left, whole = (sum(len(b.text) for b in some) for some in (kept, chosen))
+    return kept if left >= (1 - MOST) * whole else chosen
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +213,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
         for html, texts, main_path in zip(*(c.to_pylist() for c in batch.columns[2:])):
             _, blocks = read_page(html or "")
-            found.append("\n".join(b.text for b in article(slots(blocks, frozenset(texts or ())), main_path)))
+            found.append("\n".join(b.text for b in article(blocks, frozenset(texts or ()), main_path)))
         counts = pa.array([len(t) for t in found], pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), counts], ["page_id", "url", "text", "n_chars"])
 
@@ -214,8 +223,8 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     Blocks of the article in page order, one line each. A null or empty html, and a page
     without article text, give an empty text. A page without host, or of a host with
-    fewer than MIN_PAGES pages, is read by its markup alone. Pages of any length are
-    read whole; repeated rows are all returned.
+    fewer than MIN_PAGES pages of different content, is read by its markup alone. Pages of
+    any length are read whole; repeated rows are all returned and change no template.
     """
     templates = stored(host_templates(pages).select("host", "texts", "main_path"), "templates")
     small_batches(pages.sparkSession)

@@ -4,7 +4,7 @@ import random
 
 import pytest
 from sparkwarden.llm.markup import read_page
-from sparkwarden.llm.template import host_templates, main_texts
+from sparkwarden.llm.template import host_templates, main_texts, page_tokens, text_token, token_classes
 
 SCHEMA = "page_id long, url string, html string, host string, texts string"
 
@@ -58,6 +58,75 @@ def test_copies_of_an_article_are_no_template(spark):
     assert set(got.values()) == {("Same\nCopied on every page.", 26)}
 
 
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+@pytest.mark.parametrize("differing", [False, True])
+def test_copies_in_any_tag_stay_whole(spark, tag, differing):
+    """The same article on most pages of a host, alone or among lines that differ, is an article still."""
+    page = "<html><body><nav>Menu</nav><{0}><h1>Same old story</h1><p>Copied on every page of the host, word by word.</p>{1}</{0}></body></html>"
+    rows = [(k, f"http://mirror/{k}", page.format(tag, f"<p>Copy {k}.</p>" if differing else "")) for k in range(4)]
+    got = texts(spark, rows)
+    for k in range(4):
+        assert got[k][0] == "Same old story\nCopied on every page of the host, word by word." + (f"\nCopy {k}." if differing else "")
+
+
+def noticed(k, rng):
+    paragraphs = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(25)) for _ in range(3)]
+    body = "".join(f"<p>{p}</p>" for p in paragraphs)
+    page = (
+        f"<html><body><article><p>Please keep our rules in mind.</p>{body}<div class='related-work'><p>Others found {k}.</p></div>"
+        "<p>All rights reserved by the paper.</p></article></body></html>"
+    )
+    return (k, f"https://notices.example/{k}", page), "\n".join([*paragraphs, f"Others found {k}."])
+
+
+@pytest.mark.parametrize("repeats", [1, 2])
+def test_notices_inside_articles_are_template(spark, repeats):
+    """Two lines stand in every article of the host: they go, also when all rows are there twice."""
+    rng = random.Random(5)
+    rows, want = zip(*(noticed(k, rng) for k in range(12)), strict=True)
+    got = texts(spark, list(rows) * repeats)
+    assert [got[k][0] for k in range(12)] == list(want)
+    alone = texts(spark, [(k, None, html) for k, _, html in rows])
+    assert all(alone[k][0] == "\n".join(["Please keep our rules in mind.", want[k], "All rights reserved by the paper."]) for k in range(12))
+
+
+def test_classes_against_brute_force(spark):
+    """Tokens are in one class exactly if they stand equally often in every page of different content."""
+    rng = random.Random(6)
+    pages = []
+    for k in range(25):
+        lines = [f"<p>line {i}</p>" * rng.choice([0, 1, 1, 2]) for i in range(6)]
+        fixed = "<p>always</p><p>too</p>"
+        pages.append((k, f"http://h/{k}", f"<div><b>{fixed}</b>{''.join(lines)}<p>own {k % 20}</p></div>"))
+    df = spark.createDataFrame(pages + pages[:9], "page_id long, url string, html string")
+    vectors = {}
+    for content in {tuple(b.text for b in read_page(h)[1]): h for _, _, h in pages}.items():
+        for b in read_page(content[1])[1]:
+            token = text_token(b)
+            vectors.setdefault(token, {}).setdefault(content[0], 0)
+            vectors[token][content[0]] += 1
+    found = {}
+    for r in token_classes(page_tokens(df)).where("kind = 1").collect():
+        found.setdefault(r["class"], set()).add(r["token"])
+        assert r["pages"] == len(vectors[r["token"]]) and r["occurrences"] == sum(vectors[r["token"]].values())
+    grouped = {}
+    for members in found.values():
+        for token in members:
+            grouped[token] = frozenset(members)
+    for a in grouped:
+        for b in grouped:
+            assert (vectors[a] == vectors[b]) == (b in grouped[a])
+    assert any(len(g) > 1 for g in grouped.values())
+
+
+def test_names_and_formulas(spark):
+    page = (
+        "<article><p>One</p><div class='legal-history'>Two</div><p class='alert'>Gone</p><div class='share-links'>Gone</div>"
+        "<p>E is <math><mi>m</mi><mo>c</mo></math></p><div id='reply_to_critics'><p>Three</p></div><div class='comments-list'>Gone</div></article>"
+    )
+    assert texts(spark, [(1, "http://h/1", page)])[1][0] == "One\nTwo\nE is mc\nThree"
+
+
 def test_table_of_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     rows = main_texts(pages).collect()
