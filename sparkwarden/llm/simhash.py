@@ -147,8 +147,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
 
 
-def _with_components(prints: DataFrame) -> DataFrame:
-    """(id, fp, component) for rows (id, fp)."""
+def _classes(prints: DataFrame, *names: str) -> DataFrame:
+    """(fp, component, *names) for the distinct fingerprints; `root` names the component even where no id does."""
     classes = stored(prints.groupBy("fp").agg(F.min("id").alias("least")), "classes")
     roots = stored(component_roots(near_pairs(classes.select("fp"))), "roots")
     # Few classes link at all; each class's root and the smallest id under a root.
@@ -156,20 +156,39 @@ def _with_components(prints: DataFrame) -> DataFrame:
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    by_class = stored(rooted.join(named, "root").select("fp", "component"), "components")
+    return stored(rooted.join(named, "root").select("fp", "component", *names), "components")
+
+
+def _with_components(prints: DataFrame) -> DataFrame:
+    """(id, fp, component) for rows (id, fp)."""
     # A class of many copies is split by the skew join: one row on this side.
-    return prints.join(by_class, "fp").select("id", "fp", "component")
+    return prints.join(_classes(prints), "fp").select("id", "fp", "component")
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, narrow in ((b, pa.RecordBatch.from_arrays(b.columns[:2], ["id", "text"])) for b in batches):
+        done = next(_fingerprints(iter([narrow])))
+        yield pa.RecordBatch.from_arrays([*done.columns, batch.column(2)], ["id", "fp", "mark"])
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id, all columns kept.
+    """One document of each component of near-duplicates, all columns kept: that with the smallest id, then text hash.
 
-    Rows without id stay: they cannot be told apart. Of rows with the same id one
-    stays, that with the smallest text.
+    A component keeps a row however its ids are shared: texts of one id that do not link are
+    in components of their own. Rows without id come last in their component, so one stays
+    only where no row has an id. Repeated rows leave one; null, empty and wordless
+    texts have fingerprint zero and are one component. An empty table gives no rows.
     """
-    prints = stored(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
-    kept = _with_components(prints).where("id = component").select(F.col("id").alias("_kept")).distinct()
-    named = docs.join(kept.hint("shuffle_hash"), F.col(id_col) == F.col("_kept"), "left_semi")
-    alike = Window.partitionBy(id_col).orderBy(text_col)
-    first = named.withColumn("_place", F.row_number().over(alike)).where("_place = 1").drop("_place")
-    return first.unionByName(docs.where(F.col(id_col).isNull()))
+    small_batches(docs.sparkSession)
+    text = F.col(f"`{text_col}`")
+    identity = (F.col(f"`{id_col}`").cast("long"), F.coalesce(F.md5(text.cast("binary")), F.lit("-")))
+    narrow = docs.select(identity[0].alias("id"), text.alias("text"), identity[1].alias("mark"))
+    prints = stored(narrow.mapInArrow(_marked, "id long, fp long, mark string"), "fingerprints")
+    in_class = prints.join(_classes(prints, "root"), "fp")
+    least = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "mark")).alias("least")
+    kept = in_class.groupBy("root").agg(least).select(F.col("least.id").alias("_kept_id"), F.col("least.mark").alias("_kept_mark"))
+    mine = (identity[0].eqNullSafe(F.col("_kept_id"))) & (identity[1] == F.col("_kept_mark"))
+    named = docs.join(kept.hint("shuffle_hash"), mine, "left_semi")
+    # What is left over are repeats of the kept rows: the first of each, merged before they meet.
+    row = F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")
+    return named.groupBy(identity[0].alias("_id"), identity[1].alias("_mark")).agg(row).select("row.*")

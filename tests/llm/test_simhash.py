@@ -100,6 +100,13 @@ def test_one_document_of_each_group_stays(make_docs):
     assert sorted((r["doc_id"] for r in kept.collect()), key=lambda i: (i is None, i)) == [1, 4, 5, 6, 8, None]
 
 
+def test_shared_and_missing_ids_lose_no_group(make_docs):
+    a, b, c = "a text of some words that is there", "quite another one with other words inside it", "and a third, which nobody gave an id"
+    kept = one_of_each(make_docs([(7, a), (7, b), (8, a), (9, b), (None, c), (None, c), (None, a)])).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted([(7, a), (7, b), (None, c)], key=repr)
+    assert one_of_each(make_docs([])).count() == 0
+
+
 def test_long_texts_in_blocks(monkeypatch):
     text = " ".join(f"w{i}" for i in range(3000))
     whole = fingerprint_of(text)
