@@ -5,9 +5,9 @@ lists is put into all of them (its nearest lists, as far as their distance ratio
 allows), so a query needs few lists to meet its neighbours. Centroids are the leaves
 of a balanced bisection of a bounded sample; they are searched through a graph of
 near centroids that every task holds in memory. A query takes the lists whose
-centroids are at most a ratio farther than the nearest one. How far that goes is
+centroids are at most a ratio farther than the nearest one, however many these are. The ratio is
 fitted to the table: the true neighbours of some queries are found by comparing
-them with every vector, and more lists are read until these queries meet them.
+them with every vector, and it is as far as these queries must go to meet them.
 
 Distances to centroids are Euclidean in a space with one more dimension, where the
 largest inner product is the least distance: that dimension brings all vectors to
@@ -36,20 +36,18 @@ LIST_SIZE = 64
 SAMPLE = 65536
 MAX_CENTROIDS = 16384
 
-# A vector goes to the lists at most so much farther than its nearest one, REPLICAS at most.
-REPLICA_RATIO = 1.4
+# A vector goes to the lists at most so much farther than its nearest one, REPLICAS at most: one
+# that lies between centroids is in several lists, one near its centroid in one.
+REPLICA_RATIO = 1.06
 REPLICAS = 8
 
-# A query reads the lists at most so much farther than its nearest one, and so many. Both grow by
-# WIDER until FITTED queries meet this share of their true neighbours, if need be to all lists.
-LIST_RATIO = 1.4
+# A query reads the lists at most so much farther than its nearest one, MIN_LISTS at least. The ratio
+# is as large as FITTED queries need to meet this share of their true neighbours. USUAL_LISTS are
+# asked of the graph at first, and twice as many as long as the ratio is not reached.
+LIST_RATIO = 1.0
 MIN_LISTS, USUAL_LISTS = 8, 64
 RECALL = 0.95
 FITTED = 256
-WIDER = 1.25
-
-# Where more than one in so many centroids is wanted, all are compared: that is less work than the links.
-SCANNED = 16
 
 # Vectors of a list that one task compares with the list's queries: longer lists are cut.
 CHUNK = 4096
@@ -121,21 +119,15 @@ class CentroidGraph:
         """(centroids, distances), nearest first: a beam search along the links, for all rows at once."""
         n = len(self.centroids)
         wanted = min(wanted, n)
-        if wanted * SCANNED >= n:
-            return self._scanned(x, wanted)
         beam = min(n, wanted + wanted // 2 + 24)
         rows = np.arange(len(x))[:, None]
-        squares = (x**2).sum(axis=1)[:, None]
-
-        def distance(nodes: np.ndarray) -> np.ndarray:
-            c = self.centroids[nodes]
-            return squares + (c**2).sum(axis=2) - 2 * np.einsum("bkd,bd->bk", c, x, optimize=True)
+        squares, lengths = (x**2).sum(axis=1), (self.centroids**2).sum(axis=1)
 
         seen = np.zeros((len(x), n), bool)
         start = np.unique(np.linspace(0, n - 1, min(n, 16 + int(2 * np.sqrt(n)))).astype(np.int64))
         nodes = np.broadcast_to(start, (len(x), len(start))).copy()
         seen[rows, nodes] = True
-        dist = distance(nodes)
+        dist = squares[:, None] + lengths[start][None, :] - 2 * x @ self.centroids[start].T
         done = np.zeros(nodes.shape, bool)
         while True:
             open_dist = np.where(done, np.inf, dist)
@@ -153,7 +145,11 @@ class CentroidGraph:
             ordered = np.take_along_axis(step, order, axis=1)
             again = np.zeros(step.shape, bool)
             np.put_along_axis(again, order[:, 1:], ordered[:, 1:] == ordered[:, :-1], axis=1)
-            d = np.where(known | again, np.inf, distance(step))
+            # Only nodes met for the first time are compared.
+            row, col = np.nonzero(~(known | again))
+            node = step[row, col]
+            d = np.full(step.shape, np.inf, np.float32)
+            d[row, col] = squares[row] + lengths[node] - 2 * np.einsum("pd,pd->p", x[row], self.centroids[node])
             nodes = np.concatenate([nodes, step], axis=1)
             dist = np.concatenate([dist, d], axis=1)
             done = np.concatenate([done, ~np.isfinite(d)], axis=1)
@@ -164,37 +160,38 @@ class CentroidGraph:
         dist = np.take_along_axis(dist, order, axis=1)
         return np.take_along_axis(nodes, order, axis=1), np.sqrt(np.maximum(dist, 0))
 
-    def _scanned(self, x: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
-        """As `nearest`, by comparing all centroids."""
-        nodes, found = np.empty((len(x), wanted), np.int64), np.empty((len(x), wanted), np.float32)
-        squares = (self.centroids**2).sum(axis=1)
-        for at in range(0, len(x), 256):
-            block = x[at : at + 256]
-            d = (block**2).sum(axis=1)[:, None] + squares[None, :] - 2 * block @ self.centroids.T
-            best = np.argpartition(d, wanted - 1, axis=1)[:, :wanted]
-            dist = np.take_along_axis(d, best, axis=1)
-            order = np.argsort(dist, axis=1, kind="stable")
-            nodes[at : at + 256], found[at : at + 256] = np.take_along_axis(best, order, axis=1), np.take_along_axis(dist, order, axis=1)
-        return nodes, np.sqrt(np.maximum(found, 0))
-
     def among(self, filled: Iterable[int]) -> CentroidGraph:
         """The graph with what is known of its lists."""
         holds = np.zeros(len(self.centroids), bool)
         holds[list(filled)] = True
         return replace(self, filled=holds)
 
-    def lists(self, x: np.ndarray, ratio: float, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) pairs: the nearest lists of each row within the ratio of its nearest, `least` at least."""
-        nodes, dist = self.nearest(x, most)
-        if self.filled is not None:
-            # An empty list is no list: those that hold vectors come first, in order.
-            dist = np.where(self.filled[nodes], dist, np.inf)
-            order = np.argsort(dist, axis=1, kind="stable")
-            nodes, dist = np.take_along_axis(nodes, order, axis=1), np.take_along_axis(dist, order, axis=1)
-        chosen = np.isfinite(dist) & (dist <= dist[:, :1] * ratio + 1e-6)
-        chosen[:, :least] = np.isfinite(dist[:, :least])
-        row, place = np.nonzero(chosen)
-        return row, nodes[row, place]
+    def lists(self, x: np.ndarray, ratio: float, least: int, usual: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) pairs: the nearest lists of each row within the ratio of its nearest, `least` at least and `most` at most.
+
+        The graph is asked for `usual` lists, then for twice as many for the rows whose
+        farthest list is still within the ratio.
+        """
+        rows, lists, todo, wanted = [], [], np.arange(len(x)), usual
+        end = len(self.centroids) if most is None else min(most, len(self.centroids))
+        while len(todo):
+            wanted = min(wanted, end)
+            nodes, dist = self.nearest(x[todo], wanted)
+            farthest = dist[:, -1].copy()
+            if self.filled is not None:
+                # An empty list is no list: those that hold vectors come first, in order.
+                dist = np.where(self.filled[nodes], dist, np.inf)
+                order = np.argsort(dist, axis=1, kind="stable")
+                nodes, dist = np.take_along_axis(nodes, order, axis=1), np.take_along_axis(dist, order, axis=1)
+            bound = dist[:, :1] * ratio + 1e-6
+            chosen = np.isfinite(dist) & (dist <= bound)
+            chosen[:, :least] = np.isfinite(dist[:, :least])
+            enough = (wanted == end) | ((farthest > bound[:, 0]) & (chosen.sum(axis=1) >= least))
+            row, place = np.nonzero(chosen & enough[:, None])
+            rows.append(todo[row])
+            lists.append(nodes[row, place])
+            todo, wanted = todo[~enough], wanted * 2
+        return (np.concatenate(rows), np.concatenate(lists)) if rows else (np.zeros(0, int), np.zeros(0, int))
 
 
 def usable(vector: Column) -> Column:
@@ -232,13 +229,13 @@ _ROWS = 1024
 KEY = "first long, hash long"
 
 
-def _assigned(graph: CentroidGraph, ratio: float, least: int, most: int, queries: bool):
+def _assigned(graph: CentroidGraph, ratio: float, least: int, usual: int, most: int | None, queries: bool):
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, _ROWS):
                 batch = whole.slice(at, _ROWS)
                 x = _matrix(batch.column(0))
-                row, lists = graph.lists(graph.aimed(x) if queries else graph.augmented(x), ratio, least, most)
+                row, lists = graph.lists(graph.aimed(x) if queries else graph.augmented(x), ratio, least, usual, most)
                 data = pa.array([v.tobytes() for v in x], pa.binary())
                 taken = pa.array(row)
                 columns = [batch.column(1).take(taken), batch.column(2).take(taken), data.take(taken), pa.array(lists.astype(np.int32))]
@@ -278,38 +275,33 @@ def _true_neighbours(queries: np.ndarray, keep: int):
     return search
 
 
-def fitted_reach(
-    graph: CentroidGraph, distinct: DataFrame, query_vectors: DataFrame, k: int, ratio: float, most: int, recall: float
-) -> tuple[float, int]:
-    """(ratio, number of lists) at which sampled queries meet the share `recall` of their k true neighbours; at least those given.
+def fitted_ratio(graph: CentroidGraph, distinct: DataFrame, query_vectors: DataFrame, k: int, least: float, recall: float) -> float:
+    """The ratio at which sampled queries meet the share `recall` of their k true neighbours; `least` at least.
 
     Collected are FITTED queries and their neighbours, whatever the size of the table.
     """
     sample = query_vectors.orderBy(F.xxhash64("hash"), "first").limit(FITTED).select("vector").toArrow().column("vector")
     if not len(sample):
-        return ratio, most
+        return least
     queries = _matrix(sample)
     by_query = Window.partitionBy("query").orderBy(F.desc("score"), "data")
     found = distinct.select("vector").mapInArrow(_true_neighbours(queries, k), "query int, score double, data binary")
     truth = found.withColumn("_place", F.row_number().over(by_query)).where(F.col("_place") <= k).select("query", "data").toArrow()
     if not truth.num_rows:
-        return ratio, most
+        return least
     owner = truth.column("query").to_numpy()
     vectors = np.frombuffer(b"".join(truth.column("data").to_pylist()), np.float32).reshape(len(owner), -1)
-    parts = []
+    aimed = graph.aimed(queries).astype(np.float64)
+    # Each sampled query's distance to every list, relative to its nearest one that holds vectors.
+    far = np.stack([np.linalg.norm(graph.centroids - q, axis=1) for q in aimed])
+    nearest = np.where(graph.filled, far, np.inf).min(axis=1) if graph.filled is not None else far.min(axis=1)
+    needed = np.full(len(owner), np.inf)
     for at in range(0, len(vectors), 256):
-        row, lists = graph.lists(graph.augmented(vectors[at : at + 256]), REPLICA_RATIO, 1, REPLICAS)
-        parts.append((row + at, lists))
-    row, lists = (np.concatenate(v) for v in zip(*parts))
-    aimed, n = graph.aimed(queries), len(graph.centroids)
-    while True:
-        read = np.zeros((len(queries), n), bool)
-        read[graph.lists(aimed, ratio, MIN_LISTS, most)] = True
-        met = np.zeros(len(owner), bool)
-        np.logical_or.at(met, row, read[owner[row], lists])
-        if met.mean() >= recall or (most >= n and ratio == np.inf):
-            return ratio, most
-        most, ratio = int(np.ceil(most * WIDER)), np.inf if most >= n else ratio * WIDER
+        row, lists = graph.lists(graph.augmented(vectors[at : at + 256]), REPLICA_RATIO, 1, REPLICAS, REPLICAS)
+        np.minimum.at(needed, row + at, far[owner[row + at], lists] / np.maximum(nearest[owner[row + at]], 1e-12))
+    if recall <= 0:
+        return least
+    return max(least, float(np.quantile(needed, min(recall, 1.0), method="higher")) * (1 + 1e-6))
 
 
 def _compared(keep: int):
@@ -370,8 +362,10 @@ def nearest_neighbours(
     Null and zero vectors, vectors with null or non-finite components and rows without
     id take no part, neither as queries nor as candidates. Ties go to the smaller id.
     A repeated row counts once. Fewer than k candidates are all returned; a table
-    without usable vectors gives no rows. A query reads `usual_lists` lists at most, or
-    as many more as sampled queries need to meet the share `recall` of their neighbours.
+    without usable vectors gives no rows. A query reads all lists within a ratio of its nearest
+    one: `list_ratio`, or as far as sampled queries must go to meet the share `recall` of their
+    neighbours; `usual_lists` is the number the graph is asked for first. Of vectors of several
+    sizes the most frequent one takes part.
     """
     spark = vectors.sparkSession
     small_batches(spark, rows=4096)
@@ -392,14 +386,14 @@ def nearest_neighbours(
     graph = CentroidGraph.fitted(bare.augmented(_matrix(sample)), count, float(longest))
 
     listed = f"{KEY}, data binary, list int"
-    postings = distinct.select("vector", "first", "hash").mapInArrow(_assigned(graph, REPLICA_RATIO, 1, REPLICAS, False), listed)
+    postings = distinct.select("vector", "first", "hash").mapInArrow(_assigned(graph, REPLICA_RATIO, 1, REPLICAS, REPLICAS, False), listed)
     postings = stored(postings, "postings")
     # A list longer than CHUNK is compared in several chunks. One row per centroid: bounded by MAX_CENTROIDS.
     chunks = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     query_vectors = distinct.join(asked.select("vector").distinct(), "vector", "left_semi").select("vector", "first", "hash")
     known = graph.among(r["list"] for r in chunks.collect())
-    ratio, most = fitted_reach(known, distinct, query_vectors, k, list_ratio, usual_lists, recall)
-    queries = query_vectors.mapInArrow(_assigned(known, ratio, MIN_LISTS, most, True), listed)
+    ratio = fitted_ratio(known, distinct, query_vectors, k, list_ratio, recall)
+    queries = query_vectors.mapInArrow(_assigned(known, ratio, MIN_LISTS, usual_lists, None, True), listed)
 
     placed = postings.join(F.broadcast(chunks), "list").withColumn("chunk", F.pmod(F.xxhash64("first", "hash"), "chunks").cast("int"))
     spread = queries.join(F.broadcast(chunks), "list").withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)")))
