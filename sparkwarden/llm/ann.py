@@ -49,7 +49,8 @@ MIN_LISTS, USUAL_LISTS = 8, 64
 RECALL = 0.95
 FITTED = 256
 
-# Vectors of a list that one task compares with the list's queries: longer lists are cut.
+# Vectors of a list that one task compares with the list's queries, and queries with the list's
+# vectors: longer lists are cut, as are those that more queries read.
 CHUNK = 4096
 
 DEGREE = 24
@@ -201,21 +202,14 @@ def usable(vector: Column) -> Column:
 
 
 def distinct_vectors(vectors: DataFrame, keep: int, id_col: str, vector_col: str) -> DataFrame:
-    """(vector: array<float>, first, members): each usable vector once with its `keep` smallest ids.
-
-    Of vectors of several sizes only the most frequent size takes part (of equally
-    frequent ones the largest).
-    """
+    """(size, vector: array<float>, first, hash, members): each usable vector once with its `keep` smallest ids."""
     named = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector"))
     named = named.where(F.col("id").isNotNull() & usable(F.col("vector")))
-    sizes = named.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).limit(1).collect()
-    if sizes:
-        named = named.where(F.size("vector") == sizes[0]["size"])
     # The rank's limit holds within each task before rows meet, so a vector of many rows sends few.
     smallest = Window.partitionBy("vector").orderBy("id")
     few = named.distinct().withColumn("_place", F.row_number().over(smallest)).where(F.col("_place") <= keep)
     return few.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("members")).select(
-        "vector", F.col("members")[0].alias("first"), F.xxhash64("vector").alias("hash"), "members"
+        F.size("vector").alias("size"), "vector", F.col("members")[0].alias("first"), F.xxhash64("vector").alias("hash"), "members"
     )
 
 
@@ -364,8 +358,8 @@ def nearest_neighbours(
     A repeated row counts once. Fewer than k candidates are all returned; a table
     without usable vectors gives no rows. A query reads all lists within a ratio of its nearest
     one: `list_ratio`, or as far as sampled queries must go to meet the share `recall` of their
-    neighbours; `usual_lists` is the number the graph is asked for first. Of vectors of several
-    sizes the most frequent one takes part.
+    neighbours; `usual_lists` is the number the graph is asked for first. Vectors of different
+    sizes have no inner product: each size has an index of its own, built one after another.
     """
     spark = vectors.sparkSession
     small_batches(spark, rows=4096)
@@ -375,11 +369,20 @@ def nearest_neighbours(
         F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).cast("array<float>").alias("vector")
     )
     asked = asked.where(F.col("query_id").isNotNull() & usable(F.col("vector"))).distinct()
+    found = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for row in distinct.select("size").distinct().orderBy("size").collect():
+        alike = distinct.where(F.col("size") == row["size"]).drop("size")
+        asking = asked.where(F.size("vector") == row["size"])
+        found = found.unionByName(_of_one_size(alike, asking, k, list_size, list_ratio, usual_lists, recall))
+    return found
+
+
+def _of_one_size(
+    distinct: DataFrame, asked: DataFrame, k: int, list_size: int, list_ratio: float, usual_lists: int, recall: float
+) -> DataFrame:
+    """The answers to `asked` (query_id, vector) among the `distinct` vectors; all have the same size, and there are some."""
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double")))
     total, longest = distinct.agg(F.count(F.lit(1)), F.max(norm)).first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not total:
-        return spark.createDataFrame([], schema)
     sample = distinct.orderBy(F.xxhash64("hash"), "first").limit(SAMPLE).select("vector").toArrow().column("vector")
     bare = CentroidGraph(np.empty((0, 0)), np.empty((0, 0)), float(longest))
     count = int(min(MAX_CENTROIDS, max(1, total // list_size)))
@@ -393,14 +396,20 @@ def nearest_neighbours(
     query_vectors = distinct.join(asked.select("vector").distinct(), "vector", "left_semi").select("vector", "first", "hash")
     known = graph.among(r["list"] for r in chunks.collect())
     ratio = fitted_ratio(known, distinct, query_vectors, k, list_ratio, recall)
-    queries = query_vectors.mapInArrow(_assigned(known, ratio, MIN_LISTS, usual_lists, None, True), listed)
+    queries = stored(query_vectors.mapInArrow(_assigned(known, ratio, MIN_LISTS, usual_lists, None, True), listed), "asked")
+    asking = queries.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("turns"))
+    cells = F.broadcast(chunks.join(asking, "list"))
+
+    def cut(rows: DataFrame, own: str, owns: str, each: str, others: str) -> DataFrame:
+        """Rows of a list in one of its parts `own`, once for every part `each` of the other side."""
+        dealt = rows.join(cells, "list").withColumn(own, F.pmod(F.xxhash64("first", "hash"), owns).cast("int"))
+        return dealt.withColumn(each, F.explode(F.expr(f"sequence(0, {others} - 1)"))).drop("chunks", "turns")
 
-    placed = postings.join(F.broadcast(chunks), "list").withColumn("chunk", F.pmod(F.xxhash64("first", "hash"), "chunks").cast("int"))
-    spread = queries.join(F.broadcast(chunks), "list").withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)")))
+    placed = cut(postings, "chunk", "chunks", "turn", "turns")
+    spread = cut(queries, "turn", "turns", "chunk", "chunks")
     pairs = (
-        spread.drop("chunks")
-        .groupBy("list", "chunk")
-        .cogroup(placed.drop("chunks").groupBy("list", "chunk"))
+        spread.groupBy("list", "chunk", "turn")
+        .cogroup(placed.groupBy("list", "chunk", "turn"))
         .applyInPandas(_compared(k + 1), "q_first long, q_hash long, first long, hash long, score double")
     )
     by_query = Window.partitionBy("q_first", "q_hash").orderBy(F.desc("score"), "first", "hash")

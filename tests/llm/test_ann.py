@@ -65,6 +65,18 @@ def test_a_third_of_all_rows_are_one_vector(spark, monkeypatch):
             assert got[q] == want[q]
 
 
+def test_every_size_has_its_index(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CHUNK", 8)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=3 + i % 3).astype(np.float32).tolist()) for i in range(600)]
+    table = spark.createDataFrame([(i, v, 0.0, "x") for i, v in rows], SCHEMA)
+    got = answers(nearest_neighbours(table, F.col("vec_id") % 2 == 0, 10).collect())
+    for size in (3, 4, 5):
+        alike = [(i, v) for i, v in rows if len(v) == size]
+        want = brute(alike, [i for i, _ in alike if i % 2 == 0], 10)
+        assert np.mean([len(set(got[q]) & set(want[q])) / 10 for q in want]) >= 0.9
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
