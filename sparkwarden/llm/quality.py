@@ -23,8 +23,6 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 10
 REPEAT_WINDOW = 5
 MAX_REPEAT_PERCENT = 20
-# Up to so many windows of a text a hash and its place share one number.
-PACKED_WINDOWS = 1 << 14
 
 BUCKETS = 16384
 THRESHOLD = -0.08
@@ -98,42 +96,21 @@ def log_ratios(counts: DataFrame, buckets: int = BUCKETS) -> list[float]:
     return [math.log(t + 1) - math.log(r + 1) + shift for r, t in (rows.get(b, (0, 0)) for b in range(buckets))]
 
 
-def _repeat_places(frame: DataFrame, packed_windows: int = PACKED_WINDOWS) -> DataFrame:
+def _repeat_places(frame: DataFrame) -> DataFrame:
     """`frame` with `_at`, the places in order of those hashes in its array `_w` that stand there more than once, instead of `_w`."""
-    # Hash and place of a window in one number, so that plain numbers are sorted; the place
-    # takes the low bits it needs. Windows beside an equal one are the repeated ones. Of many
-    # windows too few bits would be left to tell them apart: whole hashes are sorted there.
-    frame = _apart(
-        frame,
-        _bits=F.ceil(F.log2(F.size("_w") + 1)).cast("int"),
-        _twice=F.size(F.array_distinct("_w")) < F.size("_w"),
-    )
-    long = F.size("_w") > packed_windows
-    packed = F.transform("_w", lambda x, i: F.expr("shiftleft(-1L, _bits)").bitwiseAND(x).bitwiseOR(i.cast("long")))
-    whole = F.transform("_w", lambda x, i: F.struct(x.alias("hash"), i.cast("long").alias("place")))
-    frame = _apart(
-        frame,
-        _sorted=F.when(F.col("_twice") & ~long, F.sort_array(packed)).otherwise(F.array().cast("array<bigint>")),
-        _whole=F.when(F.col("_twice") & long, F.sort_array(whole)).otherwise(F.array().cast("array<struct<hash:bigint,place:bigint>>")),
-    ).drop("_w", "_twice")
-    s, w = F.col("_sorted"), F.col("_whole")
-    low = F.expr("shiftleft(1L, _bits)")
-
-    def same_window(x: Column, y: Column) -> Column:
-        return x.bitwiseXOR(y).between(F.lit(0), low - 1)
-
-    after = F.transform(s, lambda x, k: F.coalesce(same_window(x, F.get(s, k + 1)), F.lit(False)))
-    frame = _apart(frame, _after=after)
-    places = F.transform(
-        s, lambda x, k: F.when(F.get(F.col("_after"), k) | F.coalesce(F.get(F.col("_after"), k - 1), F.lit(False)), x.bitwiseAND(low - 1))
-    )
+    # Hashes are sorted with their places: those beside an equal one are the repeated ones. Texts
+    # whose hashes all differ, most of them, are not sorted.
+    numbered = F.transform("_w", lambda x, i: F.struct(x.alias("hash"), i.cast("long").alias("place")))
+    twice = F.size(F.array_distinct("_w")) < F.size("_w")
+    nothing = F.array().cast("array<struct<hash:bigint,place:bigint>>")
+    frame = _apart(frame, _sorted=F.when(twice, F.sort_array(numbered)).otherwise(nothing)).drop("_w")
+    s = F.col("_sorted")
 
     def beside(x: Column, k: Column) -> Column:
-        return F.coalesce(x["hash"] == F.get(w, k)["hash"], F.lit(False))
+        return F.coalesce(x["hash"] == F.get(s, k)["hash"], F.lit(False))
 
-    whole_places = F.transform(w, lambda x, k: F.when(beside(x, k + 1) | beside(x, k - 1), x["place"]))
-    found = F.filter(F.concat(places, whole_places), lambda i: i.isNotNull())
-    return _apart(frame, _at=F.sort_array(found)).drop("_sorted", "_whole", "_after", "_bits")
+    places = F.transform(s, lambda x, k: F.when(beside(x, k + 1) | beside(x, k - 1), x["place"]))
+    return _apart(frame, _at=F.sort_array(F.filter(places, lambda i: i.isNotNull()))).drop("_sorted")
 
 
 def judge(

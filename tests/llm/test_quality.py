@@ -107,19 +107,14 @@ def test_ratios_without_trust_decide_nothing(spark, make_docs):
     assert len(words_of(LONG)) == 90000
 
 
-@pytest.mark.parametrize("count", [20_000, 100])
-def test_windows_of_a_long_text_are_told_apart_by_the_whole_hash(spark, count):
-    """Hashes that differ only in the bits a place takes are different windows; true repeats are found."""
-    hashes = [k << 20 for k in range(count)]
+def test_windows_are_told_apart_by_the_whole_hash(spark):
+    """Hashes that differ in their last bits only are different windows; true repeats are found."""
+    hashes = [k << 20 for k in range(20_000)]
     hashes[5], hashes[9] = hashes[7] | 1, hashes[3]
     hashes[30], hashes[40] = hashes[50], hashes[50]
     frame = spark.createDataFrame([(1, hashes), (2, hashes[:2]), (3, [])], "id int, _w array<long>")
     want = {1: [3, 9, 30, 40, 50], 2: [], 3: []}
-    assert {r["id"]: r["_at"] for r in _repeat_places(frame, 10).collect()} == want
-    if count > 16384:
-        assert {r["id"]: r["_at"] for r in _repeat_places(frame).collect()} == want
-    # In one number the two are mistaken for a repeat.
-    assert {r["id"]: r["_at"] for r in _repeat_places(frame, 1 << 30).collect()}[1] == [3, 5, 7, 9, 30, 40, 50]
+    assert {r["id"]: r["_at"] for r in _repeat_places(frame).collect()} == want
 
 
 def test_counts_of_a_long_text(spark, make_docs):
