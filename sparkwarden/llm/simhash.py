@@ -9,7 +9,9 @@ halves are equal; the first half if both serve), so nothing has to be made disti
 
 A variant that many fingerprints share is not joined as such. Its fingerprints go
 on with the other half by the same method: quarters, one of which differs in at
-most one bit, and their one-wildcard variants are added to the signature.
+most one bit, and their one-wildcard variants are added to the signature. What is
+still crowded goes on with the bytes of the last quarter; then 53 bits are fixed, and
+a signature has at most 2,048 fingerprints, whatever the table.
 """
 
 from __future__ import annotations
@@ -114,22 +116,36 @@ def near_pairs(distinct_fps: DataFrame) -> DataFrame:
         pairs = left.join(right, keys).where("a < b")
         return pairs.where(f"bit_count({differ}) <= {MAX_BITS} AND ({chosen}) AND ({extra})").select("a", "b")
 
-    # The rest of a crowded signature: the other half's quarters.
-    crowded = shared.where(F.col("n") > CROWDED).select(
-        "sig", "fp", F.expr(f"CASE WHEN {half} = 0 THEN shiftrightunsigned(fp, 32) ELSE fp & 4294967295L END").alias("_o")
+    def finer(crowded: DataFrame, part: str, keys: list[str], width: int, level: int) -> DataFrame:
+        """The crowd's rows under the variants of both `width`-bit pieces of `part`, what is not yet indexed of the fingerprint."""
+        pieces = []
+        for which in (0, 1):
+            piece = crowded.withColumn("_q", F.shiftrightunsigned(F.expr(part), width * which).bitwiseAND((1 << width) - 1))
+            piece = piece.select(*keys, "fp", F.lit(which).alias(f"piece{level}"), F.explode(_one_wildcard("_q", width)).alias("_v"))
+            pieces.append(piece.select(*keys, "fp", f"piece{level}", F.expr(f"shiftleft(_v.bit, {width}) | _v.rest").alias(f"variant{level}")))
+        return pieces[0].unionByName(pieces[1])
+
+    def own(part: str, width: int, level: int) -> str:
+        """SQL: of the variants that the pair shares in this part's pieces, this is the one that puts it out."""
+        low, high = f"({part} & {(1 << width) - 1})", f"(shiftrightunsigned({part}, {width}) & {(1 << width) - 1})"
+        bit = f"cast(shiftrightunsigned(variant{level}, {width}) as int)"
+        return f"""CASE WHEN piece{level} = 0 THEN {_own_variant(low, bit)}
+            ELSE bit_count({low}) > 1 AND {_own_variant(high, bit)} END"""
+
+    # The rest of a crowded signature: the other half's quarters, then the other quarter's bytes.
+    other = f"(CASE WHEN {half} = 0 THEN shiftrightunsigned({{0}}, 32) ELSE {{0}} & 4294967295L END)"
+    last = f"(CASE WHEN piece1 = 0 THEN shiftrightunsigned({other}, 16) ELSE {other} & 65535L END)"
+    first_keys = ["sig", "piece1", "variant1"]
+    quarters = finer(shared.where(F.col("n") > CROWDED).select("sig", "fp"), other.format("fp"), ["sig"], 16, 1)
+    sizes = stored(quarters.groupBy(*first_keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "quarters")
+    met = quarters.join(sizes, first_keys)
+    octets = finer(met.where(F.col("n") > CROWDED).drop("n"), last.format("fp"), first_keys, 8, 2)
+    by_quarter, by_octet = own(other.format(differ), 16, 1), own(last.format(differ), 8, 2)
+    return (
+        verified(plain, ["sig"])
+        .unionByName(verified(met.where(F.col("n") <= CROWDED).drop("n"), first_keys, by_quarter))
+        .unionByName(verified(octets, [*first_keys, "piece2", "variant2"], f"({by_quarter}) AND ({by_octet})"))
     )
-    quarters = []
-    for which in (0, 1):
-        quarter = crowded.withColumn("_q", F.shiftrightunsigned("_o", 16 * which).bitwiseAND(0xFFFF))
-        quarter = quarter.select("sig", "fp", F.lit(which).alias("quarter"), F.explode(_one_wildcard("_q", 16)).alias("_v"))
-        quarters.append(quarter.select("sig", "fp", "quarter", F.expr("shiftleft(_v.bit, 16) | _v.rest").alias("variant")))
-    finer = quarters[0].unionByName(quarters[1])
-    other = f"(CASE WHEN {half} = 0 THEN {second} ELSE {first} END)"
-    low, high = f"({other} & 65535L)", f"shiftrightunsigned({other}, 16)"
-    q_bit = "cast(shiftrightunsigned(variant, 16) as int)"
-    by_quarter = f"""CASE WHEN quarter = 0 THEN {_own_variant(low, q_bit)}
-        ELSE bit_count({low}) > 1 AND {_own_variant(high, q_bit)} END"""
-    return verified(plain, ["sig"]).unionByName(verified(finer, ["sig", "quarter", "variant"], by_quarter))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

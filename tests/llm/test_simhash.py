@@ -75,7 +75,7 @@ def _clouds(seed, per_cloud=60):
     return found
 
 
-@pytest.mark.parametrize("crowded", [128, 3])
+@pytest.mark.parametrize("crowded", [128, 10, 3, 0])
 def test_pairs_are_all_found_once(spark, monkeypatch, crowded):
     monkeypatch.setattr(simhash, "CROWDED", crowded)
     values = sorted(f - (1 << 64) if f >> 63 else f for f in _clouds(crowded))
