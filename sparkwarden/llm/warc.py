@@ -224,6 +224,11 @@ def _writer(folder: str, frame_bytes: int, bundle_bytes: int):
     return write
 
 
+def in_fixed_order(records: DataFrame) -> DataFrame:
+    """Each partition in an order that its rows alone decide; rows alike in it are the same record."""
+    return records.sortWithinPartitions("page_id", "url", "payload_digest")
+
+
 def write_archives(
     pages: DataFrame, folder: str, *, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES
 ) -> DataFrame:
@@ -235,11 +240,14 @@ def write_archives(
     longer than a frame has a frame of its own. A null html is an empty payload, a
     null url gives a record without target, a null page_id one without page id.
     Repeated rows are all written. Empty input writes no bundle.
+
+    A task writes its rows in a fixed order, so a second attempt of it writes the same
+    bundles again and the index holds whichever attempt came last.
     """
     small_batches(pages.sparkSession)
     store, root = _opened(folder)
     store.create_dir(root, recursive=True)
-    records = classified(pages)
+    records = in_fixed_order(classified(pages))
     return stored(records.mapInArrow(_writer(folder, frame_bytes, bundle_bytes), INDEX_SCHEMA), "warc-index")
 
 
@@ -313,35 +321,63 @@ def read_archives(spark: SparkSession, folder: str, *, payloads: bool = True) ->
     return files.select("path", "content").mapInArrow(_reader(payloads), RECORD_SCHEMA)
 
 
-def _fetcher(folder: str):
+def _open_bundle(store: pafs.FileSystem, path: str) -> tuple[pa.NativeFile, list[tuple[int, int, int]]]:
+    """The bundle and its seek table, which is all that is read of it."""
+    source = store.open_input_file(path)
+    size = source.size()
+    n = struct.unpack("<IBI", source.read_at(FOOTER_BYTES, size - FOOTER_BYTES))[0]
+    tail = min(size, FOOTER_BYTES + 12 * n)
+    return source, seek_table(source.read_at(tail, size - tail))
+
+
+def _fetcher(folder: str, payloads: bool):
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _opened(folder)
+        held, source, table = None, None, []
         for batch in batches:
-            rows = []
             for want in batch.to_pylist():
-                with store.open_input_file(f"{root}/{want['bundle']}") as source:
-                    size = source.size()
-                    n = struct.unpack("<IBI", source.read_at(FOOTER_BYTES, size - FOOTER_BYTES))[0]
-                    tail = min(size, FOOTER_BYTES + 12 * n)
-                    offset, packed, _ = seek_table(source.read_at(tail, size - tail))[want["frame"]]
-                    frame = zstandard.ZstdDecompressor().decompress(source.read_at(packed, offset))
-                at = want["offset_in_frame"]
-                headers, block, _ = parse_record(frame[at : at + want["length"]])
-                rows.append(_record_row(headers, block, want["bundle"], True))
-            yield pa.RecordBatch.from_pylist(rows, schema=_TYPES)
+                if want["bundle"] != held:
+                    if source is not None:
+                        source.close()
+                    held = want["bundle"]
+                    source, table = _open_bundle(store, f"{root}/{held}")
+                offset, packed, _ = table[want["frame"]]
+                frame = zstandard.ZstdDecompressor().decompress(source.read_at(packed, offset))
+                rows = []
+                for record in want["records"]:
+                    at = record["offset_in_frame"]
+                    headers, block, _ = parse_record(frame[at : at + record["length"]])
+                    row = _record_row(headers, block, held, payloads)
+                    if row["record_id"] != record["record_id"]:
+                        raise ValueError(f"the index does not belong to {held}: {record['record_id']}")
+                    rows.append(row)
+                yield pa.RecordBatch.from_pylist(rows, schema=_TYPES)
+        if source is not None:
+            source.close()
 
     return fetch
 
 
-def fetch_records(wanted: DataFrame, folder: str) -> DataFrame:
-    """The records of index rows `wanted`, each read by opening its frame only."""
+# Frames that stand together are fetched by one task, and a task fetches about so many bytes of records.
+FRAMES_TOGETHER = 8
+TASK_BYTES = 64 << 20
+
+
+def fetch_records(wanted: DataFrame, folder: str, *, payloads: bool = True) -> DataFrame:
+    """The records of index rows `wanted`: their frames only are read, each of them once.
+
+    `wanted` is read twice. Rows of an index that does not belong to the bundles in
+    `folder` are an error; repeated rows give repeated records, no rows none.
+    """
     small_batches(wanted.sparkSession)
-    return wanted.select("bundle", "frame", "offset_in_frame", "length").mapInArrow(_fetcher(folder), RECORD_SCHEMA)
+    total = wanted.agg(F.sum("length")).first()[0] or 0
+    near = wanted.withColumn("_near", F.expr(f"frame div {FRAMES_TOGETHER}")).repartition(1 + total // TASK_BYTES, "bundle", "_near")
+    records = F.sort_array(F.collect_list(F.struct("offset_in_frame", "length", "record_id"))).alias("records")
+    frames = near.groupBy("bundle", "_near", "frame").agg(records).sortWithinPartitions("bundle", "frame")
+    return frames.select("bundle", "frame", "records").mapInArrow(_fetcher(folder, payloads), RECORD_SCHEMA)
 
 
 def archived_pages(pages: DataFrame) -> DataFrame:
-    """Writes the pages to a fresh archive in the shared folder and reads it back, without payloads."""
-    spark = pages.sparkSession
-    folder = shared_dir(spark, "warc")
-    write_archives(pages, folder)
-    return read_archives(spark, folder, payloads=False)
+    """Writes the pages to a fresh archive in the shared folder and reads every record back through the index, without payloads."""
+    folder = shared_dir(pages.sparkSession, "warc")
+    return fetch_records(write_archives(pages, folder), folder, payloads=False)

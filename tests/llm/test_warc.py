@@ -4,6 +4,7 @@ import hashlib
 
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 from sparkwarden.llm.warc import archived_pages, fetch_records, parse_record, read_archives, seek_table, write_archives
 
 SCHEMA = "page_id long, url string, html string, record_type string"
@@ -78,6 +79,28 @@ def test_bundles_seek_and_read_back(spark, pages, tmp_path):
     assert len(wanted) == 3 and next(r["payload"] for r in wanted if r["page_id"] == 7) == payloads[7]
 
 
+def test_a_second_attempt_writes_the_same_bundles(spark, pages, tmp_path):
+    """Rows come to a task in another order when it runs again: the first index still finds its records."""
+    folder = f"file://{tmp_path}/archive"
+    rows = pages.where("page_id is not null").collect()
+    one = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    two = spark.createDataFrame(rows[::-1], SCHEMA).coalesce(1)
+    small = {"frame_bytes": 2000, "bundle_bytes": 300}
+    index = write_archives(one, folder, **small)
+    want = {(r["record_id"], r["page_id"], r["payload_digest"]) for r in fetch_records(index, folder).collect()}
+    write_archives(two, folder, **small)
+    assert {(r["record_id"], r["page_id"], r["payload_digest"]) for r in fetch_records(index, folder).collect()} == want
+    assert len(want) == len(rows)
+
+
+def test_another_bundle_under_the_name_is_seen(spark, pages, tmp_path):
+    folder = f"file://{tmp_path}/archive"
+    index = write_archives(pages, folder)
+    odd = index.withColumn("record_id", F.lit("urn:uuid:0"))
+    with pytest.raises(Exception, match="the index does not belong"):
+        fetch_records(odd, folder).collect()
+
+
 def test_empty_table(pages):
     assert archived_pages(pages.limit(0)).count() == 0
 
