@@ -17,14 +17,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import small_batches
+from .tables import small_batches, stored
 
 UNDETERMINED = "und"
 
-# The training sample: at most so many documents of a language, so many windows of each.
+# The training sample: at most so many documents of a language and, shared evenly by many languages, in all
+# (but one of each language); so many windows of each.
 DOCS_PER_LANGUAGE = 1000
+SAMPLE_DOCS = 16000
 WINDOWS_PER_DOC = 4
-MAX_LANGUAGES = 500
+# Ranges of the hash that draws the sample.
+HASH_CELLS = 1 << 16
 
 WINDOW = 64
 HIDDEN = 8
@@ -243,11 +246,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
-def training_windows(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> list[tuple[bytes, str]]:
+def training_windows(
+    docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, sample_docs: int = SAMPLE_DOCS
+) -> list[tuple[bytes, str]]:
     """Windows of the training sample: of each language the documents with the lowest hashes, windows spread over their texts.
 
-    Bounded by docs_per_language * WINDOWS_PER_DOC windows a language and
-    MAX_LANGUAGES languages, beyond which an error is raised.
+    Of a language at most `docs_per_language` documents are drawn, or an even share of
+    `sample_docs` where that is less, and one at least; WINDOWS_PER_DOC windows of each.
+    Counts by ranges of the hash tell how far the drawing of a language goes, so a
+    language of most documents sends no more rows than the others.
     """
     labelled = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id")))
     mixed = F.xxhash64(F.col("doc_id").cast("string"), F.lit(SEED))
@@ -255,13 +262,17 @@ def training_windows(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE
     # Only the windows of a document go on, not its text.
     starts = [F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(size - WINDOW // 2, F.lit(1))).cast("int") + 1 for k in range(WINDOWS_PER_DOC)]
     cut = F.array(*[F.substring(F.col("text"), s, F.lit(WINDOW)) for s in starts])
-    ranked = labelled.select("lang", "doc_id", mixed.alias("_h"), cut.alias("_cut")).withColumn(
-        "_place", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))
-    )
-    chosen = ranked.where(F.col("_place") <= docs_per_language)
-    rows = chosen.select("lang", "_h", "doc_id", "_cut").limit(MAX_LANGUAGES * docs_per_language + 1).collect()
-    if len({r["lang"] for r in rows}) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    # Ranges in the order of the hash, which is signed.
+    cell = (F.shiftright(mixed, 64 - (HASH_CELLS - 1).bit_length())).alias("_cell")
+    cells = stored(labelled.groupBy("lang", cell).agg(F.count(F.lit(1)).alias("_n")), "hash-cells")
+    languages = cells.agg(F.countDistinct("lang")).first()[0]
+    drawn = max(1, min(docs_per_language, sample_docs // max(1, languages)))
+    so_far = F.sum("_n").over(Window.partitionBy("lang").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0))
+    needed = cells.withColumn("_before", so_far - F.col("_n")).where(F.col("_before") < drawn)
+    last = needed.groupBy("lang").agg(F.max("_cell").alias("_last"))
+    few = labelled.join(last, "lang").where(cell <= F.col("_last")).select("lang", "doc_id", mixed.alias("_h"), cut.alias("_cut"))
+    ranked = few.withColumn("_place", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id", "_cut")))
+    rows = ranked.where(F.col("_place") <= drawn).select("lang", "_h", "doc_id", "_cut").collect()
     rows.sort(key=lambda r: (r["lang"], r["_h"], r["doc_id"] if r["doc_id"] is not None else -1, r["_cut"]))
     return [(w.encode("utf-8")[:WINDOW], r["lang"]) for r in rows for w in r["_cut"]]
 

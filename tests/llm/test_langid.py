@@ -97,3 +97,13 @@ def test_training_sample_is_bounded_and_keeps_to_its_fold(make_docs):
     assert len(windows) == 2 * 10 * langid.WINDOWS_PER_DOC
     out = {f"text number {i} of many" for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2}
     assert not {w.decode() for w, _ in windows} & out
+
+
+def test_a_sample_shared_by_many_languages(make_docs):
+    docs = make_docs([(i, f"text number {i} of many", f"l{i % 700}" if i % 3 else "hot", "s") for i in range(6000)])
+    windows = training_windows(docs, docs_per_language=50, sample_docs=1450)
+    by_language = {}
+    for _, lang in windows:
+        by_language[lang] = by_language.get(lang, 0) + 1
+    assert set(by_language.values()) <= {langid.WINDOWS_PER_DOC, 2 * langid.WINDOWS_PER_DOC}
+    assert by_language["hot"] == 2 * langid.WINDOWS_PER_DOC and len(by_language) > 690
