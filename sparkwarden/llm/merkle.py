@@ -22,9 +22,10 @@ import hashlib
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import placed
 from .tables import small_batches, stored
 
 ARITY = 3
@@ -98,26 +99,6 @@ class Frontier:
         return next(run[0][0] for run in self.open if run)
 
 
-def _placed(rows: DataFrame, order: Sequence[str], purpose: str) -> DataFrame:
-    """`rows` with `place`, the row's number (from 0) within its `tree` by `order`, and `total`, the tree's rows.
-
-    Rows are sorted by range once, over all trees, so a large tree spreads over many
-    tasks; equal rows are told apart by a number. The running counts have one row for
-    each tree in each sorted part.
-    """
-    keys = ["tree", *order, "_copy"]
-    numbered = rows.withColumn("_copy", F.monotonically_increasing_id() % 4096)
-    in_order = numbered.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_copy")
-    parted = stored(in_order.withColumn("_at", F.monotonically_increasing_id()), purpose)
-    parted = parted.withColumn("_part", F.shiftright("_at", 33))
-    tree = Window.partitionBy("tree")
-    so_far = F.sum("_n").over(tree.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0))
-    runs = parted.groupBy("tree", "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    runs = runs.select("tree", "_part", (so_far - F.col("_n") - F.col("_first")).alias("_shift"), F.sum("_n").over(tree).alias("total"))
-    met = parted.join(runs, ["tree", "_part"])
-    return met.withColumn("place", F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
-
-
 def _blocks(nodes: DataFrame, height: int, purpose: str) -> DataFrame:
     """(tree, block, total, whole, nodes): consecutive nodes of a tree by place, with all their columns."""
     size = ARITY**height
@@ -238,9 +219,9 @@ def proofs(
         *[value.alias(f"_c{k}") for k, value in enumerate(carried.values())],
     )
     leaves = stored(leaves, "leaves")
-    by_source = _Forest(_placed(leaves, ["_id", "digest"], "ordered"), height, "source")
+    by_source = _Forest(placed(leaves, ["_id", "digest"], "ordered"), height, "source")
     subroots = by_source.roots.select(F.lit("").alias("tree"), F.col("tree").alias("key"), "digest")
-    over_sources = _Forest(_placed(subroots, ["key"], "subroots"), height, "sources")
+    over_sources = _Forest(placed(subroots, ["key"], "subroots"), height, "sources")
     nothing = F.array().cast("array<string>")
     top = over_sources.roots.select("tree", nothing.alias("before"), nothing.alias("after"), F.col("digest").alias("root"))
     tops = over_sources.witnessed(top).select(F.col("key").alias("tree"), "before", "after", F.col("digest").alias("subroot"), "root")

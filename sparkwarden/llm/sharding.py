@@ -5,25 +5,21 @@ random order and get the fractional rank (rank - 1/2) / rows of the source.
 Sorted by that fraction the sources interleave evenly, so any run of the order
 holds each source in proportion, and cutting it into equal runs gives the shards.
 
-Both orders are global, yet no task sorts more than a cell: the random order is
-cut by the leading hex digits of the key, the fractions into equal ranges, and
-running counts of the cells (a table of bounded size) give each row its place.
+Both orders are global, yet no task sorts more than its range of rows: ranges are
+cut by all columns of the order and a row's number, so neither rows without id nor
+many small sources meet in one task; running counts of the ranges give each row its place.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import placed
 from .tables import stored
 
 LAW = "rows"
 
-# Hex digits of the key that make a cell of the random order (16^3 a source),
-# and ranges of the fraction. They change where rows are sorted, not the result.
-KEY_DIGITS = 3
-FRACTION_CELLS = 4096
-
 
 def interleaved_shards(
     docs: DataFrame,
@@ -53,51 +49,25 @@ def interleaved_shards(
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(
         F.col(id_col).alias("_id"),
-        F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("_source"),
+        F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("tree"),
         (F.octet_length(text) + 8).cast("long").alias("_size"),
         F.crc32(F.encode(text, "UTF-8")).alias("_crc"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary")).alias("_key"),
-    ).withColumn("_cell", F.substring("_key", 1, KEY_DIGITS))
-
-    by_cell = Window.partitionBy("_source").orderBy("_cell")
-    cells = (
-        base.groupBy("_source", "_cell")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(
-            "_source",
-            "_cell",
-            (F.sum("_n").over(by_cell.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"),
-            F.sum("_n").over(Window.partitionBy("_source")).alias("_rows"),
-        )
     )
-    in_cell = Window.partitionBy("_source", "_cell").orderBy("_key", "_id", "_crc", "_size")
-    placed = base.join(cells, ["_source", "_cell"]).withColumn("_rank", F.col("_before") + F.row_number().over(in_cell))
-    fraction = (F.col("_rank") * 2 - 1).cast("double") / (F.col("_rows") * 2).cast("double")
-    placed = stored(
-        placed.select("_id", "_source", "_size", "_crc", "_key", fraction.alias("_fraction")).withColumn(
-            "_range", F.floor(F.col("_fraction") * FRACTION_CELLS).cast("int")
-        ),
-        "interleave",
-    )
-    # One row for each range: a table of FRACTION_CELLS rows at most.
-    ranges = (
-        placed.groupBy("_range")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(
-            "_range",
-            (F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"),
-            F.sum("_n").over(Window.partitionBy()).alias("_total"),
-        )
+
+    shuffled = placed(stored(base, "shuffle"), ["_key", "_id", "_crc", "_size"], "shuffled")
+    fraction = (F.col("place") * 2 + 1).cast("double") / (F.col("total") * 2).cast("double")
+    rows = shuffled.select(
+        F.lit("").alias("tree"), "_id", F.col("tree").alias("_source"), "_size", "_crc", "_key", fraction.alias("_fraction")
     )
-    in_range = Window.partitionBy("_range").orderBy("_fraction", "_source", "_key", "_id", "_crc", "_size")
-    place = placed.join(ranges, "_range").withColumn("_place", F.col("_before") + F.row_number().over(in_range) - 1)
-    place = place.withColumn("_shard", F.expr(f"(_place * {shards}) div _total"))
+    order = ["_fraction", "_source", "_key", "_id", "_crc", "_size"]
+    place = placed(stored(rows, "interleave"), order, "interleaved").withColumn("_shard", F.expr(f"(place * {shards}) div total"))
     return place.select(
         F.col("_id").alias(id_col),
         F.col("_size").alias("size"),
         F.col("_crc").alias("text_crc32"),
         F.lit(LAW).alias("law"),
         F.col("_shard").cast("int").alias("shard"),
-        F.expr(f"_place - (_shard * _total + {shards - 1}) div {shards}").cast("long").alias("slot"),
+        F.expr(f"place - (_shard * total + {shards - 1}) div {shards}").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )

@@ -4,7 +4,10 @@ import zlib
 from collections import Counter, defaultdict
 
 from conftest_llm import ODD
+from pyspark.sql import functions as F
+from sparkwarden.llm import ranking
 from sparkwarden.llm.sharding import interleaved_shards
+from sparkwarden.llm.tables import stored
 
 
 def _rows(df):
@@ -50,3 +53,23 @@ def test_odd_rows_and_empty_table(make_docs):
     assert {r["size"] for r in rows if r["doc_id"] in (1, 2)} == {8}
     assert {r["text_crc32"] for r in rows if r["doc_id"] == 1} == {0}
     assert interleaved_shards(docs.limit(0)).count() == 0
+
+
+def test_many_small_sources_and_rows_without_id(make_docs):
+    """Neither keeps its rows in one place: all fractions, or all ids, are the same."""
+    docs = make_docs([(None if i % 2 else i, f"t{i}", "en", f"s{i}") for i in range(2000)] + [(None, "same", "en", "hot")] * 2000)
+    rows = _rows(interleaved_shards(docs, shards=7))
+    counts = Counter(r["shard"] for r in rows)
+    assert len(rows) == 4000 and max(counts.values()) - min(counts.values()) <= 1
+    assert sum(r["text_crc32"] == zlib.crc32(b"same") for r in rows) == 2000
+    assert all(sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(counts[s])) for s in counts)
+
+
+def test_a_hot_key_is_sorted_in_many_tasks(spark, monkeypatch):
+    """Rows alike in the whole order spread over the ranges."""
+    sorted_rows = []
+    monkeypatch.setattr(ranking, "stored", lambda df, purpose: sorted_rows.append(stored(df, purpose)) or sorted_rows[-1])
+    rows = spark.range(20000, numPartitions=4).selectExpr("'' AS tree", "1 AS a")
+    assert sorted(r["place"] for r in ranking.placed(rows, ["a"], "hot-test").collect()) == list(range(20000))
+    sizes = [r["count"] for r in sorted_rows[0].groupBy(F.shiftright("_at", 33)).count().collect()]
+    assert max(sizes) < 10000
