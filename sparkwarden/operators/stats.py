@@ -137,13 +137,18 @@ def heatmap(events: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:
 
 
 def dense_heatmap(spark: SparkSession, buckets: DataFrame) -> DataFrame:
-    """The full 7 x 24 grid with an intensity band 0 (no event) to 4."""
+    """The full 7 x 24 grid with an intensity band 0 (no event) to 4.
+
+    Rows of ``buckets`` for one cell add up; those outside the grid do not count.
+    """
     calendar = spark.range(7 * 24).select(
         F.expr("cast(id div 24 as int)").alias("day"),
         F.expr("cast(id % 24 as int)").alias("hour"),
     )
-    # At most 168 rows on either side.
-    grid = calendar.join(F.broadcast(buckets), ["day", "hour"], "left").withColumn(
+    # At most 168 rows on either side, whatever comes in.
+    inside = buckets.filter(F.col("day").between(0, 6) & F.col("hour").between(0, 23))
+    cells = inside.groupBy("day", "hour").agg(F.sum("count").alias("count"))
+    grid = calendar.join(F.broadcast(cells), ["day", "hour"], "left").withColumn(
         "count", F.coalesce("count", F.lit(0))
     )
     intensity = F.col("count") / F.greatest(

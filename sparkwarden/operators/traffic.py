@@ -108,12 +108,20 @@ def _zscore(feature: str) -> Column:
     return F.abs((F.col(feature) - F.col(f"{feature}_mean")) / F.col(f"{feature}_std"))
 
 
+def _only_row(df: DataFrame) -> DataFrame:
+    """The one row of ``df``, as an aggregate: one row whatever ``df`` is, and an error when it has more."""
+    one = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.first(c).alias(c) for c in df.columns])
+    checked = F.when(F.col("_rows") > 1, F.raise_error(F.lit("a baseline is one row")).cast("bigint")).otherwise(F.col("samples"))
+    return one.withColumn("samples", F.coalesce(checked, F.lit(0))).drop("_rows")
+
+
 def zscore_flags(
     snapshots: DataFrame, baseline: DataFrame, limit: float = Z_LIMIT
 ) -> DataFrame:
     """Adds ``zscore_flags``, the features more than ``limit`` deviations off.
 
-    No flag is raised from fewer than 30 samples.
+    No flag is raised from fewer than 30 samples. ``baseline`` is one row: more are an
+    error, none is no sample.
     """
     flags = [
         F.when(
@@ -122,9 +130,8 @@ def zscore_flags(
         )
         for f in TRAFFIC_FEATURES
     ]
-    # The baseline is one row by construction.
     return (
-        snapshots.crossJoin(F.broadcast(baseline))
+        snapshots.crossJoin(F.broadcast(_only_row(baseline)))
         .withColumn("zscore_flags", F.array_compact(F.array(*flags)))
         .drop(*baseline.columns)
     )

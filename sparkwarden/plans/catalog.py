@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.severity import severity_from_text, severity_rank
@@ -630,11 +631,37 @@ def dns_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dns_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every domain by a forest fitted to the heuristic's labels."""
+    """Every domain by a forest fitted to the heuristic's labels of three quarters of them."""
     domains = _domains(spark, sf_dir)
-    labelled = dns.classify_dns(domains).select("domain", "label")
-    model = dns.fit_dns_forest(labelled)
-    return dns.classify_dns(domains, model).select("domain", "label", "confidence")
+    model = _dns_forest(domains)
+    found = dns.classify_dns(domains, model).withColumn("held_out", _held_out())
+    return found.select("domain", "held_out", "label", "confidence")
+
+
+def _held_out() -> Column:
+    """A quarter of the domains, by the first digit of their hash, is never learned from."""
+    return F.substring(F.md5(F.col("domain").cast("binary")), 1, 1).isin("0", "1", "2", "3")
+
+
+def _dns_forest(domains: DataFrame) -> dns.DnsForest | None:
+    return dns.fit_dns_forest(dns.classify_dns(domains.filter(~_held_out())).select("domain", "label"))
+
+
+@query
+def dns_forest_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per heuristic label, what the forest makes of domains it has not seen."""
+    domains = _domains(spark, sf_dir)
+    unseen = domains.filter(_held_out())
+    model = _dns_forest(domains)
+    found = dns.classify_dns(unseen, model).select("domain", F.col("label").alias("found"), "confidence", "features")
+    met = dns.classify_dns(unseen).select("domain", "label", F.col("features").alias("wanted")).join(found, "domain")
+    same = [F.col("features")[f].eqNullSafe(F.col("wanted")[f]) for f in dns.FEATURES]
+    return met.groupBy("label").agg(
+        F.count(F.lit(1)).alias("domains"),
+        (F.avg((F.col("found") == F.col("label")).cast("int")) >= 0.9).alias("learned"),
+        F.bool_and((F.col("confidence") > 1 / 3 - 1e-9) & (F.col("confidence") <= 1)).alias("shares"),
+        F.bool_and(reduce(Column.__and__, same)).alias("same_features"),
+    )
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:

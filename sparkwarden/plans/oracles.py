@@ -722,6 +722,11 @@ def oracle_statements() -> dict[str, str]:
             _DNS,
         ),
         "dns_heuristic": _with("select domain, label, confidence from dns_l", _DNS),
+        "dns_forest_held_out": _with(
+            "select label, count(*) as domains, true as learned, true as shares, true as same_features "
+            "from dns_l where substr(md5(domain), 1, 1) in ('0', '1', '2', '3') group by label",
+            _DNS,
+        ),
         "dns_alerts": _with(_DNS_ALERTS, _DNS),
         "traffic_snapshots": _with(
             f"select window_start, {_SNAPSHOT_COLUMNS} from snapshots", _SNAPSHOTS

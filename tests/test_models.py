@@ -247,6 +247,14 @@ def test_no_baseline_no_flags(spark):
         assert row.description == "Normal traffic pattern"
 
 
+def test_a_baseline_is_one_row(spark):
+    now = snapshots(spark, [NORMAL])
+    baseline = traffic.baseline_stats(snapshots(spark, [NORMAL] * 50))
+    with pytest.raises(Exception, match="a baseline is one row"):
+        traffic.zscore_flags(now, baseline.unionByName(baseline)).collect()
+    assert [r.zscore_flags for r in traffic.zscore_flags(now, baseline.limit(0)).collect()] == [[]]
+
+
 def test_port_spike_is_flagged(spark):
     stats = traffic.baseline_stats(snapshots(spark, [NORMAL] * 50))
     spike = snapshots(spark, [(100.0, 50000.0, 5, 500, 0.8, 0.2)])

@@ -66,6 +66,10 @@ def test_heatmap_days_start_on_sunday(make_events, spark):
     grid = stats.dense_heatmap(spark, buckets).collect()
     assert len(grid) == 168
     assert {(r.day, r.hour): r.band for r in grid if r.band} == {(0, 3): 4, (6, 23): 2}
+    # Whatever comes in, the grid has its cells once.
+    odd = buckets.unionByName(buckets).unionByName(spark.createDataFrame([(9, 3, 50), (None, 1, 50)], buckets.schema))
+    grid = stats.dense_heatmap(spark, odd).collect()
+    assert len(grid) == 168 and {(r.day, r.hour): r["count"] for r in grid if r.band} == {(0, 3): 4, (6, 23): 2}
 
 
 def test_timeline(make_events):
