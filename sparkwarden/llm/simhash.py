@@ -100,7 +100,8 @@ def near_pairs(distinct_fps: DataFrame) -> DataFrame:
     # One number for half, bit and the 32 remaining bits.
     signed = halves[0].unionByName(halves[1]).select("fp", F.expr("shiftleft(half * 32L + bit, 32) | rest").alias("sig"))
     crowds = stored(signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "signatures")
-    shared = signed.join(crowds, "sig")
+    # Few fingerprints share a signature at all: what follows starts from them.
+    shared = stored(signed.join(crowds, "sig"), "shared")
     plain = shared.where(F.col("n") <= CROWDED).select("sig", "fp")
 
     half, bit = "cast(shiftrightunsigned(sig, 37) as int)", "cast(shiftrightunsigned(sig, 32) & 31 as int)"
