@@ -49,6 +49,9 @@ MIN_LISTS, USUAL_LISTS = 8, 64
 RECALL = 0.95
 FITTED = 256
 
+# A query's nearest lists are compared first: the k-th score found there bounds what the others put out.
+FIRST_LISTS = 16
+
 # Vectors of a list that one task compares with the list's queries, and queries with the list's
 # vectors: longer lists are cut, as are those that more queries read.
 CHUNK = 4096
@@ -232,8 +235,12 @@ def _assigned(graph: CentroidGraph, ratio: float, least: int, usual: int, most:
                 row, lists = graph.lists(graph.aimed(x) if queries else graph.augmented(x), ratio, least, usual, most)
                 data = pa.array([v.tobytes() for v in x], pa.binary())
                 taken = pa.array(row)
-                columns = [batch.column(1).take(taken), batch.column(2).take(taken), data.take(taken), pa.array(lists.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["first", "hash", "data", "list"])
+                # A row's lists stand together, nearest first.
+                starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else row
+                turn = np.arange(len(row)) - np.repeat(starts, np.diff(np.r_[starts, len(row)]))
+                columns = [batch.column(1).take(taken), batch.column(2).take(taken), data.take(taken)]
+                columns += [pa.array(lists.astype(np.int32)), pa.array(turn.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["first", "hash", "data", "list", "nth"])
 
     return assign
 
@@ -317,6 +324,8 @@ def _compared(keep: int):
                     row, col = np.nonzero(np.ones(rough.shape, bool))
                 # The exact score is summed pair by pair, alike wherever the pair is met.
                 score = (q[row] * p[col]).sum(axis=1)
+                reached = score >= block["floor"].to_numpy()[row]
+                row, col, score = row[reached], col[reached], score[reached]
                 order = np.lexsort((first[col], -score, row))
                 row, col, score = row[order], col[order], score[order]
                 place = np.arange(len(row)) - np.searchsorted(row, row)
@@ -388,9 +397,9 @@ def _of_one_size(
     count = int(min(MAX_CENTROIDS, max(1, total // list_size)))
     graph = CentroidGraph.fitted(bare.augmented(_matrix(sample)), count, float(longest))
 
-    listed = f"{KEY}, data binary, list int"
+    listed = f"{KEY}, data binary, list int, nth int"
     postings = distinct.select("vector", "first", "hash").mapInArrow(_assigned(graph, REPLICA_RATIO, 1, REPLICAS, REPLICAS, False), listed)
-    postings = stored(postings, "postings")
+    postings = stored(postings.drop("nth"), "postings")
     # A list longer than CHUNK is compared in several chunks. One row per centroid: bounded by MAX_CENTROIDS.
     chunks = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     query_vectors = distinct.join(asked.select("vector").distinct(), "vector", "left_semi").select("vector", "first", "hash")
@@ -406,14 +415,23 @@ def _of_one_size(
         return dealt.withColumn(each, F.explode(F.expr(f"sequence(0, {others} - 1)"))).drop("chunks", "turns")
 
     placed = cut(postings, "chunk", "chunks", "turn", "turns")
-    spread = cut(queries, "turn", "turns", "chunk", "chunks")
-    pairs = (
-        spread.groupBy("list", "chunk", "turn")
-        .cogroup(placed.groupBy("list", "chunk", "turn"))
-        .applyInPandas(_compared(k + 1), "q_first long, q_hash long, first long, hash long, score double")
-    )
     by_query = Window.partitionBy("q_first", "q_hash").orderBy(F.desc("score"), "first", "hash")
-    best = pairs.distinct().withColumn("_place", F.row_number().over(by_query)).where(F.col("_place") <= k + 1)
+
+    def best_of(bounded: DataFrame) -> DataFrame:
+        """The k + 1 best vectors that reach each query's `floor`, in the lists of these rows."""
+        spread = cut(bounded, "turn", "turns", "chunk", "chunks")
+        pairs = (
+            spread.groupBy("list", "chunk", "turn")
+            .cogroup(placed.groupBy("list", "chunk", "turn"))
+            .applyInPandas(_compared(k + 1), "q_first long, q_hash long, first long, hash long, score double")
+        )
+        return pairs.distinct().withColumn("_place", F.row_number().over(by_query)).where(F.col("_place") <= k + 1)
+
+    nothing = F.lit(float("-inf"))
+    near = best_of(queries.where(F.col("nth") < FIRST_LISTS).withColumn("floor", nothing))
+    floors = near.where(F.col("_place") == k + 1).select(F.col("q_first").alias("first"), F.col("q_hash").alias("hash"), F.col("score").alias("floor"))
+    floors = stored(floors, "floors")
+    best = best_of(queries.join(floors, ["first", "hash"], "left").withColumn("floor", F.coalesce("floor", nothing)))
     # The ids behind each vector found, in the order of the result.
     members = distinct.select("first", "hash", "members")
     rows = best.join(members, ["first", "hash"]).select("q_first", "q_hash", "score", F.explode("members").alias("vec_id"))
