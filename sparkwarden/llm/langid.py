@@ -26,8 +26,8 @@ UNDETERMINED = "und"
 DOCS_PER_LANGUAGE = 1000
 SAMPLE_DOCS = 16000
 WINDOWS_PER_DOC = 4
-# Ranges of the hash that draws the sample.
-HASH_CELLS = 1 << 16
+# Ranges of the hash that draws the sample; so many counts of a language meet.
+HASH_CELLS = 1 << 12
 
 WINDOW = 64
 HIDDEN = 8
@@ -253,7 +253,7 @@ def training_windows(
 
     Of a language at most `docs_per_language` documents are drawn, or an even share of
     `sample_docs` where that is less, and one at least; WINDOWS_PER_DOC windows of each.
-    Counts by ranges of the hash tell how far the drawing of a language goes, so a
+    Counts by ranges of the hash tell which ranges the drawing of a language reaches, so a
     language of most documents sends no more rows than the others.
     """
     labelled = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id")))
@@ -268,9 +268,13 @@ def training_windows(
     languages = cells.agg(F.countDistinct("lang")).first()[0]
     drawn = max(1, min(docs_per_language, sample_docs // max(1, languages)))
     so_far = F.sum("_n").over(Window.partitionBy("lang").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0))
-    needed = cells.withColumn("_before", so_far - F.col("_n")).where(F.col("_before") < drawn)
-    last = needed.groupBy("lang").agg(F.max("_cell").alias("_last"))
-    few = labelled.join(last, "lang").where(cell <= F.col("_last")).select("lang", "doc_id", mixed.alias("_h"), cut.alias("_cut"))
+    # Each range holds a document, so a language reaches at most `drawn` ranges.
+    reached = cells.withColumn("_before", so_far - F.col("_n")).where(F.col("_before") < drawn).select("lang", "_cell")
+    if languages <= sample_docs:
+        # At most `sample_docs` rows; with more languages both sides meet by language and range.
+        reached = F.broadcast(reached)
+    narrow = labelled.select("lang", "doc_id", mixed.alias("_h"), cell, cut.alias("_cut"))
+    few = narrow.join(reached, ["lang", "_cell"], "left_semi")
     ranked = few.withColumn("_place", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id", "_cut")))
     rows = ranked.where(F.col("_place") <= drawn).select("lang", "_h", "doc_id", "_cut").collect()
     rows.sort(key=lambda r: (r["lang"], r["_h"], r["doc_id"] if r["doc_id"] is not None else -1, r["_cut"]))

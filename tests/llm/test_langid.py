@@ -107,3 +107,26 @@ def test_a_sample_shared_by_many_languages(make_docs):
         by_language[lang] = by_language.get(lang, 0) + 1
     assert set(by_language.values()) <= {langid.WINDOWS_PER_DOC, 2 * langid.WINDOWS_PER_DOC}
     assert by_language["hot"] == 2 * langid.WINDOWS_PER_DOC and len(by_language) > 690
+
+
+@pytest.mark.parametrize("sample_docs", [9, 60, 6000])
+def test_sample_is_that_with_the_lowest_hashes(make_docs, sample_docs):
+    """Alike whether few languages are looked up by the tasks or many are met by a shuffle; one language has a third of all rows."""
+    rows = [(i, f"text {i}", f"l{i % 40}" if i % 3 else "hot", "s") for i in range(1500)]
+    docs = make_docs(rows + rows[:3])
+    hashes = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.lit(langid.SEED)).alias("h")).collect()}
+    learned = [r for r in rows + rows[:3] if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    languages = {r[2] for r in learned}
+    drawn = max(1, min(20, sample_docs // len(languages)))
+    want = []
+    for lang in languages:
+        mine = sorted((hashes[r[0]], r[0], r[1]) for r in learned if r[2] == lang)[:drawn]
+        want += [(text, lang) for _, _, text in mine for _ in range(langid.WINDOWS_PER_DOC)]
+    got = training_windows(docs, docs_per_language=20, sample_docs=sample_docs)
+    assert len(got) == len(want) and all(lang in languages for _, lang in got)
+    starts = {}
+    for text, lang in want:
+        starts[lang] = starts.get(lang, set()) | {text}
+    # A window of a short text is a tail of it.
+    assert all(any(t.endswith(w.decode()) for t in starts[lang]) for w, lang in got)
+    assert sorted(lang for _, lang in got) == sorted(lang for _, lang in want)
