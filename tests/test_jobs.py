@@ -441,6 +441,30 @@ def test_sudo_sequence_on_a_stream(spark, make_events, tmp_path):
     assert sorted(r.event_id for r in out.collect()) == [3, 4, 8, 13, 14] and jobs.late_rows(query) >= 1
 
 
+def test_sudo_sequence_looks_up_a_slice_of_a_key(spark, make_events, tmp_path):
+    kinds = ("sudo_failed", "sudo_command", "tick")
+    rows = [
+        {"event_id": i, "timestamp": START + timedelta(seconds=90 * i), "event_type": kinds[i % 3], "metadata": {"username": "u"}}
+        for i in range(600)
+    ]
+    # Next to the ends of slices: as far apart as allowed, at one time, and a tick too far.
+    edge = START.replace(hour=0) + timedelta(days=2)
+    for n, (gap, micros) in enumerate([(0, 0), (180, 0), (180, 1), (1, 0)]):
+        for k, at in enumerate(edge + timedelta(hours=n, minutes=12 * j) for j in range(4)):
+            rows.append({"event_id": 1000 + 10 * n + k, "timestamp": at - timedelta(seconds=gap, microseconds=micros), "event_type": kinds[0], "metadata": {"username": f"v{n}"}})
+            rows.append({"event_id": 2000 + 10 * n + k, "timestamp": at, "event_type": kinds[1], "metadata": {"username": f"v{n}"}})
+    args = (F.col("event_type") == "sudo_failed", F.col("event_type") == "sudo_command", metadata_get("username"))
+    streamed = waves(make_events, [rows, [{**end()[0], "timestamp": START + timedelta(days=9)}]], spark, tmp_path)
+    out, _ = run(spark, stream_followed_by(streamed, *args, columns=["event_id", "timestamp"], salts=1), str(tmp_path))
+    want = sequences.followed_by(make_events(rows), *args, columns=["event_id", "timestamp"])
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.select(*out.columns).collect()))
+    assert out.count() == 200 + 3 * 4
+    # The first micro-batch has all rows of the key; what shares its place in the state is a few of them.
+    for side in ("left", "right"):
+        state = spark.read.format("statestore").option("operatorId", 1).option("joinSide", side).option("batchId", 0).load(f"{tmp_path}/checkpoint")
+        assert state.count() >= 200 and state.groupBy("key").count().agg(F.max("count")).first()[0] <= 16
+
+
 def test_distinct_items_on_a_stream(spark, make_events, tmp_path):
     rng = random.Random(3)
     rows = [
