@@ -35,6 +35,10 @@ HASH_SEED = 42
 # the work is done, not which pairs are found.
 CROWDED = 128
 
+# Fingerprints with one value of a half beyond which the half's signatures are cut further without
+# their members being counted, so that a window over a signature has at most twice as many.
+HOT = 1 << 12
+
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLOCK = 1 << 16
 
@@ -89,20 +93,34 @@ def _own_variant(value: str, bit: str) -> str:
     return f"({value} = shiftleft(1L, {bit}) OR ({value} = 0 AND {bit} = 0))"
 
 
+def _signatures(halves: DataFrame, *names: str) -> DataFrame:
+    """(*names, sig) for rows with the number `half` (0 or 1) and value `h` of a half: one row for each wiped-out bit."""
+    variants = halves.select(*names, "half", F.explode(_one_wildcard("h", 32)).alias("_v"))
+    # One number for half, bit and the 32 remaining bits.
+    return variants.select(*names, F.expr("shiftleft(half * 32L + _v.bit, 32) | _v.rest").alias("sig"))
+
+
+def _shared_signatures(distinct_fps: DataFrame) -> DataFrame:
+    """(fp, sig, crowded) where two fingerprints or more have the signature.
+
+    All signatures are shuffled once, and a window counts them where they meet. Of two values of
+    a half that make up a signature, one has half its fingerprints, so those too many for
+    a window are found beforehand, by counts of the halves.
+    """
+    parts = [distinct_fps.select("fp", F.lit(which).alias("half"), _half(F.col("fp"), which).alias("h")) for which in (0, 1)]
+    halves = parts[0].unionByName(parts[1])
+    many = halves.groupBy("half", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT)
+    hot = stored(_signatures(many), "hot")
+    signed = _signatures(halves, "fp")
+    met = signed.join(hot, "sig", "left_anti").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sig")))
+    few = met.where("n > 1").select("fp", "sig", (F.col("n") > CROWDED).alias("crowded"))
+    return few.unionByName(signed.join(hot, "sig", "left_semi").select("fp", "sig", F.lit(True).alias("crowded")))
+
+
 def near_pairs(distinct_fps: DataFrame) -> DataFrame:
     """Pairs (a < b) of the distinct fingerprints `fp` that differ in one or two bits; each pair once."""
-    halves = []
-    for which in (0, 1):
-        half = distinct_fps.select("fp", _half(F.col("fp"), which).alias("_h")).select(
-            "fp", F.lit(which).alias("half"), F.explode(_one_wildcard("_h", 32)).alias("_v")
-        )
-        halves.append(half.select("fp", "half", F.col("_v.bit").alias("bit"), F.col("_v.rest").alias("rest")))
-    # One number for half, bit and the 32 remaining bits.
-    signed = halves[0].unionByName(halves[1]).select("fp", F.expr("shiftleft(half * 32L + bit, 32) | rest").alias("sig"))
-    crowds = stored(signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "signatures")
-    # Few fingerprints share a signature at all: what follows starts from them.
-    shared = stored(signed.join(crowds, "sig"), "shared")
-    plain = shared.where(F.col("n") <= CROWDED).select("sig", "fp")
+    shared = stored(_shared_signatures(distinct_fps), "shared")
+    plain = shared.where("not crowded").select("sig", "fp")
 
     half, bit = "cast(shiftrightunsigned(sig, 37) as int)", "cast(shiftrightunsigned(sig, 32) & 31 as int)"
     differ = "(a ^ b)"
@@ -137,7 +155,7 @@ def near_pairs(distinct_fps: DataFrame) -> DataFrame:
     other = f"(CASE WHEN {half} = 0 THEN shiftrightunsigned({{0}}, 32) ELSE {{0}} & 4294967295L END)"
     last = f"(CASE WHEN piece1 = 0 THEN shiftrightunsigned({other}, 16) ELSE {other} & 65535L END)"
     first_keys = ["sig", "piece1", "variant1"]
-    quarters = finer(shared.where(F.col("n") > CROWDED).select("sig", "fp"), other.format("fp"), ["sig"], 16, 1)
+    quarters = finer(shared.where("crowded").select("sig", "fp"), other.format("fp"), ["sig"], 16, 1)
     sizes = stored(quarters.groupBy(*first_keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "quarters")
     met = quarters.join(sizes, first_keys)
     octets = finer(met.where(F.col("n") > CROWDED).drop("n"), last.format("fp"), first_keys, 8, 2)

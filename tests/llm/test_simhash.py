@@ -85,6 +85,32 @@ def test_pairs_are_all_found_once(spark, monkeypatch, crowded):
     assert set(got) == want and len(got) == len(want) > 500
 
 
+@pytest.mark.parametrize("hot", [40, 5, 0])
+def test_pairs_of_hot_halves_are_all_found_once(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT", hot)
+    values = sorted(f - (1 << 64) if f >> 63 else f for f in _clouds(hot))
+    got = [(r["a"], r["b"]) for r in near_pairs(spark.createDataFrame([(f,) for f in values], "fp long")).collect()]
+    mask = (1 << 64) - 1
+    want = {(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if ((a ^ b) & mask).bit_count() <= 2}
+    assert set(got) == want and len(got) == len(want) > 500
+
+
+def test_signatures_are_shuffled_once(spark, monkeypatch):
+    plans, write = [], simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df, purpose: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, purpose))
+    rng = random.Random(5)
+    values = [rng.getrandbits(63) for _ in range(3000)]
+    values += [v ^ (1 << rng.randrange(32)) ^ (1 << rng.randrange(32, 63)) for v in values]
+    # The shared signatures are too many to broadcast, as in a large table.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")
+    try:
+        assert near_pairs(spark.createDataFrame([(f,) for f in set(values)], "fp long")).count() >= 3000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [line for plan in plans for line in plan.splitlines() if "Exchange hashpartitioning(sig#" in line and "piece1#" not in line]
+    assert len(dealt) == 1
+
+
 def test_roots_of_chains_stars_and_loops(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(7, 50 + i) for i in range(40)] + [(3, 3), (140, 7), (-5, -9)]
     got = {r["node"]: r["root"] for r in component_roots(spark.createDataFrame(links, "a long, b long")).collect()}
