@@ -135,3 +135,55 @@ def test_lists_read_follow_the_table(spark, tmp_path):
     assert _recall(table, x, 20, list_size=8, usual_lists=8) >= 0.9
     assert _recall(table, x, 20, list_size=8, usual_lists=8, list_ratio=1.0) >= 0.9
     assert _recall(table, x, 20, list_size=8, usual_lists=8, recall=0.0) < 0.9
+
+
+def test_a_vector_and_a_query_are_written_once(spark, tmp_path, monkeypatch):
+    """Not once for each list they are in or read."""
+    written, plain = {}, ann.stored
+
+    def stored(df, purpose):
+        written[purpose] = plain(df, purpose)
+        return written[purpose]
+
+    monkeypatch.setattr(ann, "stored", stored)
+    table, _ = _isotropic(tmp_path, spark, 3000)
+    nearest_neighbours(table, F.col("vec_id") % 20 == 0, list_size=16).count()
+    assert written["postings"].count() == 3000
+    assert written["asked"].count() == 150
+
+
+def test_all_lists_read_by_wide_queries_are_met_quickly(monkeypatch):
+    """Each centroid is compared with a query once, however many lists it reads."""
+    x = np.random.default_rng(3).normal(size=(9000, 16)).astype(np.float32)
+    graph = CentroidGraph.fitted(x, 600, 1.0)
+    met, plain = [], ann.np.einsum
+    monkeypatch.setattr(ann.np, "einsum", lambda how, a, b: met.append(len(a)) or plain(how, a, b))
+    queries = x[:64]
+    row, lists = graph.lists(queries, 1.6, 8, 64)
+    far = np.linalg.norm(queries[:, None] - graph.centroids[None], axis=2)
+    within = far <= far.min(axis=1, keepdims=True) * 1.6
+    found = np.zeros(within.shape, int)
+    np.add.at(found, (row, lists), 1)
+    assert found.max() == 1 and found[within].mean() > 0.99
+    assert within.sum(axis=1).mean() > 100 and sum(met) < 2 * 64 * 600
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_blocks_tiles_and_turns_give_what_brute_force_gives(spark, monkeypatch, hot):
+    """All lists read, ties and lengths of many kinds, more vectors in a list than in a block."""
+    for name, value in (("CHUNK", 40), ("BLOCKS", 4), ("TILE", 16), ("TURN", 32), ("_ROWS", 64)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(7)
+    x = rng.integers(-2, 3, (500, 5)) * rng.choice([0.001, 1, 1000], (500, 1))
+    if hot:
+        x[:300] = [1000, 500, 0, 0, 3] + rng.integers(0, 2, (300, 5)) * 0.01
+    rows = [(i, v) for i, v in enumerate(x.astype(np.float32).tolist()) if any(v)]
+    table = spark.createDataFrame([(i, v, 0.0, "x") for i, v in rows], SCHEMA)
+    asked = [i for i, _ in rows if i % 3 == 0]
+    got = answers(nearest_neighbours(table, F.col("vec_id") % 3 == 0, 10, list_ratio=1e4).collect())
+    ids = np.array([i for i, _ in rows])
+    values = np.array([v for _, v in rows], np.float32).astype(float)
+    for q, v in ((i, np.array(v, np.float32).astype(float)) for i, v in rows if i in set(asked)):
+        score = (v * values).sum(axis=1)
+        order = [i for _, i in sorted(zip(-score, ids.tolist())) if i != q][:10]
+        assert got[q] == order
