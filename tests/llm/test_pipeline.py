@@ -71,7 +71,7 @@ def test_queries_are_registered():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '/root/testdata/sf0.001/{table}.parquet'")
     got = QUERIES[name](spark, "/root/testdata/sf0.001")
     want = con.execute(ORACLES[name])
